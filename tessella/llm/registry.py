@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat_format, quality_rules, source_mix
+from tessella.llm import chat_format, line_dedup, quality_rules, secret_scan, source_mix
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_source_mix": source_mix.op3_source_mix,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op2_chat_format": chat_format.OP2_SQL,
     "op3_source_mix": source_mix.OP3_SQL,
+    "op4_secret_scan": secret_scan.OP4_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
 }
