@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat_format, line_dedup, ngram_join, quality_rules, secret_scan, source_mix
+from tessella.llm import chat_format, line_dedup, lm_mix, ngram_join, quality_rules, secret_scan, source_mix
 
 QUERIES = {
+    "op1_lm_score": lm_mix.op1_lm_score,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_secret_scan": secret_scan.op4_secret_scan,
