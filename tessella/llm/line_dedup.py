@@ -28,10 +28,10 @@ _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_id, no, line key and its hash, for the lines whose key is long enough."""
+    """_id, no, the stripped line and a hash that is equal for equal keys, for the lines whose key is long enough."""
     each = docs.select(F.col(key).alias("_id"), F.posexplode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)).alias("no", "line"))
-    keyed = each.select("_id", "no", F.translate(F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), *_ASCII).alias("key"))
-    return keyed.filter(F.length("key") >= LEAST_CHARS).select("_id", "no", "key", F.xxhash64("key").alias("hash"))
+    stripped = each.select("_id", "no", F.btrim("line", F.lit(" \t\n\x0b\f\r")).alias("line")).filter(F.length("line") >= LEAST_CHARS)
+    return stripped.withColumn("hash", F.xxhash64(F.lower("line")))  # lower() is fast, and only ever joins more than the key does
 
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             f = seen.value
             yield pdf[((f[a >> 3] >> (7 - (a & 7))) & (f[b >> 3] >> (7 - (b & 7))) & 1).astype(bool)]
 
-    maybe = found.mapInPandas(suspects, found.schema)
+    maybe = found.mapInPandas(suspects, found.schema).select("_id", "no", F.translate("line", *_ASCII).alias("key"))
     by = maybe.groupBy("key").agg(F.min(F.struct("_id")).alias("_first"), F.max(F.struct("_id")).alias("_last"))
     by = by.filter(~F.col("_first._id").eqNullSafe(F.col("_last._id"))).select("key", F.col("_first._id").alias("_keep"))
     return maybe.join(by, "key").filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_id", "no")
