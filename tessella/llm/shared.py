@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: it survives lost executors and isn't computed twice."""
     path = f"{shared_folder(df.sparkSession)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
