@@ -9,9 +9,9 @@ universe of shingle hashes is cut into m segments of equal width. Each band take
   segments, and passes over the ones whose content is frequent (cost-based); empty segments count as such too.
 * m = H // 2 + 1 segments with their one-deletion neighbourhoods, for small sets: in one segment they differ by at most one.
 
-Equal sets are one node. Sets that share a segment are compared with the segment's smallest node first, on the whole
-texts; what that leaves open is compared with all others of the segment that are not in the same component yet. So a
-group of k near copies costs about k comparisons and no link is lost.
+Equal sets are one node. A set is compared, on the whole texts, with the smallest node of a segment first, beginning
+with the one it shares most segments with; what that leaves in other components is compared with the rest of the
+segment. So a group of k near copies costs about k comparisons and no component is lost.
 
 Defined results: a text without words is empty and links with nothing; fewer than five words are one shingle; null
 ids take part, and a component's id is its smallest non-null id; repeated rows link as equal texts; other columns are
@@ -52,6 +52,8 @@ def bands(most: int = 1 << 31) -> np.ndarray:
 def allocate(hi: int) -> tuple[int, int, int]:
     """(segments, deletions, spare) for pairs of sets up to size hi, by the cost in index rows and in chance meetings."""
     far = 2 * hi // 9
+    if not far:
+        return 0, 0, 0  # only equal sets link
     spare = max(3, far // 8)
     exact, deleting = far + 1 + spare, far // 2 + 1
     meet = lambda m, few: 40 * m * sum(math.exp(-hi / m) * (hi / m) ** k / math.factorial(k) for k in range(few + 1))
@@ -89,8 +91,8 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for step in (0, 1):
         at = np.minimum(band + step, len(BANDS) - 1)
         m, deletions, spare = PLAN[at].T
-        use = (n > 0) & ((step == 0) | (5 * n + 4 >= 4 * BANDS[at]))
-        seg = (top * m[owner].astype(np.uint64)) >> np.uint64(32)  # rises with the hash, so segments are runs
+        use = (m > 0) & (n > 0) & ((step == 0) | (5 * n + 4 >= 4 * BANDS[at]))
+        seg = (top * np.maximum(m, 1)[owner].astype(np.uint64)) >> np.uint64(32)  # rises with the hash, so segments are runs
         begins = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.zeros(0, bool))
         who, which, total = owner[begins], seg[begins], _sum_by(value, begins)
         salt = lambda w, s: mix((at[w].astype(np.uint64) << np.uint64(40)) + s.astype(np.uint64))
@@ -175,10 +177,11 @@ def shared_segments(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def pass_over(hits: DataFrame) -> DataFrame:
-    """hits without the frequent segments of those sets that have no more of them than they may spare."""
-    often = hits.filter(F.col("freq") > FREQUENT).groupBy("node", "step").agg(F.count("*").alias("k"), F.min("spare").alias("most"))
-    few = often.filter("k <= most").select("node", "step", F.lit(True).alias("_few"))
-    return hits.join(few, ["node", "step"], "left").filter((F.col("freq") <= FREQUENT) | F.col("_few").isNull()).select("sig", "node", "n")
+    """The hits that can matter. Linked sets agree in more segments than either may spare: a set with fewer hits in a
+    band has no partner there, and one with few frequent hits is still met in another segment without those."""
+    each = hits.groupBy("node", "step").agg(F.count("*").alias("_k"), F.count_if(F.col("freq") > FREQUENT).alias("_often"), F.min("spare").alias("_spare")).filter("_k > _spare")
+    kept = hits.join(each, ["node", "step"]).filter((F.col("freq") <= FREQUENT) | (F.col("_often") > F.col("_spare")))
+    return kept.select("sig", "node", "n")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -216,17 +219,28 @@ def links(docs: DataFrame, described: DataFrame, key: str, text: str) -> DataFra
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = written(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id").dropDuplicates(["node"]), "texts")
-    star = hits.join(hits.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p")), "sig").select("sig", "node", "n", "p.node", "p.n").toDF("sig", "node", "n", "pivot", "pn").filter("node <> pivot")
+    pivot = hits.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"))
+    star = hits.join(pivot, "sig").select("sig", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).filter("node <> pivot")
     near = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
-    first = written(verify(star.filter(near.format("n", "pn")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), texts), "links")
-    rest = written(star.join(first, (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("sig", "node", "n", "pivot"), "rest")
-    label = components(first)
-    named = lambda df, c, to: df.join(label.select(F.col("node").alias(c), F.col("label").alias(to)), c, "left")
-    open_pairs = rest.withColumnsRenamed({"node": "x", "n": "xn"}).join(hits.withColumnsRenamed({"node": "y", "n": "yn"}), "sig").filter((F.col("x") != F.col("y")) & (F.col("y") != F.col("pivot")) & F.expr(near.format("xn", "yn")))
-    open_pairs = open_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    open_pairs = named(named(open_pairs, "a", "la"), "b", "lb").filter(F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb"))).select("a", "b")
-    second = verify(open_pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts)
-    return first.unionByName(second)
+    pairs = star.filter(near.format("n", "pn")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"))
+    pairs = written(pairs, "pairs")
+
+    def apart(df: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+        """The rows whose nodes in columns a and b aren't in one component of the edges."""
+        label = components(edges)
+        for c in (a, b):
+            df = df.join(label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left")
+        return df.filter(F.coalesce(f"_{a}", a) != F.coalesce(f"_{b}", b)).drop(f"_{a}", f"_{b}")
+
+    # Each set with the pivot that it shares most segments with; then its other pivots; then all that it shares a segment with.
+    best = pairs.groupBy("b").agg(F.max(F.struct("k", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
+    first = written(verify(best, texts), "first")
+    more = apart(pairs.select("a", "b"), first, "a", "b").join(best, ["a", "b"], "left_anti")
+    second = written(first.unionByName(verify(more, texts)), "second")
+    rest = apart(star.select("sig", F.col("node").alias("x"), F.col("n").alias("xn"), "pivot"), second, "x", "pivot")
+    others = rest.join(hits.select("sig", F.col("node").alias("y"), F.col("n").alias("yn")), "sig").filter((F.col("x") != F.col("y")) & (F.col("y") != F.col("pivot")) & F.expr(near.format("xn", "yn")))
+    others = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return second.unionByName(verify(apart(others, second, "a", "b"), texts))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
