@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat_format, line_dedup, lm_mix, ngram_join, quality_classifier, quality_rules, secret_scan, source_mix
+from tessella.llm import chat_format, flac, line_dedup, lm_mix, ngram_join, quality_classifier, quality_rules, secret_scan, source_mix
 
 QUERIES = {
     "op1_lm_score": lm_mix.op1_lm_score,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_flac": flac.op5_flac,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
