@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat_format, flac, line_dedup, lm_mix, ngram_join, quality_classifier, quality_rules, secret_scan, source_mix
+from tessella.llm import chat_format, flac, line_dedup, lm_mix, ngram_join, pieces, quality_classifier, quality_rules, secret_scan, source_mix
 
 QUERIES = {
     "op1_lm_score": lm_mix.op1_lm_score,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_pieces": pieces.op9_pieces,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
