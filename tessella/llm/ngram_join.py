@@ -9,9 +9,9 @@ universe of shingle hashes is cut into m segments of equal width. Each band take
   segments, and passes over the ones whose content is frequent (cost-based); empty segments count as such too.
 * m = H // 2 + 1 segments with their one-deletion neighbourhoods, for small sets: in one segment they differ by at most one.
 
-Equal sets are one node. A set is compared, on the whole texts, with the smallest node of a segment first, beginning
-with the one it shares most segments with; what that leaves in other components is compared with the rest of the
-segment. So a group of k near copies costs about k comparisons and no component is lost.
+Equal sets are one node. A set is compared, on the whole texts, with the pivot that it shares most segments with;
+what that leaves in other components is compared with all others of its pivots, block by block. So a group of k near
+copies takes about k comparisons, no pairs are made, and no component is lost.
 
 Defined results: a text without words is empty and links with nothing; fewer than five words are one shingle; null
 ids take part, and a component's id is its smallest non-null id; repeated rows link as equal texts; other columns are
@@ -36,6 +36,8 @@ from tessella.llm.text_arrays import mix, shingle_sets
 SIZE = 5
 #: Segment content of more sets than this is frequent.
 FREQUENT = 32
+#: Shingles in a block of sets that are compared with another block.
+BLOCK = 1 << 16
 #: Up to so many ids (8 bytes each) are broadcast to pick their documents; beyond, the documents are joined.
 BROADCAST_IDS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -219,28 +221,58 @@ def links(docs: DataFrame, described: DataFrame, key: str, text: str) -> DataFra
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = written(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id").dropDuplicates(["node"]), "texts")
-    pivot = hits.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"))
-    star = hits.join(pivot, "sig").select("sig", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).filter("node <> pivot")
-    near = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
-    pairs = star.filter(near.format("n", "pn")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k"))
-    pairs = written(pairs, "pairs")
-
-    def apart(df: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
-        """The rows whose nodes in columns a and b aren't in one component of the edges."""
-        label = components(edges)
-        for c in (a, b):
-            df = df.join(label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left")
-        return df.filter(F.coalesce(f"_{a}", a) != F.coalesce(f"_{b}", b)).drop(f"_{a}", f"_{b}")
-
-    # Each set with the pivot that it shares most segments with; then its other pivots; then all that it shares a segment with.
-    best = pairs.groupBy("b").agg(F.max(F.struct("k", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
-    first = written(verify(best, texts), "first")
-    more = apart(pairs.select("a", "b"), first, "a", "b").join(best, ["a", "b"], "left_anti")
-    second = written(first.unionByName(verify(more, texts)), "second")
-    rest = apart(star.select("sig", F.col("node").alias("x"), F.col("n").alias("xn"), "pivot"), second, "x", "pivot")
-    others = rest.join(hits.select("sig", F.col("node").alias("y"), F.col("n").alias("yn")), "sig").filter((F.col("x") != F.col("y")) & (F.col("y") != F.col("pivot")) & F.expr(near.format("xn", "yn")))
-    others = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return second.unionByName(verify(apart(others, second, "a", "b"), texts))
+    # Each segment's pivot is the node with most hits, which in a group of copies is one near the middle.
+    weight = hits.groupBy("node").agg(F.count("*").alias("w"))
+    weighed = hits.join(weight, "node")
+    pivot = weighed.groupBy("sig").agg(F.max(F.struct("w", "node", "n")).alias("p"))
+    star = hits.join(pivot, "sig").select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).filter("node <> pivot")
+    pairs = written(star.groupBy("pivot", "node").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("pn").alias("pn")), "pairs")
+    best = pairs.filter("5 * least(n, pn) >= 4 * greatest(n, pn)").groupBy("node").agg(F.max(F.struct("k", "pivot")).alias("p"))
+    first = written(verify(best.select(F.col("p.pivot").alias("a"), F.col("node").alias("b")), texts), "first")
+    return first.unionByName(across(pairs, components(first), texts))
+
+
+def across(pairs: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between nodes that share a pivot and are in different components, one for each two components at most.
+
+    The nodes of a pivot are dealt into blocks of about BLOCK shingles, and each two blocks of a pivot are compared by a
+    product of their incidence matrices: no pairs are made, only links come out. Pivots of one component are left out.
+    """
+    members = pairs.select("pivot", "node", "n").unionByName(pairs.groupBy("pivot").agg(F.first("pn").alias("n")).select("pivot", F.col("pivot").alias("node"), "n"))
+    named = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("size")).filter("lo <> hi")
+    some = named.join(mixed.select("pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "pivot")
+    dealt = some.join(texts.select("node", "text"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    packed = written(dealt.groupBy("pivot", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "label", "text")).alias("sets")), "blocks")
+    left = packed.select("pivot", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("sets").alias("x"))
+    right = packed.select("pivot", F.col("block").alias("j"), F.col("sets").alias("y"))
+
+    def compare(x: pa.Array, y: pa.Array) -> Iterator[tuple[int, int]]:
+        kinds = [(c.field("node").to_numpy(), c.field("label").to_numpy(), [h[b[i] : b[i + 1]] for lo, hi, h, b in shingle_sets(c.field("text"), SIZE) for i in range(hi - lo)]) for c in (x, y)]
+        (nx, lx, sx), (ny, ly, sy) = kinds
+        common = np.intersect1d(np.concatenate(sx), np.concatenate(sy))
+        if not len(common):
+            return
+        incidence = []
+        for sets in (sx, sy):
+            flat, whose = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+            at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+            ok = common[at] == flat
+            m = np.zeros((len(sets), len(common)), np.float32)
+            m[whose[ok], at[ok]] = 1
+            incidence.append(m)
+        inter = np.rint(incidence[0] @ incidence[1].T).astype(np.int64)
+        size = np.array([len(t) for t in sx])[:, None] + np.array([len(t) for t in sy])[None, :]
+        i, j = np.nonzero((100 * inter >= 80 * (size - inter)) & (lx[:, None] != ly[None, :]))
+        _, one = np.unique(np.column_stack((lx[i], ly[j])), axis=0, return_index=True)
+        yield from ((int(nx[i[k]]), int(ny[j[k]])) for k in one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [pair for r in range(b.num_rows) for pair in compare(b.column(0).slice(r, 1).flatten(), b.column(1).slice(r, 1).flatten())]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+    return left.join(right, ["pivot", "j"]).select("x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
