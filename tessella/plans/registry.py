@@ -1,4 +1,6 @@
 """The queries over the reference tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessella.plans import retrieval, tables, tables_sql
+
+QUERIES: dict = retrieval.QUERIES | tables.QUERIES
+ORACLES: dict = retrieval.ORACLES | tables_sql.ORACLES
