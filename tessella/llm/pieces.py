@@ -18,10 +18,10 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +38,25 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Memo(dict):
+    """Numbers of words, given as they are first asked for (new), and the piece ids of the words that are encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.ids, self.counts, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+    def keep(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The piece ids of the new words, in their order."""
+        self.ids, self.counts, self.new = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts)), []
+        self.starts = np.cumsum(self.counts) - self.counts
+
+
 class Vocabulary:
     """Pieces by rank (a merge of a better score has a smaller one; single characters come first), with their splits."""
 
@@ -72,7 +91,10 @@ class Vocabulary:
         for r, p in enumerate(self.pieces):
             self.codes[r, : len(p)] = [ord(c) for c in p]
         self.lengths = np.array([len(p) for p in self.pieces])
-        self.memo: dict[str, tuple] = {}
+        self.memo = Memo()
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.special else self.text[i].replace(SPACE, " ").encode() for i in ids]
+        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         self.tested, self.test_result = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merge(self, text: str, stop: int = 1) -> list[str]:
@@ -179,8 +201,8 @@ def occurrences(codes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray,
     return np.repeat(pieces, n), order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def encode_words(words: list[str], vocabulary: Vocabulary) -> list[tuple]:
-    """Piece ids of each word; a word has no SPACE but one at its start."""
+def encode_words(words: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of the words one after the other, and their number by word; a word has no SPACE but one at its start."""
     codes = np.frombuffer("\0".join(words).encode("utf-32-le"), np.uint32)
     lengths = np.array([len(w) for w in words])
     begin = np.cumsum(lengths + 1) - lengths - 1
@@ -196,7 +218,7 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> list[tuple]:
     none = len(vocabulary.pieces)
     piece, place = np.r_[piece, np.full(len(plain), none)], np.r_[place, plain]
     start, end = np.r_[start, plain - begin[whose[plain]]], np.r_[end, plain - begin[whose[plain]] + 1]
-    order = np.argsort(end, kind="stable")
+    order = np.argsort(end.astype(np.uint16) if end.max(initial=0) < 1 << 16 else end, kind="stable")
     piece, place, start, end = piece[order], place[order], start[order], end[order]
     last, origin = np.full(len(codes) + 1, -1), np.zeros(len(codes) + 1, np.int64)  # of the path that ends before a place
     cut = np.searchsorted(end, np.arange(1, int(lengths.max()) + 2))
@@ -209,28 +231,65 @@ def encode_words(words: list[str], vocabulary: Vocabulary) -> list[tuple]:
         to = at[good] + e[good] - s[good]
         # The place after a word is its separator, so paths of different words never meet.
         last[to], origin[to] = p[good], at[good]
-    at, word, out_word, out_piece, out_from = begin + lengths, np.arange(len(words)), [], [], []
+    at, word, taken = begin + lengths, begin, np.full(len(codes), -1)
     while len(at):  # all words back from their ends
-        out_word.append(word)
-        out_piece.append(last[at])
-        out_from.append(origin[at])
-        go = origin[at] > begin[word]
-        at, word = origin[at][go], word[go]
-    w, p, f = np.concatenate(out_word), np.concatenate(out_piece), np.concatenate(out_from)
-    order = np.argsort(f, kind="stable")
-    w, p, f = w[order], p[order], f[order]
-    ids = np.r_[vocabulary.ids, -1][p].tolist()
-    bounds = np.searchsorted(w, np.arange(len(words) + 1)).tolist()
-    out = [tuple(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    for i in sorted(set(w[p == none].tolist())):
-        at = f[bounds[i] : bounds[i + 1]] - begin[i]
-        out[i] = tuple(chain.from_iterable([x] if x >= 0 else [vocabulary.bytes[c] for c in words[i][k].encode()] for x, k in zip(out[i], at.tolist(), strict=True)))
+        back = origin[at]
+        taken[back] = last[at]
+        go = back > word
+        at, word = back[go], word[go]
+    f = np.flatnonzero(taken >= 0)
+    w, p = whose[f], taken[f]
+    times = np.ones(len(p), np.int64)
+    spelled = {int(i): chr(codes[f[i]]).encode() for i in np.flatnonzero(p == none)}
+    for i, x in spelled.items():
+        times[i] = len(x)
+    ids, ends = np.repeat(np.r_[vocabulary.ids, -1][p].astype(np.int32), times), np.cumsum(times)
+    for i, x in spelled.items():
+        ids[ends[i] - len(x) : ends[i]] = [vocabulary.bytes[c] for c in x]
+    bounds = np.r_[0, ends][np.searchsorted(w, np.arange(len(words) + 1))]
+    return ids, np.diff(bounds)
+
+
+def merged(word: str, vocabulary: Vocabulary) -> list[int]:
+    """Piece ids by merging pair by pair."""
+    out = []
+    for x in vocabulary.merge(word):
+        r = vocabulary.rank.get(x)
+        out += [int(vocabulary.ids[r])] if r is not None else [vocabulary.bytes[c] for c in x.encode()]
     return out
 
 
-def merged(word: str, vocabulary: Vocabulary) -> tuple:
-    """Piece ids by merging pair by pair."""
-    return tuple(chain.from_iterable([int(vocabulary.ids[r])] if (r := vocabulary.rank.get(s)) is not None else [vocabulary.bytes[c] for c in s.encode()] for s in vocabulary.merge(word)))
+def learn_words(vocabulary: Vocabulary) -> None:
+    """Encodes the new words of the memo, in batches; words of several spaces go pair by pair."""
+    memo = vocabulary.memo
+    spaced = np.array([w.startswith(SPACE * 2) for w in memo.new], bool)
+    plain, ids, counts = np.flatnonzero(~spaced), [], []
+    size = np.cumsum([len(memo.new[i]) + 1 for i in plain])
+    at = 0
+    while at < len(plain):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH, "right")))
+        one = encode_words([memo.new[i] for i in plain[at:to]], vocabulary)
+        ids.append(one[0])
+        counts.append(one[1])
+        at = to
+    if spaced.any():
+        total, odd = np.zeros(len(spaced), np.int64), {i: merged(memo.new[i], vocabulary) for i in np.flatnonzero(spaced).tolist()}
+        total[plain] = np.concatenate(counts) if counts else 0
+        for i, x in odd.items():
+            total[i] = len(x)
+        out, ends = np.zeros(int(total.sum()), np.int32), np.cumsum(total)
+        out[np.repeat(~spaced, total)] = np.concatenate(ids) if ids else 0
+        for i, x in odd.items():
+            out[ends[i] - len(x) : ends[i]] = x
+        memo.keep(out, total)
+    elif counts:
+        memo.keep(np.concatenate(ids), np.concatenate(counts))
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of flat, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def split_words(text: str) -> list[str]:
@@ -241,33 +300,36 @@ def split_words(text: str) -> list[str]:
     return [SPACE + w for w in text.split(" ")]
 
 
-def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
+def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of the texts one after the other, and their number by text."""
     if len(vocabulary.memo) > MEMO:
-        vocabulary.memo.clear()
-    memo, each = vocabulary.memo, [split_words(t or "") for t in texts]
-    new = {w for ws in each for w in ws if w not in memo}
-    batch, size = [], 0
-    for w in sorted(new):
-        if w.startswith(SPACE * 2):
-            memo[w] = merged(w, vocabulary)
-            continue
-        batch.append(w)
-        size += len(w) + 1
-        if size > BATCH:
-            memo.update(zip(batch, encode_words(batch, vocabulary), strict=True))
-            batch, size = [], 0
-    if batch:
-        memo.update(zip(batch, encode_words(batch, vocabulary), strict=True))
-    return [np.fromiter(chain.from_iterable(map(memo.__getitem__, ws)), np.int32) for ws in each]
-
-
-def decode_ids(ids: list[int], vocabulary: Vocabulary) -> str:
-    """The text of piece ids; bytes that aren't UTF-8 come out as U+FFFD."""
-    if not vocabulary.byte_of.keys().isdisjoint(ids):
-        out = b"".join(bytes([b]) if (b := vocabulary.byte_of.get(i)) is not None else b"" if i in vocabulary.special else vocabulary.text[i].replace(SPACE, " ").encode() for i in ids).decode("utf-8", "replace")
-    else:
-        out = "".join([vocabulary.text[i] for i in ids if i not in vocabulary.special]).replace(SPACE, " ")
-    return out[1:] if out.startswith(" ") else out
+        vocabulary.memo = Memo()
+    memo, numbers, n_words = vocabulary.memo, [], []
+    for t in texts:
+        words = split_words(t or "")
+        numbers.extend(map(memo.__getitem__, words))
+        n_words.append(len(words))
+    learn_words(vocabulary)
+    numbers, bounds = np.array(numbers, np.int64), np.r_[0, np.cumsum(n_words)]
+    sizes = memo.counts[numbers]
+    return _gather(memo.ids, memo.starts[numbers], sizes), np.diff(np.r_[0, np.cumsum(sizes)][bounds])
+
+
+def decode_texts(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) -> list[str]:
+    """The texts of the ids between the bounds; bytes that aren't UTF-8 come out as U+FFFD."""
+    sizes = vocabulary.raw_size[ids]
+    data = _gather(vocabulary.raw, vocabulary.raw_at[ids], sizes).tobytes()
+    at = np.r_[0, np.cumsum(sizes)][bounds].tolist()
+    return [data[a + (data[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so much in all, and of one row at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
@@ -278,18 +340,10 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lo = 0
-            sizes = [len(t or "") for t in b.column(at).to_pylist()]
-            while lo < b.num_rows:
-                hi, total = lo, 0
-                while hi < b.num_rows and (hi == lo or total + sizes[hi] <= 4 * BATCH):
-                    total += sizes[hi]
-                    hi += 1
+            for lo, hi in _runs(pc.fill_null(pc.utf8_length(b.column(at)), 0).to_numpy(), 4 * BATCH):
                 part = b.slice(lo, hi - lo)
-                ids = encode_texts(part.column(at).to_pylist(), held.value)
-                offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32))], [*names, "ids"])
-                lo = hi
+                ids, counts = encode_texts(part.column(at).to_pylist(), held.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), ids)], [*names, "ids"])
 
     plain = docs.select(*[F.col(f"`{c}`") for c in names])
     return plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -303,10 +357,12 @@ def decode(encoded: DataFrame, model: str | None = None, to: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            step = max(1, b.num_rows // 8)
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([decode_ids(x or [], held.value) for x in part.column(at).to_pylist()], pa.string())], [*names, to])
+            for lo, hi in _runs(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(), BATCH):
+                part = b.slice(lo, hi - lo)
+                lists = part.column(at)
+                bounds = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
+                texts = decode_texts(pc.drop_null(pc.list_flatten(lists)).to_numpy(), bounds, held.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, to])
 
     plain = encoded.select(*[F.col(f"`{c}`") for c in names])
     return plain.mapInArrow(run, T.StructType([*plain.schema, T.StructField(to, T.StringType())]))
