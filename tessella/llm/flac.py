@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE, BLOCK, UNIT = 8000, 4096, 64
-#: Bytes of payload, and of streams, that are worked on together.
-STEP = 3 << 20
+#: Bytes of texts, and of streams, that are worked on together; a longer one is worked on alone.
+STEP, READ_STEP = 1 << 20, 1 << 21
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -44,16 +45,28 @@ def crc8(data: bytes) -> int:
     return c
 
 
+_SLICED = [_CRC16]  # _SLICED[i][b]: the remainder of byte b with i bytes after it
+for _ in range(7):
+    _SLICED.append(((_SLICED[-1] << 8) & 0xFFFF) ^ _CRC16[_SLICED[-1] >> 8])
+
+
 def crc16(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """CRC-16 of each range, all ranges a byte at a time."""
+    """CRC-16 of each range, all ranges eight bytes at a time. Zeros before a range don't change its remainder."""
     order = np.argsort(starts - ends, kind="stable")  # the longest first
-    s, n = starts[order], (ends - starts)[order]
-    c = np.zeros(len(s), np.int64)
-    live = np.searchsorted(-n, -np.arange(n.max(initial=0)), "left")  # ranges longer than t
-    for t in range(n.max(initial=0)):
+    n = (ends - starts)[order]
+    words = (n + 7) // 8
+    first = np.cumsum(words) - words
+    padded = np.zeros(int(words.sum()) * 8, np.uint8)
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    padded[np.repeat(first * 8 + words * 8 - n, n) + inside] = data[np.repeat(starts[order], n) + inside]
+    own = np.zeros(len(padded) // 8, np.int64)
+    for i in range(8):
+        own ^= _SLICED[7 - i][padded[i::8]]
+    c = np.zeros(len(n), np.int64)
+    live = np.searchsorted(-words, -np.arange(words.max(initial=0)), "left")  # ranges of more than t words
+    for t in range(words.max(initial=0)):
         k = live[t]
-        x = c[:k]
-        c[:k] = ((x << 8) & 0xFFFF) ^ _CRC16[(x >> 8) ^ data[s[:k] + t]]
+        c[:k] = _SLICED[7][c[:k] >> 8] ^ _SLICED[6][c[:k] & 255] ^ own[first[:k] + t]
     out = np.empty_like(c)
     out[order] = c
     return out
@@ -104,10 +117,12 @@ def encode(payloads: list[bytes], lpc: tuple[list[int], int, int] | None = None)
         z[place < order] = 0
         zigs.append(z)
         extra = 10 + 8 * order + (9 + len(lpc[0]) * lpc[2] if lpc and i == 3 else 0)
-        for k in range(9):
-            cost = np.add.reduceat(z >> k, at) + (n - order) * (1 + k) + extra
+        mean = np.add.reduceat(z, at) / np.maximum(n - order, 1)
+        low = np.clip(np.log2(np.maximum(0.69 * mean, 1)).astype(np.int64), 0, 7)
+        for k in (low, low + 1):  # the best parameter of a geometric distribution is one of these
+            cost = np.add.reduceat(z >> np.repeat(k, n).astype(z.dtype), at) + (n - order) * (1 + k) + extra
             better = (cost < best) & (n > order)
-            best[better], pick[better], rice[better] = cost[better], i, k
+            best[better], pick[better], rice[better] = cost[better], i, k[better]
     # Each sample as a run of zeros and a number of some bits.
     frame = np.repeat(np.arange(len(n)), n)
     order = np.array([o for _, o in kinds] + [0])[pick]
@@ -138,13 +153,11 @@ def encode(payloads: list[bytes], lpc: tuple[list[int], int, int] | None = None)
     total = np.add.reduceat(zeros + bits, at)
     length = (head + width + total + 7) // 8 + 2
     begin = np.cumsum(length) - length
-    out = np.zeros(int(length.sum()) * 8, np.uint8)
     end = np.cumsum(zeros + bits)
     last = end - np.repeat(end[at] - (zeros + bits)[at], n) + (begin * 8 + head)[frame] - 1 + np.where(coded, width[frame], 0)
-    for j in range(int(bits.max(initial=0))):
-        m = bits > j
-        out[last[m] - j] = value[m] >> j & 1
-    data = np.packbits(out)
+    value <<= 7 - (last & 7)  # a number of up to 9 bits lies in two bytes, and numbers don't overlap
+    data = np.bincount(last >> 3, value & 255, int(length.sum())) + np.bincount((last >> 3) - 1, value >> 8, int(length.sum()))
+    data = data.astype(np.uint8)
     for f, h in enumerate(heads):
         data[begin[f] : begin[f] + len(h)] = np.frombuffer(h, np.uint8)
         if width[f]:
@@ -200,18 +213,47 @@ class _Reader:
     """Reads bits at many places at once."""
 
     def __init__(self, data: np.ndarray):
-        padded = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
-        self.window = sum(padded[i : len(data) + i] << np.uint64(56 - 8 * i) for i in range(8))
-        ones = np.flatnonzero(np.unpackbits(data))
-        self.next = np.full(len(data) * 8 + 1, len(data) * 8, np.int64)  # the first one at a place or after it
-        self.next[ones] = ones
-        self.next = np.minimum.accumulate(self.next[::-1])[::-1]
+        padded = np.r_[data, np.zeros(16, np.uint8)]
+        self.window = np.zeros(len(data) + 8, np.uint64)
+        for i in range(8):
+            self.window |= padded[i : len(data) + 8 + i].astype(np.uint64) << np.uint64(56 - 8 * i)
+
+    def at(self, at: np.ndarray) -> np.ndarray:
+        """The bits from each place on, at the top; 57 of them at least."""
+        return self.window[np.minimum(at >> 3, len(self.window) - 1)] << (at & 7).astype(np.uint64)
 
     def bits(self, at: np.ndarray, n) -> np.ndarray:
         """Unsigned numbers of n bits (0 to 32)."""
         n = np.asarray(n).astype(np.uint64)
-        w = self.window[np.minimum(at >> 3, len(self.window) - 1)] << (at & 7).astype(np.uint64)
-        return np.where(n > 0, w >> (np.uint64(64) - np.maximum(n, np.uint64(1))), np.uint64(0)).astype(np.int64)
+        return np.where(n > 0, self.at(at) >> (np.uint64(64) - np.maximum(n, np.uint64(1))), np.uint64(0)).astype(np.int64)
+
+    def zeros(self, at: np.ndarray) -> np.ndarray:
+        """Lengths of long runs of zeros."""
+        out, live = np.zeros(len(at), np.int64), np.arange(len(at))
+        while len(live):
+            v = self.bits(at[live] + out[live], 32)
+            out[live] += 32 - np.frexp(v.astype(np.float64))[1]
+            live = live[v == 0]
+            if (at[live] + out[live] > 8 * len(self.window)).any():
+                raise ValueError("a frame has no end")
+        return out
+
+    def rice(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signed Rice codes with k low bits, and where they end."""
+        w = self.at(at)
+        z = 53 - np.frexp((w >> np.uint64(11)).astype(np.float64))[1].astype(np.int64)
+        if (z + k).max(initial=0) > 52:
+            z = self.zeros(at)
+            low = self.bits(at + z + 1, k)
+        else:
+            low = (w << (z + 1).astype(np.uint64) >> np.uint64(1) >> (63 - k).astype(np.uint64)).astype(np.int64)
+        v = z << k | low
+        return (v >> 1) ^ -(v & 1), at + z + 1 + k
+
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges of n from each start."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -221,21 +263,19 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray
     n, kind, order, at = (np.array(x, np.int64) for x in list(zip(*heads, strict=True))[:4])
     by = np.argsort(-n, kind="stable")
     n, kind, order, at = n[by], kind[by], order[by], at[by]
-    read = _Reader(data)
-    out = np.zeros((int(n.max()), len(n)), np.int32)
+    read, begin = _Reader(data), np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.int64)  # one frame after the other
     signed = lambda v, bits: v - ((v >> (bits - 1) & 1) << bits)
     live = np.searchsorted(-n, -np.arange(int(n.max())), "left")
     flat = kind == 0
     if flat.any():
-        v = signed(read.bits(at[flat], 8), 8)
-        out[:, flat] = v
+        out[np.repeat(flat, n)] = np.repeat(signed(read.bits(at[flat], 8), 8), n[flat])
         at[flat] += 8
     plain = np.where(kind == 1, n, order)  # samples stored as they are
     plain[flat] = 0
-    for t in range(int(plain.max(initial=0))):
-        m = np.flatnonzero(plain > t)
-        out[t, m] = signed(read.bits(at[m], 8), 8)
-        at[m] += 8
+    inside = _ranges(np.zeros(len(n), np.int64), plain)
+    out[_ranges(begin, plain)] = signed(read.bits(np.repeat(at, plain) + 8 * inside, 8), 8)
+    at += 8 * plain
     coefs = {}
     for f in np.flatnonzero(kind >= 32):
         one = at[f : f + 1]
@@ -247,9 +287,10 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray
     parts = np.where(rice, read.bits(at + 2, 4), 0)
     at += np.where(rice, 6, 0)
     k, escape, span = np.zeros(len(n), np.int64), np.full(len(n), -1), n >> parts
-    several = bool((parts > 0).any())
-    for t in range(int(n.max()) if rice.any() else 0):
-        m = np.flatnonzero(rice[: live[t]]) if not rice.all() else np.arange(live[t])
+    coded, several, escaped = np.flatnonzero(rice), bool((parts > 0).any()), False
+    until = np.searchsorted(coded, live, "left")  # of the coded frames, those that are longer than t come first
+    for t in range(int(n[coded].max(initial=0))):
+        m = coded[: until[t]]
         if t <= 32:
             m = m[order[m] <= t]
         if t <= 32 or several:
@@ -260,39 +301,44 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray
                 raw_bits = k[new] == (1 << wide[new]) - 1
                 escape[new] = -1
                 if raw_bits.any():
-                    e = new[raw_bits]
+                    e, escaped = new[raw_bits], True
                     escape[e] = read.bits(at[e], 5)
                     at[e] += 5
-        p, kk = at[m], k[m]
-        one = read.next[p]
-        z = (one - p) << kk | read.bits(one + 1, kk)
-        v, end = (z >> 1) ^ -(z & 1), one + 1 + kk
-        if (escape[m] >= 0).any():
+        p = at[m]
+        if escaped and (escape[m] >= 0).any():
             e = escape[m] >= 0
+            v, end = read.rice(p, np.where(e, 0, k[m])) if not e.all() else (np.zeros(len(m), np.int64), p.copy())
             b = escape[m][e]
             u = read.bits(p[e], b)
             v[e], end[e] = np.where(b > 0, u - ((u >> np.maximum(b - 1, 0) & 1) << b), 0), p[e] + b
-        out[t, m] = v
+        else:
+            v, end = read.rice(p, k[m])
+        out[begin[m] + t] = v
         at[m] = end
-    for o in range(1, 5):  # fixed predictors: sums of differences
-        m = np.flatnonzero(kind == 8 + o)
-        if len(m):
-            warm, s = out[:o, m], out[o:, m].astype(np.int64)
-            for i in range(o - 1, -1, -1):
-                s = np.cumsum(np.concatenate((np.diff(warm[: i + 1], i, axis=0), s)), axis=0)
-            out[:, m] = s
+    # Fixed predictors are sums of differences: the first samples become differences, then each order is summed up.
+    fixed = np.where((kind > 8) & (kind <= 12), order, 0)
+    for i in range(1, int(fixed.max(initial=0))):
+        for j in range(int(fixed.max()) - 1, i - 1, -1):
+            f = begin[fixed > j] + j
+            out[f] -= out[f - 1]
+    for i in range(int(fixed.max(initial=0)) - 1, -1, -1):
+        f = np.flatnonzero(fixed > i)
+        where, size = _ranges(begin[f] + i, n[f] - i), n[f] - i
+        total = np.cumsum(out[where])
+        first = np.cumsum(size) - size
+        out[where] = total - np.repeat(total[first] - out[where[first]], size)
     for f, (c, shift) in coefs.items():
-        x, o = out[:, f].tolist(), int(order[f])
+        x, o = out[begin[f] : begin[f] + n[f]].tolist(), int(order[f])
         for t in range(o, int(n[f])):
             x[t] += sum(a * b for a, b in zip(c, x[t - 1 : t - o - 1 if t > o else None : -1], strict=True)) >> shift
-        out[:, f] = x
+        out[begin[f] : begin[f] + n[f]] = x
     ends = (at + 7) // 8 + 2
     back = np.empty_like(by)
     back[by] = np.arange(len(by))
     ends = ends[back]
     if (ends > len(data)).any() or (crc16(data, starts, ends - 2) != (data[ends - 2].astype(np.int64) << 8 | data[ends - 1])).any():
         raise ValueError("a frame fails its checksum")
-    return [out[: n[j], j] for j in back], ends
+    return [out[begin[j] : begin[j] + n[j]] for j in back], ends
 
 
 def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
@@ -338,10 +384,10 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
     return blocks
 
 
-def _by_size(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def _by_size(sizes: list[int], most: int = STEP) -> Iterator[tuple[int, int]]:
     lo = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > STEP:
+        if total and total + n > most:
             yield lo, i
             lo, total = i, 0
         total += n
@@ -353,9 +399,8 @@ def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """key, n_bytes (of the text) and media: a FLAC stream of its UTF-8 bytes, padded with 0 to a positive multiple of UNIT."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [(t or "").encode() for t in b.column(1).to_pylist()]
-            for lo, hi in _by_size([len(x) for x in raw]):
-                part = raw[lo:hi]
+            for lo, hi in _by_size(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                part = [x or b"" for x in b.column(1).slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
                 media = encode([x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)) for x in part])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in part], pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
 
@@ -376,9 +421,9 @@ def decode_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            streams = [x or b"" for x in b.column(names.index("media")).to_pylist()]
-            for lo, hi in _by_size([len(x) for x in streams]):
-                found = safe(streams[lo:hi])
+            held = b.column(names.index("media"))
+            for lo, hi in _by_size(pc.fill_null(pc.binary_length(held), 0).to_pylist(), READ_STEP):
+                found = safe([x or b"" for x in held.slice(lo, hi - lo).to_pylist()])
                 blocks = pa.array([[{"sample_offset": o, "pcm": p} for o, p in x] for x, _ in found], block)
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, blocks, pa.array([e for _, e in found], pa.string())], [*names, "blocks", "error"])
@@ -394,7 +439,8 @@ def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for blocks, media in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for blocks, media in zip(b.column(3), b.column(2), strict=True):
+                blocks, media = blocks.as_py() or [], media.as_py() or b""
                 p = b"".join(x["pcm"] for x in blocks)
                 x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
                 crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
