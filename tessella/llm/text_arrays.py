@@ -31,7 +31,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MUL)
-_POWERS: dict[int, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """A cache that isn't sent along with the functions that use it."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS: dict[int, np.ndarray] = _Cache()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
