@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries travel to the executors in blocks of so many.
 QUERY_BLOCK = 4096
@@ -72,7 +73,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2", con
     schema = T.StructType([queries.select("query_id").schema[0], T.StructField("key", base.schema[key].dataType), T.StructField("distance", T.DoubleType())])
     found = None
     for held in _blocks(queries, match):
-        near = base.select(*columns).mapInArrow(_search(base.sparkSession.sparkContext.broadcast(held), k, metric), schema)
+        near = base.select(*columns).mapInArrow(_search(base.sparkSession.sparkContext.broadcast(held), k, metric, to_arrow_type(schema[0].dataType)), schema)
         found = near if found is None else found.unionByName(near)
     if found is None:
         found = base.sparkSession.createDataFrame([], schema)
@@ -96,7 +97,7 @@ def _pack(rows: list, match: str | None) -> tuple:
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], object) if match else None
 
 
-def _search(held, k: int, metric: str):
+def _search(held, k: int, metric: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, wanted = held.value
         for b in batches:
@@ -117,6 +118,6 @@ def _search(held, k: int, metric: str):
             rows, at, d = rows[order], at[order], d[order]
             first = np.searchsorted(rows, rows)
             best = np.arange(len(rows)) - first < k + MARGIN // 2  # ties at the end are settled by key afterwards
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows[best]]), b.column(0).take(pa.array(at[best])), pa.array(d[best])], ["query_id", "key", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows[best]], kind), b.column(0).take(pa.array(at[best])), pa.array(d[best])], ["query_id", "key", "distance"])
 
     return run

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessella.functions.text import basename, extension
 
@@ -50,11 +51,7 @@ def read_texts(files: DataFrame, pdf: Callable[[pd.Series], list] = pdf_texts) -
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = text.withColumns({"text": F.when(valid, F.col("content").cast("string")), "error": F.when(~valid, "the file isn't UTF-8")})
     pages = hashed.filter(extension("file_path") == ".pdf")
-    from pyspark.sql.types import StringType
-
-    schema = pages.schema
-    for c in ("text", "error"):
-        schema = schema.add(c, StringType())
+    schema = StructType([*pages.schema, StructField("text", StringType()), StructField("error", StringType())])
     return text.unionByName(pages.mapInPandas(run, schema)).drop("content")
 
 
