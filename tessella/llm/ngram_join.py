@@ -6,7 +6,8 @@ band and for the next. For a band whose largest size is hi, linked sets differ i
 universe of shingle hashes is cut into m segments of equal width. Each band takes the cheaper of two allocations:
 
 * m = H + 1 + spare exact segments: linked sets agree in spare + 1 of them or more. A set may pass over up to spare
-  segments, and passes over the ones whose content is frequent (cost-based); empty segments count as such too.
+  segments, and passes over the ones whose content is frequent (cost-based); its empty segments count as passed over,
+  since the other set may not index them, so a set with more empty ones than that passes over nothing else.
 * m = H // 2 + 1 segments with their one-deletion neighbourhoods, for small sets: in one segment they differ by at most one.
 
 Equal sets are one node. A set is compared, on the whole texts, with the pivot that it shares most segments with;
@@ -84,7 +85,7 @@ def set_ids(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Signature, set number, and 0 for the set's own band or 1 for the next, of each indexed segment; and how many
-    segments a set may pass over in either band: its spare ones, but for the empty ones that aren't indexed."""
+    segments a set may pass over in either band: its spare ones less its empty ones, as the other set may not index those."""
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(n)), n)
     band = np.searchsorted(BANDS, n, "right") - 1
@@ -107,7 +108,7 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
             out.append((mix(rest + salt(owner[dels], seg[dels])), owner[dels], np.full(len(rest), step)))
         # Empty segments: always next to deletions; next to exact segments only where they alone could make the agreement.
         empties = m - np.bincount(who, minlength=len(n))
-        left[:, step] = np.where(deletions > 0, 0, np.where(empties > spare, spare, spare - empties))
+        left[:, step] = np.where(deletions > 0, 0, np.maximum(spare - empties, 0))
         for i in np.flatnonzero(use & (empties > 0) & ((deletions > 0) | (empties > spare))):
             free = np.setdiff1d(np.arange(m[i]), which[who == i])
             w = np.full(len(free), i)

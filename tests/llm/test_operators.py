@@ -98,6 +98,28 @@ def test_signatures_meet(spark):
             assert any(ok)
 
 
+def test_signatures_meet_near_the_threshold():
+    """Small sets have many empty segments, which only one of two linked sets may index; whichever hits are passed over, one is left."""
+    rng, linked = np.random.default_rng(8), 0
+    for _ in range(120):
+        sets = []
+        for n in rng.integers(9, 41, 100):
+            d = int(rng.integers(max(0, n // 9 - 1), n // 9 + 2))
+            x = rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64) * np.uint64(2)
+            sets += [np.sort(x), np.sort(np.r_[x[2 * d if rng.integers(2) else d :], rng.integers(0, 1 << 63, d * int(rng.integers(2)), np.int64).astype(np.uint64)])]
+        sig, who, step, left = ngram_join.signatures(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])
+        of = [[set(), set()] for _ in sets]
+        for s, w, k in zip(sig.tolist(), who.tolist(), step.tolist(), strict=True):
+            of[w][k].add(s)
+        for a in range(0, len(sets), 2):
+            inter, both = len(np.intersect1d(sets[a], sets[a + 1])), len(sets[a]) + len(sets[a + 1])
+            if inter == both - inter or 100 * inter < 80 * (both - inter):
+                continue
+            linked += 1
+            assert any(len(of[a][i] & of[a + 1][j]) > max(left[a, i], left[a + 1, j]) for i in (0, 1) for j in (0, 1))
+    assert linked > 3000
+
+
 def test_lm_score(spark, docs, odd):
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r for r in lm_mix.score(docs).collect()}
