@@ -39,7 +39,7 @@ SIZE = 5
 FREQUENT = 32
 #: Shingles in a block of sets that are compared with another block.
 BLOCK = 1 << 16
-#: Up to so many ids (8 bytes each) are broadcast to pick their documents; beyond, the documents are joined.
+#: Up to so many nodes and text hashes (16 bytes each) are broadcast to pick their documents; beyond, the documents are joined.
 BROADCAST_IDS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -117,15 +117,16 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n_shingles and node: the identity of its set, null when empty."""
+    """id, n_shingles, node: the identity of its set, null when empty; and same: the hash of the text, equal for equal texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, h, bounds in shingle_sets(b.column(1), SIZE):
                 n, ids = set_ids(h, bounds)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids.view(np.int64), pa.int64(), mask=n == 0)], ["id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids.view(np.int64), pa.int64(), mask=n == 0), b.column(2).slice(lo, hi - lo)], ["id", "n_shingles", "node", "same"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("same", T.LongType())])
+    plain = F.col(text).cast("string")
+    return docs.select(key, plain.alias("text"), F.xxhash64(plain).alias("same")).mapInArrow(run, schema)
 
 
 def shared_segments(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -212,16 +213,18 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, described: DataFrame, key: str, text: str) -> DataFrame:
+def links(docs: DataFrame, described: DataFrame, text: str) -> DataFrame:
     """Verified links (a, b) between nodes, enough for the components of all links."""
     spark = docs.sparkSession
     buckets = min(1 << 16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     hits = written(pass_over(written(shared_segments(docs, text, buckets), "segments")), "hits")
     nodes = hits.select("node").distinct()
-    ids = written(described.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")), "ids")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = written(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id").dropDuplicates(["node"]), "texts")
+    # A node's text is found by its own hash: ids may be null, and rows of one id may differ in text.
+    chosen = written(described.join(nodes, "node").groupBy("node").agg(F.min("same").alias("same")), "chosen")
+    if chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    plain = F.col(text).cast("string")
+    texts = written(docs.select(plain.alias("text"), F.xxhash64(plain).alias("same")).join(chosen, "same").select("node", "text").dropDuplicates(["node"]), "texts")
     # Each segment's pivot is the node with most hits, which in a group of copies is one near the middle.
     weight = hits.groupBy("node").agg(F.count("*").alias("w"))
     weighed = hits.join(weight, "node")
@@ -279,7 +282,7 @@ def across(pairs: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id for every row."""
     described = written(describe(docs, key, text), "described")
-    label = components(links(docs, described, key, text))
+    label = components(links(docs, described, text))
     least = described.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     named = least.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -98,6 +98,16 @@ def test_signatures_meet(spark):
             assert any(ok)
 
 
+def test_ngram_join_finds_the_texts_of_null_and_shared_ids(spark):
+    w, x, y = ([f"{c}{i}" for i in range(100)] for c in "wxy")
+    rows = [(1, " ".join(w)), (None, " ".join(x[:8] + w[8:])), (2, " ".join(x[:8] + w[8:92] + y[:8]))]  # a chain by way of a null id
+    other = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdefgh"]
+    rows += [(10, t) for t in other] + [(20 + k, t + " more") for k, t in enumerate(other)]  # one id for eight texts
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()), key=str)
+    assert got == by_hand_components(rows) and (2, 96, 1) in got
+
+
 def test_signatures_meet_near_the_threshold():
     """Small sets have many empty segments, which only one of two linked sets may index; whichever hits are passed over, one is left."""
     rng, linked = np.random.default_rng(8), 0
