@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries travel to the executors in blocks of so many.
 QUERY_BLOCK = 4096
-#: Candidates beyond k that a batch keeps before distances are computed exactly.
-MARGIN = 16
+#: Numbers that a step of the search holds at once.
+PAIRS = 1 << 22
 METRICS = ("l2", "cosine", "ip")
 
 
@@ -64,7 +65,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2", con
     """query_id, key, distance, rank (from 1; ties by key) of each query's k nearest vectors.
 
     queries: query_id, vector and, for match, a column of that name; only vectors with an equal value are near. The
-    filters come before the distances. Each batch of vectors keeps its best k a query, so a query shuffles k rows a batch.
+    filters come before the distances. Each batch of vectors keeps its best k a query by (distance, key), so a
+    query shuffles k rows a batch: rounded distances only leave out vectors that their error can't bring among the k.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
@@ -97,6 +99,17 @@ def _pack(rows: list, match: str | None) -> tuple:
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], object) if match else None
 
 
+def _places(keys: pa.Array) -> np.ndarray:
+    """The place of each key in Spark's order, nulls first."""
+    out = np.empty(len(keys), np.int64)
+    if pa.types.is_floating(keys.type):  # Spark has NaN last
+        order = np.lexsort((keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_valid().to_numpy(zero_copy_only=False)))
+    else:
+        order = pc.sort_indices(keys, null_placement="at_start").to_numpy()
+    out[order] = np.arange(len(keys))
+    return out
+
+
 def _search(held, k: int, metric: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, wanted = held.value
@@ -105,19 +118,27 @@ def _search(held, k: int, metric: str, kind: pa.DataType):
                 continue
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = flat.reshape(b.num_rows, -1)
-            rough = -2 * q @ x.T + (x * x).sum(1) if metric == "l2" else -(q @ x.T) / (np.sqrt((x * x).sum(1)) if metric == "cosine" else 1)
-            if wanted is not None:
-                rough = np.where(wanted[:, None] == np.array(b.column(2).to_pylist(), object)[None, :], rough, np.inf)
-            n = min(k + MARGIN, b.num_rows)
-            near = np.argpartition(rough, n - 1, axis=1)[:, :n] if n < b.num_rows else np.tile(np.arange(n), (len(q), 1))
-            rows, at = np.repeat(np.arange(len(q)), n), near.ravel()
-            ok = np.isfinite(rough[rows, at])
-            rows, at = rows[ok], at[ok]
-            d = _distances(q[rows], x[at], metric)
-            order = np.lexsort((d, rows))
-            rows, at, d = rows[order], at[order], d[order]
-            first = np.searchsorted(rows, rows)
-            best = np.arange(len(rows)) - first < k + MARGIN // 2  # ties at the end are settled by key afterwards
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows[best]], kind), b.column(0).take(pa.array(at[best])), pa.array(d[best])], ["query_id", "key", "distance"])
+            names, at_key = b.column(0), _places(b.column(0))
+            size = (x * x).sum(1)
+            slack = 8 * (x.shape[1] + 2) * np.finfo(float).eps
+            step = max(1, PAIRS // b.num_rows)
+            for lo in range(0, len(q), step):
+                part = q[lo : lo + step]
+                length = (part * part).sum(1)[:, None]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    rough = -2 * part @ x.T + size if metric == "l2" else -(part @ x.T) / (np.sqrt(size) if metric == "cosine" else 1)
+                off = slack * (length + size if metric == "l2" else np.sqrt(length) + 0 * size if metric == "cosine" else 1 + np.sqrt(length * size))
+                if wanted is not None:
+                    rough = np.where(wanted[lo : lo + step, None] == np.array(b.column(2).to_pylist(), object)[None, :], rough, np.inf)
+                ok = np.isfinite(rough)
+                n = min(k, b.num_rows)
+                last = np.partition(np.where(ok, rough + off, np.inf), n - 1, axis=1)[:, n - 1]  # the k-th distance isn't greater
+                rows, at = np.nonzero(ok & (rough - off <= last[:, None]))
+                cut = max(1, PAIRS // x.shape[1])
+                d = np.concatenate([_distances(part[rows[i : i + cut]], x[at[i : i + cut]], metric) for i in range(0, len(rows), cut)] or [np.zeros(0)])
+                order = np.lexsort((at_key[at], d, rows))
+                rows, at, d = rows[order], at[order], d[order]
+                best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + i] for i in rows[best]], kind), names.take(pa.array(at[best])), pa.array(d[best])], ["query_id", "key", "distance"])
 
     return run

@@ -105,6 +105,20 @@ def test_knn_filters(spark):
         where({"label": {"$like": 1}})
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_knn_ties_by_key(spark, metric):
+    """Copies of a vector, more than a batch keeps: the smallest keys are returned."""
+    rng = np.random.default_rng(4)
+    copy, far = rng.normal(size=8).astype(np.float32), -rng.random((100, 8)).astype(np.float32)
+    keys = [f"k{i:03}" for i in rng.permutation(300)]
+    rows = [(key, (copy if key < "k200" else np.sign(copy) * far[int(key[1:]) - 200]).tolist()) for key in keys]
+    base = spark.createDataFrame(rows, "key string, vector array<float>")
+    asked = spark.createDataFrame([(1, copy.tolist()), (2, (copy * 2).tolist())], "query_id int, vector array<float>")
+    for parts in (1, 3):
+        got = {(r.query_id, r["rank"]): r.key for r in knn(asked, base.repartition(parts), 5, metric).collect()}
+        assert got == {(q, r + 1): f"k{r:03}" for q in (1, 2) for r in range(5)}
+
+
 def test_answer_prompts(spark):
     docs = spark.createDataFrame([(f"f{i}.md", 0, f"text about topic{i} and more") for i in range(6)], "file_path string, chunk_index int, content string")
     from tessella.functions.models import embed
