@@ -1,26 +1,33 @@
-"""Language-model scoring by logistic context mixing.
+"""Language-model scoring by online logistic context mixing.
 
-A text is its lower-cased words, each ended by a space, and one end. The model predicts the bits of every byte of a
-word from hashed contexts: the last one to four bytes of the word, and all of its bytes so far. A context's counts of
-zeros and ones are gathered from the distinct training words; the predictions are mixed in the logistic domain by
-weights that are gated by how much each context has been seen, and that are learned online, a block of words after
-the other, with the word's own counts left out. Contexts include the document's profile: the nearest of a few
-centroids of byte pairs (found on at most SAMPLE training documents), whose code is part of the text's cost. The
-probability of a word mixes the bit model with its training frequencies, in the profile and in all; the shares are
-refined while a document is read (a Bayesian mixture over a grid of shares). All parts are distributions over words,
-so scores are proper log probabilities of whole texts, the spelling of unknown words included.
+A text is its lower-cased words and one end. What is learned comes from the training texts alone, and a training text's
+own occurrence of an event is left out wherever that event is predicted, so that held-out and training texts compare.
+Each word is told by binary decisions, each predicted by several hashed contexts:
 
-Word counts grow with the corpus and travel by hash bucket; each slice of documents sends its distinct words once and
-gets their counts and scores back. Only the context tables (10 MB, whatever the corpus) are broadcast.
+* is it the word that most often follows the last two words (asked where these were seen in training)? Contexts: how
+  often and how surely that pair was followed so; the answers to the last three such questions; the last word's class.
+* if not, the bits of its class (the magnitude of its count) and of a few bits of its hash. Contexts: the bits before,
+  alone; with the last word; with the word before that. Within a class and hash, words share by their counts.
+* a word with fewer than two training occurrences is class 0 and is spelled: the bits of its bytes, from the last one
+  to three bytes, all bytes so far, and the last two bytes with the word before.
+
+All predictions of a decision are stretched and mixed by weights gated by the decision's place. The weights are learned
+online while a text is read, a block of decisions after the other. Every decision is a distribution and every word has
+one code, so the scores of all texts sum to one at most.
+
+Words travel to their counts by hash bucket, as do pairs of words to what follows them: each slice of documents sends
+its distinct ones once, and both grow with the corpus. Broadcast are the context tables, whose size follows the corpus
+up to 2^WORD_BITS slots, and a few sums. Scores don't depend on how the rows are dealt over partitions.
 
 Defined results: a null or empty text is one end; a null id is crc32 of the empty string; rows of equal ids are scored
-each; without training documents, known counts are zero and every byte costs eight bits; other columns are ignored.
+each; without training documents, known counts are zero and every bit costs one; a text of any length is read in
+pieces, though its words are held at once; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,319 +37,521 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import written
-from tessella.llm.text_arrays import _BYTE, _powers, mix, slices, word_hashes, words
-
-CONTEXTS, SLOT_BITS, LEVELS = 5, 19, 6
-#: Profiles, the numbers that describe a text for them, and the documents to find them on.
-PROFILES, FEATURES, SAMPLE = 8, 256, 4000
-#: Shares of the word frequency within the profile and in all; the bit model has the rest.
-SHARES = np.array([(0.1, 0.05), (0.3, 0.05), (0.5, 0.05), (0.65, 0.03), (0.8, 0.02), (0.9, 0.02), (0.96, 0.01), (0.985, 0.005)])
-#: Words in a step of online learning; bytes in a step of scoring.
-STEP_BYTES = 1 << 16
-_BLOCK = 1 << 14
-_M = np.uint64(0x9E3779B97F4A7C15)
-_NODES = np.arange(8, dtype=np.uint8)
+from tessella.llm.text_arrays import mix, slices, word_hashes, words
+
+#: Words in a slice of documents; units in a step of reading; units between two changes of the weights.
+SLICE_WORDS, STEP, BLOCK = 1 << 21, 1 << 16, 32
+#: Events (distinct words, or pairs with what follows) that meet in one group, about.
+GROUP = 1 << 21
+#: Slots of a table: at most for word contexts, always for spelling; entries of the exact tables.
+WORD_BITS, SPELL_BITS, EXACT = 21, 18, 1024
+CLASSES, HASH_BITS = 32, 4
+TAG_BITS = 20
+#: By kind of decision: its gates (the places of its bits), the weights of its contexts where a text begins, and the rate
+#: at which they change while it is read.
+KINDS = {"follow": (1, (0.6, 0.6, 0.6), 0.02), "word": (5 + HASH_BITS, (0.7, 0.15, 0.15), 0.02), "spell": (8, (0.3, 0.3, 0.3, 0.3, 0.3), 0.004)}
+_PART = 1 << 14
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def held_out(key: str) -> bool:
     return zlib.crc32(key.encode()) % 7 == 2
 
 
-class Bits:
-    """The bit events of a run of words, each followed by a space: slots[context], y, and the words' first bytes."""
-
-    def __init__(self, data: np.ndarray, profile: np.ndarray):
-        data = np.asarray(data, np.uint8)
-        space = data == 32
-        begins = np.r_[0, np.flatnonzero(space)[:-1] + 1] if space.any() else np.zeros(1, np.int64)
-        power, inverse = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-        at = np.repeat(begins, np.diff(np.r_[begins, len(data)]))
-        prefix = (sums[:-1] - sums[at]) * inverse[at]
-        group = np.repeat(profile.astype(np.uint64), np.diff(np.r_[begins, len(data)])) << np.uint64(40)
-        last, depth, contexts = np.zeros(len(data), np.uint64), np.arange(len(data)) - at, []
-        for k in range(1, CONTEXTS):
-            byte = np.zeros(len(data), np.uint64)
-            byte[k:] = data[:-k]
-            last = (last << np.uint64(9)) | np.where(depth >= k, byte + np.uint64(1), np.uint64(0))
-            contexts.append(last ^ group)
-        contexts.append(prefix)
-        node = ((1 << _NODES.astype(np.int64)) | (data[:, None].astype(np.int64) >> (8 - _NODES.astype(np.int64)))).astype(np.uint64)
-        self.y = ((data[:, None] >> (7 - _NODES)) & 1).astype(bool)
-        self.slots = [((mix(c * _M + np.uint64(k))[:, None] + node * _M) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for k, c in enumerate(contexts)]
-        self.begins = begins
-
-
-def chunks(data: np.ndarray, profile: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pieces of about STEP_BYTES that end with a word, and the profiles of their words."""
-    at = word = 0
-    ends = np.flatnonzero(data == 32) + 1
-    while at < len(data):
-        i = max(int(np.searchsorted(ends, at + STEP_BYTES, "right")), word + 1)
-        yield data[at : ends[i - 1]], profile[word:i]
-        at, word = int(ends[i - 1]), i
-
-
-def inputs(bits: Bits, tables: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched predictions and gate levels, by context. own: 1 to leave a word's own counts out."""
-    stretch, level = [], []
-    for k, slot in enumerate(bits.slots):
-        n0, n1 = tables[k, 0][slot].astype(np.float32), tables[k, 1][slot].astype(np.float32)
-        if own:
-            n1 = np.maximum(n1 - bits.y, 0)
-            n0 = np.maximum(n0 - ~bits.y, 0)
-        n = n0 + n1
-        stretch.append(np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05))))
-        level.append((n > 0).astype(np.int8) + (n > 1) + (n > 4) + (n > 20) + (n > 200))
-    return np.array(stretch), np.array(level)
-
-
-def predict(stretch: np.ndarray, level: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    z = np.zeros(stretch.shape[1:], np.float32)
-    for k in range(CONTEXTS):
-        z += weights[k].astype(np.float32)[level[k]] * stretch[k]
-    return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-
-
-def word_scores(data: np.ndarray, profile: np.ndarray, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """log10 probabilities of words that are each followed by a space."""
-    out = []
-    for part in chunks(data, profile):
-        bits = Bits(*part)
-        p = predict(*inputs(bits, tables, 0), weights)
-        out.append(np.add.reduceat(np.log10(np.where(bits.y, p, 1 - p), dtype=np.float64).sum(1), bits.begins))
-    return np.concatenate(out) if out else np.zeros(0)
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Shares of hashed byte pairs, by text."""
-    pair = (data[:-1].astype(np.int64) * 31 + data[1:] * 7 + (data[1:] >> 3)) % FEATURES
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:-1]
-    out = np.bincount(owner * FEATURES + pair, minlength=(len(offsets) - 1) * FEATURES).reshape(-1, FEATURES).astype(np.float64)
-    return np.sqrt(out / np.maximum(out.sum(1, keepdims=True), 1))
-
-
-def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return ((centroids**2).sum(1) - 2 * x @ centroids.T).argmin(1)
-
-
-def profiles(docs: DataFrame) -> np.ndarray:
-    """Centroids of the features of at most about SAMPLE training documents, chosen by hash. docs: k and t."""
-    n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
+def packed(x: np.ndarray) -> bytes:
+    """The bytes of x by place in the number, compressed."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            for lo, hi, data, offsets in slices(b.column(1)):
-                x = features(data, offsets)
-                ok = [i for i in range(hi - lo) if not held_out(keys[lo + i] or "")]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[lo + i] or "" for i in ok], pa.string()), pa.array([x[i].astype(np.float32).tobytes() for i in ok], pa.binary())], ["k", "x"])
-
-    rows = sorted(some.mapInArrow(run, "k string, x binary").collect())  # bounded by SAMPLE
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64).reshape(-1, FEATURES)
-    if not len(x):
-        return np.zeros((PROFILES, FEATURES))
-    centroids = [x.mean(0)]
-    while len(centroids) < PROFILES:  # the farthest text each time, a trifle towards the middle
-        far = np.min([((x - c) ** 2).sum(1) for c in centroids], 0)
-        centroids.append(x[np.argsort(far, kind="stable")[int(0.95 * (len(x) - 1))]])
-    centroids = np.array(centroids)
-    for _ in range(25):
-        at = nearest(x, centroids)
-        centroids = np.array([x[at == i].mean(0) if (at == i).any() else centroids[i] for i in range(PROFILES)])
-    return centroids
-
-
-def gather(docs: DataFrame, buckets: int, centroids) -> DataFrame:
-    """Each slice's distinct words with training counts, by bucket; and its documents' words as numbers of these."""
-    schema = "bucket int, slice long, words binary, counts binary, profiles binary, ids array<string>, lengths binary, refs binary, sizes binary"
 
+def unpacked(x: bytes, kind: type) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(x[8:], n, codec="zstd", asbytes=True), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The words at starts, each followed by a space; sizes count the space."""
+    at = np.cumsum(sizes)
+    out = np.full(int(at[-1]) if len(at) else 0, 32, np.uint8)
+    inside = np.repeat(starts - (at - sizes), sizes) + np.arange(len(out))
+    real = np.ones(len(out), bool)
+    real[at - 1] = False
+    out[real] = data[inside[real]]
+    return out
+
+
+# --- Slices of documents -------------------------------------------------------------------------------------------
+
+
+def gather(docs: DataFrame) -> DataFrame:
+    """Slices of documents: ids, words a document, bytes a document, the distinct words, and all words as their numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        ids, parts, n = [], [], 0
+
+        def slice_row() -> pa.RecordBatch:
+            hashes = np.concatenate([p[0] for p in parts])
+            _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            begin = np.cumsum([0] + [len(p[0]) for p in parts])
+            refs = np.concatenate([back[begin[i] + p[2]] for i, p in enumerate(parts)])
+            order = np.argsort(-np.bincount(refs, minlength=len(first)), kind="stable")  # frequent words have small numbers
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            data = np.concatenate([p[1] for p in parts])
+            ends = np.flatnonzero(data == 32)
+            starts, pick = np.r_[0, ends[:-1] + 1], first[order]
+            blob = spelled(data, starts[pick], (ends - starts)[pick] + 1) if len(pick) else data
+            row = [number, ids, *(packed(np.concatenate([p[i] for p in parts])) for i in (3, 4)), packed(blob), packed(rank[refs].astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 4), strict=True)], ["slice", "ids", "lengths", "sizes", "words", "refs"])
+
         for b in batches:
             keys = b.column(0).to_pylist()
-            train = np.array([not held_out(k or "") for k in keys])
             for lo, hi, data, offsets in slices(b.column(1)):
-                number += 1
                 starts, ends, owner = words(data, offsets)
-                group = nearest(features(data, offsets), centroids.value)
-                hashes = word_hashes(data, starts, ends)
-                uniq, first, back = np.unique(hashes ^ mix(group[owner].astype(np.uint64)), return_index=True, return_inverse=True)
-                count = np.bincount(back, weights=train[lo:hi][owner], minlength=len(uniq)).astype(np.uint32)
-                bucket = ((hashes[first] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                of = group[owner[first]].astype(np.uint8)
-                order = np.argsort(bucket, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                size = (ends - starts)[first[order]] + 1
-                at = np.cumsum(size)
-                blob = np.full(int(at[-1]) if len(at) else 0, 32, np.uint8)
-                inside = np.repeat(starts[first[order]] - (at - size), size) + np.arange(len(blob))
-                real = np.ones(len(blob), bool)
-                real[at - 1] = False
-                blob[real] = data[inside[real]]
-                rows = []
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for i in np.flatnonzero(np.diff(cut)):
-                    x, y = cut[i], cut[i + 1]
-                    rows.append((int(i), number, blob[at[x] - size[x] : at[y - 1]].tobytes(), count[order[x:y]].tobytes(), of[order[x:y]].tobytes(), None, None, None, None))
-                refs = rank[back].astype(np.uint16 if len(uniq) < 1 << 16 else np.uint32)
-                rows.append((-1, number, None, None, group.astype(np.uint8).tobytes(), [k or "" if k is not None else None for k in keys[lo:hi]], np.bincount(owner, minlength=hi - lo).astype(np.uint32).tobytes(), refs.tobytes(), np.diff(offsets).astype(np.uint64).tobytes()))
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema([(c.split()[0], k) for c, k in zip(schema.split(", "), kinds, strict=True)]))
-
-    return docs.mapInArrow(run, schema)
-
-
-def vocabulary(gathered: DataFrame) -> DataFrame:
-    """By bucket, one row of distinct words by profile (slice -1), and for each slice its words' numbers in that row."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.concatenate([np.frombuffer(w, np.uint8) for w in pdf["words"]])
-        group = np.concatenate([np.frombuffer(w, np.uint8) for w in pdf["profiles"]])
-        ends = np.flatnonzero(data == 32)
-        starts = np.r_[0, ends[:-1] + 1]
-        hashes = word_hashes(data, starts, ends)
-        uniq, first, back = np.unique(hashes ^ mix(group.astype(np.uint64)), return_index=True, return_inverse=True)
-        count = np.bincount(back, weights=np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]), minlength=len(uniq)).astype(np.uint64)
-        _, same = np.unique(hashes[first], return_inverse=True)
-        whole = np.bincount(same, weights=count).astype(np.uint64)
-        cut = np.cumsum([len(c) // 4 for c in pdf["counts"]])[:-1]
-        size = (ends - starts)[first] + 1
-        at = np.cumsum(size)
-        blob = data[np.repeat(starts[first] - (at - size), size) + np.arange(int(at[-1]))].tobytes()
-        n = len(pdf)
-        return pd.DataFrame({
-            "bucket": [int(pdf["bucket"].iloc[0])] * (n + 1), "slice": [-1, *pdf["slice"]], "words": [blob] + [None] * n, "counts": [count.tobytes()] + [None] * n,
-            "wholes": [whole[same].tobytes()] + [None] * n, "profiles": [group[first].tobytes()] + [None] * n, "numbers": [None, *(x.astype(np.uint32).tobytes() for x in np.split(back, cut))],
-            "tokens": [np.bincount(group[first], weights=count, minlength=PROFILES).astype(np.int64).tolist()] + [None] * n, "types": [int((whole > 0).sum())] + [0] * n,
-        })
-
-    schema = "bucket int, slice long, words binary, counts binary, wholes binary, profiles binary, numbers binary, tokens array<long>, types long"
-    return gathered.filter("bucket >= 0").select("bucket", "slice", "words", "counts", "profiles").groupBy("bucket").applyInPandas(run, schema)
-
-
-def _known_words(row) -> tuple[np.ndarray, np.ndarray]:
-    """The words with a training count, each followed by a space, and their profiles."""
-    data, count = np.frombuffer(row.words, np.uint8), np.frombuffer(row.counts, np.uint64)
-    size = np.diff(np.r_[-1, np.flatnonzero(data == 32)])
-    return data[np.repeat(count > 0, size)], np.frombuffer(row.profiles, np.uint8)[count > 0]
-
-
-def context_tables(vocab: DataFrame) -> np.ndarray:
-    """Counts of zeros and ones by context and slot, from each training word once."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((CONTEXTS, 2, 1 << SLOT_BITS), np.float32)
+                uniq, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                ids += keys[lo:hi]
+                parts.append((uniq, spelled(data, starts[first], (ends - starts)[first] + 1), back, np.bincount(owner, minlength=hi - lo).astype(np.uint64), np.diff(offsets).astype(np.uint64)))
+                n += len(starts)
+                if n >= SLICE_WORDS:
+                    yield slice_row()
+                    number, ids, parts, n = number + 1, [], [], 0
+        if ids:
+            yield slice_row()
+
+    return docs.mapInArrow(run, "slice long, ids array<string>, lengths binary, sizes binary, words binary, refs binary")
+
+
+class Slice:
+    """A slice's tokens (the words and ends of its documents, in order) as numbers of its distinct words; 0 is the end."""
+
+    def __init__(self, row):
+        self.ids, self.number = [None if k is None else str(k) for k in row.ids], int(row.slice)
+        self.lengths = unpacked(row.lengths, np.uint64).astype(np.int64) + 1
+        self.data = np.r_[np.uint8(10), np.uint8(32), unpacked(row.words, np.uint8)]
+        ends = np.flatnonzero(self.data == 32)
+        self.starts = np.r_[0, ends[:-1] + 1]
+        self.word_sizes = ends - self.starts + 1
+        self.hashes = word_hashes(self.data, self.starts, ends)
+        last = np.cumsum(self.lengths) - 1
+        self.tokens = np.zeros(int(last[-1]) + 1, np.int64)
+        inner = np.ones(len(self.tokens), bool)
+        inner[last] = False
+        self.tokens[inner] = unpacked(row.refs, np.uint32).astype(np.int64) + 1
+        self.owner = np.repeat(np.arange(len(last)), self.lengths)
+        self.learn = np.array([not held_out(k or "") for k in self.ids])
+        self.train = self.learn[self.owner]
+        begin = last - self.lengths + 1
+        self.before = np.r_[np.uint64(0), self.hashes[self.tokens[:-1]]]
+        self.before[begin] = 0
+        self.second = np.r_[np.uint64(0), self.before[:-1]]
+        self.second[begin] = 0
+
+    def follows(self) -> np.ndarray:
+        """By token: 43 bits of the last two words' hash, the tag of the word, and 1 for a training text."""
+        pair = mix(self.before * _A + mix(self.second ^ _C) * _B)
+        shift = np.uint64(TAG_BITS + 1)
+        return pair >> shift << shift | self.hashes[self.tokens] >> np.uint64(64 - TAG_BITS) << np.uint64(1) | self.train.astype(np.uint64)
+
+
+def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the leading bits: sorted numbers come bucket by bucket."""
+    return ((x >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
+
+
+def _messages(slices_: DataFrame, buckets: int, distinct: Callable) -> DataFrame:
+    """Each slice's sorted distinct events and their numbers, one row a bucket."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                for part in chunks(*_known_words(row)):
-                    bits = Bits(*part)
-                    for k, slot in enumerate(bits.slots):
-                        np.add.at(total[k, 1], slot[bits.y], np.float32(1))
-                        np.add.at(total[k, 0], slot[~bits.y], np.float32(1))
-        flat = total.reshape(-1, _BLOCK)
+                s = Slice(row)
+                x, n = distinct(s)
+                bucket = bucket_of(x, buckets)
+                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                yield pd.DataFrame({"bucket": bucket[cut[:-1]], "slice": s.number, "events": [packed(np.diff(x[i:j], prepend=np.uint64(0))) for i, j in zip(cut[:-1], cut[1:], strict=True)], "counts": [packed(n[i:j].astype(np.uint64)) for i, j in zip(cut[:-1], cut[1:], strict=True)]})
+
+    return slices_.mapInPandas(run, "bucket int, slice long, events binary, counts binary")
+
+
+def _events(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All events of a bucket, their numbers, and where the next slice's begin."""
+    each = [np.cumsum(unpacked(x, np.uint64), dtype=np.uint64) for x in pdf["events"]]
+    return np.concatenate(each), np.concatenate([unpacked(x, np.uint64) for x in pdf["counts"]]), np.cumsum([len(x) for x in each])[:-1]
+
+
+def classes(count: np.ndarray) -> np.ndarray:
+    """0 for words to spell, else 1 and up by the magnitude of the count."""
+    return np.where(count < 2, 0, np.minimum(CLASSES - 1, 1 + np.floor(np.log2(np.maximum(count.astype(np.float64) - 1, 1))).astype(np.int64)))
+
+
+def cells(count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return classes(count) << HASH_BITS | (hashes >> np.uint64(20) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+
+
+def word_counts(gathered: DataFrame, buckets: int) -> DataFrame:
+    """For each slice and bucket its words' training counts and their shares of their tags' counts; a row of sums a bucket (slice -1)."""
+    def distinct(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(s.hashes)
+        return s.hashes[order], np.bincount(s.tokens, weights=s.train, minlength=len(s.hashes))[order]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n, cut = _events(pdf)
+        uniq, back = np.unique(x, return_inverse=True)
+        count = np.bincount(back, weights=n, minlength=len(uniq)).astype(np.uint64)
+        _, tag = np.unique(uniq >> np.uint64(64 - TAG_BITS), return_inverse=True)
+        share = count / np.maximum(np.bincount(tag, weights=count), 1)[tag]
+        sums = [int(count.sum()), int((count > 0).sum()), *np.bincount(cells(count, uniq), weights=count, minlength=CLASSES << HASH_BITS).astype(np.int64)]
+        each = lambda v: [None, *(packed(p) for p in np.split(v[back], cut))]
+        return pd.DataFrame({"bucket": int(pdf["bucket"].iloc[0]), "slice": [-1, *pdf["slice"]], "counts": each(count), "shares": each(share.astype(np.float32)), "sums": [[int(v) for v in sums]] + [None] * len(pdf)})
+
+    return _messages(gathered, buckets, distinct).groupBy("bucket").applyInPandas(run, "bucket int, slice long, counts binary, shares binary, sums array<long>")
+
+
+def state_of(n: np.ndarray, top: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """What a pair of words tells: 0 when it was not seen, else 1 + 2 * (how often seen, how surely followed so) + whether so."""
+    often = np.searchsorted([2, 3, 5, 9], n, "right")
+    sure = (top * 2 >= n).astype(np.int64) + (top * 5 >= n * 4) + (top == n)
+    return np.where(n > 0, 1 + 2 * (often * 4 + sure) + hit, 0).astype(np.uint8)
+
+
+def followers(gathered: DataFrame, buckets: int) -> DataFrame:
+    """For each slice and bucket the states of its distinct pairs with what follows, own occurrences left out."""
+    def distinct(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(s.follows(), return_counts=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n, cut = _events(pdf)
+        order = np.argsort(x, kind="stable")
+        sx = x[order]
+        step = lambda v: np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        each = step(sx >> np.uint64(1))  # (pair, word)
+        c = np.add.reduceat(np.where(sx & np.uint64(1), n[order], 0).astype(np.int64), each)
+        words_ = sx[each] >> np.uint64(1)
+        pair = words_ >> np.uint64(TAG_BITS)
+        at = step(pair)
+        of = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(pair)]))
+        total = np.add.reduceat(c, at)
+        best = np.lexsort((-c, of))  # by count, then by tag
+        first = best[at]
+        more = np.r_[at[1:], len(pair)] - at > 1
+        second = np.where(more, best[np.minimum(at + 1, len(best) - 1)], first)
+        c1, c2 = c[first], np.where(more, c[second], 0)
+        i = np.arange(len(c))
+        is_top = i == first[of]
+        plain = state_of(total[of], c1[of], is_top)
+        still = (c - 1 > c2[of]) | ((c - 1 == c2[of]) & (first < second)[of]) | (c2[of] == 0)
+        own = state_of(total[of] - 1, np.where(is_top, np.where(still, c - 1, c2[of]), c1[of]), is_top & still)
+        back = np.repeat(np.arange(len(each)), np.diff(np.r_[each, len(sx)]))
+        out = np.empty(len(x), np.uint8)
+        out[order] = np.where(sx & np.uint64(1), own[back], plain[back])
+        return pd.DataFrame({"bucket": int(pdf["bucket"].iloc[0]), "slice": pdf["slice"].to_numpy(), "states": [packed(p) for p in np.split(out, cut)]})
+
+    return _messages(gathered, buckets, distinct).groupBy("bucket").applyInPandas(run, "bucket int, slice long, states binary")
+
+
+def joined(gathered: DataFrame, counted: DataFrame, followed: DataFrame) -> DataFrame:
+    """The slices with counts and shares by word and the state by token."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({c: [] for c in [*left.columns, "counts", "shares", "states"]})
+        s = Slice(left.iloc[0])
+        right = right.sort_values("bucket")
+        by_word, by_pair = right[right["counts"].notna()], right[right["states"].notna()]
+        order = np.argsort(s.hashes)
+        count, share = np.empty(len(order), np.uint64), np.empty(len(order), np.float32)
+        count[order] = np.concatenate([unpacked(x, np.uint64) for x in by_word["counts"]])
+        share[order] = np.concatenate([unpacked(x, np.float32) for x in by_word["shares"]])
+        _, back = np.unique(s.follows(), return_inverse=True)
+        state = np.concatenate([unpacked(x, np.uint8) for x in by_pair["states"]])[back]
+        return left.assign(counts=[packed(count)], shares=[packed(share)], states=[packed(state)])
+
+    both = counted.filter("slice >= 0").select("bucket", "slice", "counts", "shares").unionByName(followed, allowMissingColumns=True)
+    schema = "slice long, ids array<string>, lengths binary, sizes binary, words binary, refs binary, counts binary, shares binary, states binary"
+    return gathered.groupBy("slice").cogroup(both.groupBy("slice")).applyInPandas(run, schema)
+
+
+# --- Decisions and what predicts them --------------------------------------------------------------------------------
+
+
+def _word_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By cell: the nodes of its bits, the bits, and which of them are told (a class of 0 tells no hash)."""
+    cell = np.arange(CLASSES << HASH_BITS)[:, None]
+    kind, low = cell >> HASH_BITS, cell & ((1 << HASH_BITS) - 1)
+    a, b = np.arange(5), np.arange(HASH_BITS)
+    nodes = np.hstack([(1 << a) | kind >> (5 - a), CLASSES + (kind << HASH_BITS) + ((1 << b) | low >> (HASH_BITS - b))])
+    bits = np.hstack([kind >> (4 - a) & 1, low >> (HASH_BITS - 1 - b) & 1]).astype(bool)
+    return nodes, bits, np.hstack([np.ones((len(cell), 5), bool), np.repeat(kind > 0, HASH_BITS, 1)])
+
+
+NODES, BITS, TOLD = _word_code()
+_NODE_HASH = NODES.astype(np.uint64) * _A
+_BYTE_NODES = ((1 << np.arange(8)) | (np.arange(256)[:, None] >> (8 - np.arange(8)))).astype(np.uint64) * _A
+_BYTE_BITS = (np.arange(256)[:, None] >> (7 - np.arange(8)) & 1).astype(bool)
+
+
+def layout(bits: int) -> dict[str, tuple[int, int, int]]:
+    """Where each group of tables lies in the one array of counts: start, tables, slots."""
+    out, at = {}, 0
+    for name, tables, slots in (("word", 2, 1 << bits), ("spell", 5, 1 << SPELL_BITS), ("exact", 4, EXACT)):
+        out[name] = (at, tables, slots)
+        at += 2 * tables * slots
+    return out
+
+
+def stretches() -> np.ndarray:
+    """Stretched predictions by zeros + 256 * ones: as they are; with a zero left out; with a one left out."""
+    one, zero = (v.astype(np.float64) for v in np.divmod(np.arange(1 << 16), 256))
+    most = np.maximum(one, zero) == 255  # shrunken counts, where one occurrence is nothing
+    at = lambda z, o: np.log((np.maximum(o, 0) + 0.4) / (np.maximum(z, 0) + 0.4))
+    return np.concatenate([at(zero, one), at(zero - ~most, one), at(zero, one - ~most)]).astype(np.float32)
+
+
+STRETCH = stretches()
+
+
+def tables_of(flat: np.ndarray, bits: int) -> dict[str, np.ndarray]:
+    """The tables of counts as pairs of bytes, those of exact contexts as stretched predictions."""
+    part = {k: flat[at : at + 2 * t * n].reshape(t, n, 2).astype(np.float32) for k, (at, t, n) in layout(bits).items()}
+    small = {k: np.ceil(part[k] / np.maximum(1, part[k].max(-1, keepdims=True) / 255)).astype(np.uint16) for k in ("word", "spell")}
+    out = {k: v[..., 0] + (v[..., 1] << 8) for k, v in small.items()}
+    return out | {"exact": np.log((part["exact"][..., 1] + np.float32(0.4)) / (part["exact"][..., 0] + np.float32(0.4)))}
+
+
+class Decisions:
+    """The decisions of a joined slice: of each kind the units, their documents, slots, bits, and which are told."""
+
+    def __init__(self, row, bits: int):
+        self.slice = s = Slice(row)
+        self.bits = bits
+        self.count = unpacked(row.counts, np.uint64)
+        self.share = unpacked(row.shares, np.float32)
+        self.state = unpacked(row.states, np.uint8)
+        self.cell = cells(self.count, s.hashes)
+        self.right = (self.state > 0) & (self.state & 1 == 0)  # the state counts from 1
+        self.asked = np.flatnonzero(self.state)
+        self.coded = np.flatnonzero(~self.right)
+        self.spelt = self.coded[self.count[s.tokens[self.coded]] < 2]
+        # The last three answers in the same document.
+        right, owner = self.right[self.asked], s.owner[self.asked]
+        self.past = np.zeros(len(right), np.int64)
+        for k in (1, 2, 3):
+            self.past[k:] |= (right[:-k] & (owner[k:] == owner[:-k])).astype(np.int64) << (k - 1)
+        word = s.tokens[self.spelt]
+        self.letters = spelled(s.data, s.starts[word], s.word_sizes[word])
+        self.letter_of = np.repeat(np.arange(len(word)), s.word_sizes[word])
+
+    def units(self, kind: str) -> np.ndarray:
+        """How many units of a kind each document has."""
+        token = {"follow": self.asked, "word": self.coded, "spell": self.spelt[self.letter_of]}[kind]
+        return np.bincount(self.slice.owner[token], minlength=len(self.slice.lengths))
+
+    def follow(self, lo: int, hi: int) -> tuple[list, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        at = self.asked[lo:hi]
+        state = (self.state[at].astype(np.int64) - 1) >> 1
+        last = np.where(at > 0, self.cell[self.slice.tokens[at - 1]] >> HASH_BITS, 0)
+        last[self.slice.before[at] == 0] = 0
+        slots = [("exact", 1, state[:, None]), ("exact", 2, (self.past[lo:hi] * 8 + (state >> 2))[:, None]), ("exact", 3, (last * 8 + (state >> 2))[:, None])]
+        return slots, self.right[at][:, None], None, None
+
+    def word(self, lo: int, hi: int) -> tuple[list, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        at = self.coded[lo:hi]
+        cell = self.cell[self.slice.tokens[at]]
+        slots, node = [("exact", 0, NODES.take(cell, 0))], _NODE_HASH.take(cell, 0)
+        for k, context in enumerate((self.slice.before, self.slice.second)):
+            slot = node ^ mix(context[at] + np.uint64(k + 1))[:, None]
+            slot *= _B
+            slot >>= np.uint64(64 - self.bits)
+            slots.append(("word", k, slot.view(np.int64)))
+        return slots, BITS.take(cell, 0), TOLD.take(cell, 0), self.slice.train[at]
+
+    def spell(self, lo: int, hi: int) -> tuple[list, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        # Contexts reach back to the word's start, so read from there.
+        of = self.letter_of[lo:hi]
+        begin = int(np.searchsorted(self.letter_of, of[0])) if len(of) else lo
+        data, of = self.letters[begin:hi].astype(np.uint64), self.letter_of[begin:hi]
+        new = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        depth = np.arange(len(data)) - np.repeat(new, np.diff(np.r_[new, len(data)]))
+        last, contexts = np.zeros(len(data), np.uint64), []
+        for k in (1, 2, 3):
+            byte = np.zeros(len(data), np.uint64)
+            byte[k:] = data[:-k] + np.uint64(1)
+            byte[depth < k] = 0
+            last = last << np.uint64(9) | byte
+            contexts.append(last)
+        code = mix(data * _A + depth.astype(np.uint64) * _C)
+        sums = np.r_[np.uint64(0), np.cumsum(code, dtype=np.uint64)]
+        contexts.append(sums[:-1] - sums[np.arange(len(data)) - depth])
+        contexts.append(contexts[1] + self.slice.before[self.spelt[of]] * _C)
+        keep = slice(lo - begin, None)
+        byte, slots = data[keep].astype(np.int64), []
+        node = _BYTE_NODES.take(byte, 0)
+        for k, c in enumerate(contexts):
+            slot = node ^ mix(c[keep] * _B + np.uint64(k + 1))[:, None]
+            slot *= _B
+            slot >>= np.uint64(64 - SPELL_BITS)
+            slots.append(("spell", k, slot.view(np.int64)))
+        token = self.spelt[of[keep]]
+        own = self.slice.train[token] & (self.count[self.slice.tokens[token]] == 1)
+        return slots, _BYTE_BITS.take(byte, 0), None, own
+
+    def steps(self, kind: str) -> Iterator[tuple]:
+        n = int(self.units(kind).sum())
+        for lo in range(0, n, STEP):
+            yield getattr(self, kind)(lo, min(n, lo + STEP))
+
+    def learning(self, kind: str, lo: int, hi: int) -> np.ndarray:
+        token = {"follow": self.asked, "word": self.coded}[kind][lo:hi] if kind != "spell" else self.spelt[self.letter_of[lo:hi]]
+        return self.slice.train[token]
+
+
+def inputs(tables: dict, slots: list, bits: np.ndarray, own: np.ndarray | None) -> list[np.ndarray]:
+    """Stretched predictions by context: units x bits. own: the units whose own occurrence is left out."""
+    which = None if own is None else (own[:, None] * (1 + bits.astype(np.uint32))) << np.uint32(16)
+    return [tables[name][table].take(slot) if name == "exact" else STRETCH.take(tables[name][table].take(slot) + which) for name, table, slot in slots]
+
+
+def read(length: np.ndarray, make: Callable, kind: str) -> np.ndarray:
+    """The cost in bits of each document's units; length: units a document. make(lo, hi): predictions, bits and told ones.
+
+    Each document begins with the kind's weights, the same at all gates; they move after every BLOCK of its units, for
+    all documents at once.
+    """
+    ends = np.cumsum(length)
+    cost, at, left, n = np.zeros(len(length)), 0, None, int(length.sum())
+    gates, start, rate = KINDS[kind]
+    while at < n:
+        whole = int(np.searchsorted(ends, at + STEP, "right"))
+        cut = int(ends[whole - 1]) if whole and ends[whole - 1] > at else at + STEP  # whole documents, or blocks of a long one
+        x, bits, told = make(at, cut)
+        docs = np.arange(np.searchsorted(ends, at, "right"), np.searchsorted(ends, cut - 1, "right") + 1)
+        docs = docs[length[docs] > 0]
+        begin = np.maximum(ends[docs] - length[docs], at) - at
+        size = np.minimum(ends[docs], cut) - at - begin
+        # Each document is padded to whole blocks; units of padding don't count.
+        blocks = -(-size // BLOCK)
+        first = np.cumsum(blocks) - blocks
+        inside = np.arange(int(blocks.sum()) * BLOCK) - np.repeat(first * BLOCK, blocks * BLOCK)
+        use = inside < np.repeat(size, blocks * BLOCK)
+        unit = np.where(use, np.repeat(begin, blocks * BLOCK) + inside, 0)
+        shape = (-1, BLOCK, bits.shape[1])
+        x = [v.take(unit, 0).reshape(shape) for v in x]
+        sign = (1 - 2 * bits.astype(np.float32)).take(unit, 0)  # -1 where the bit is one
+        use = (use[:, None] if told is None else use[:, None] & told.take(unit, 0)).astype(np.float32)
+        sign, use = sign.reshape(shape), np.broadcast_to(use, (len(unit), bits.shape[1])).reshape(shape)
+        weights = [np.full((len(docs), gates), w, np.float32) for w in start]
+        if left is not None:
+            for k, w in enumerate(weights):
+                w[0] = left[k]
+        order = np.argsort(-blocks, kind="stable")
+        falling = -blocks[order]
+        for t in range(int(blocks.max())):
+            some = order[: np.searchsorted(falling, -t, "left")]
+            here = first[some] + t
+            xs, back, counts = [v[here] for v in x], sign[here], use[here]
+            z = np.zeros(back.shape, np.float32)
+            for k, v in enumerate(xs):
+                z += v * weights[k][some][:, None]
+            np.clip(z, -15, 15, out=z)
+            z *= back
+            np.exp(z, out=z)  # the odds against the bit
+            cost[docs[some]] += (np.log(1 + z) * counts).sum((1, 2), dtype=np.float64)
+            z /= 1 + z
+            z *= back
+            z *= counts
+            for k, v in enumerate(xs):
+                weights[k][some] -= np.float32(rate) * (z * v).sum(1)
+        left = [w[-1] for w in weights] if cut < ends[docs[-1]] else None
+        at = cut
+    return cost / np.log(2)
+
+
+# --- Learning and scoring ------------------------------------------------------------------------------------------
+
+
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator:
+    for pdf in batches:
+        yield from pdf.itertuples()
+
+
+def context_counts(slices_: DataFrame, bits: int) -> np.ndarray:
+    """Zeros and ones by table and slot over all training texts."""
+    place = layout(bits)
+    size = sum(2 * t * n for _, t, n in place.values())
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(-(-size // _PART) * _PART, np.uint32)
+        for row in _rows(batches):
+            d = Decisions(row, bits)
+            for kind in KINDS:
+                lo = 0
+                for slots, y, told, own in d.steps(kind):
+                    # Of spelled words those that occur once, where they occur.
+                    use = np.broadcast_to((own if kind == "spell" else d.learning(kind, lo, lo + len(y)))[:, None], y.shape)
+                    use = np.flatnonzero(use if told is None else use & told)
+                    lo += len(y)
+                    y = y.ravel().take(use)
+                    for name, table, slot in slots:
+                        begin, _, n = place[name]
+                        np.add.at(total, 2 * slot.ravel().take(use) + (y + (begin + 2 * table * n)), np.uint32(1))
+        flat = total.reshape(-1, _PART)
         for i in np.flatnonzero(flat.any(1)):
-            yield pd.DataFrame({"block": [int(i)], "n": [zlib.compress(flat[i].tobytes(), 1)]})
+            yield pd.DataFrame({"part": [int(i)], "n": [packed(flat[i])]})
 
     def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(_BLOCK, np.float64)
+        total = np.zeros(_PART, np.uint64)
         for pdf in batches:
             for x in pdf["n"]:
-                total += np.frombuffer(zlib.decompress(x), np.float32)
-        yield pd.DataFrame({"block": [key[0]], "n": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
+                total += unpacked(x, np.uint32)
+        yield pd.DataFrame({"part": [key[0]], "n": [packed(total)]})
 
-    out = np.zeros((CONTEXTS * 2 * (1 << SLOT_BITS) // _BLOCK, _BLOCK), np.float32)
-    for row in vocab.select("words", "counts", "profiles").mapInPandas(count, "block int, n binary").groupBy("block").applyInPandas(add, "block int, n binary").collect():  # 20 MB at most
-        out[row.block] = np.frombuffer(zlib.decompress(row.n), np.float32)
-    out = out.reshape(CONTEXTS, 2, -1)
-    return np.ceil(out / np.maximum(1, out.max(1, keepdims=True) / 65_000)).astype(np.uint16)  # both counts of a slot shrink alike
+    out = np.zeros((-(-size // _PART), _PART), np.uint64)
+    for row in slices_.mapInPandas(count, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect():  # bounded by WORD_BITS
+        out[row.part] = unpacked(row.n, np.uint64)
+    return out.ravel()[:size]
 
 
-def mixing_weights(vocab: DataFrame, tables) -> np.ndarray:
-    """Gated weights by context and level, learned online in each partition and averaged by the words read."""
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, square, n = np.full((CONTEXTS, LEVELS), 0.3), np.full((CONTEXTS, LEVELS), 1e-4), 0
-        for pdf in batches:
-            for row in pdf.itertuples():
-                for part in chunks(*_known_words(row)):
-                    bits = Bits(*part)
-                    stretch, level = inputs(bits, tables.value, 1)
-                    error = bits.y - predict(stretch, level, w)
-                    g = np.array([np.bincount(level[k].ravel(), weights=(error * stretch[k]).ravel(), minlength=LEVELS) for k in range(CONTEXTS)]) / error.size
-                    square += g * g
-                    w += 0.05 * g / np.sqrt(square)
-                    n += len(bits.begins)
-        if n:
-            yield pd.DataFrame({"n": [n], "w": [(w * n).ravel().tolist()]})
-
-    sums = vocab.select("words", "counts", "profiles").mapInPandas(learn, "n long, w array<double>")
-    row = sums.agg(F.sum("n").alias("n"), *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(CONTEXTS * LEVELS)]).first()
-    return np.full((CONTEXTS, LEVELS), 0.3) if not row.n else np.array([row[f"w{i}"] / row.n for i in range(CONTEXTS * LEVELS)]).reshape(CONTEXTS, LEVELS)
+def log_scores(d: Decisions, tables: dict, cell_sums: np.ndarray) -> np.ndarray:
+    """log10 probabilities of a slice's documents."""
+    s, cost = d.slice, np.zeros(len(d.slice.lengths))
+    for kind in KINDS:
+        def make(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            slots, bits, told, own = getattr(d, kind)(lo, hi)  # noqa: B023
+            return inputs(tables, slots, bits, own), bits, told
+
+        cost += read(d.units(kind), make, kind)
+    word = s.tokens
+    rest = np.where(d.right[np.arange(len(word))], d.share[word], np.where(d.count[word] < 2, 1.0, d.count[word] / np.maximum(cell_sums, 1)[d.cell[word]]))
+    cost -= np.bincount(s.owner, weights=np.log2(np.maximum(rest, 1e-30)), minlength=len(cost))
+    return -cost * np.log10(2)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
-    buckets = min(4096, max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    plain = docs.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"))
-    centroids = spark.sparkContext.broadcast(profiles(plain))
-    gathered = written(gather(plain, buckets, centroids), "gathered")
-    table = written(vocabulary(gathered), "vocabulary")
-    vocab = table.filter("slice = -1")
-    sums = vocab.agg(F.coalesce(F.sum("types"), F.lit(0)), *[F.coalesce(F.sum(F.col("tokens")[i]), F.lit(0)) for i in range(PROFILES)]).first()
-    types, by_profile = sums[0], np.array(sums[1:], np.float64)
-    tokens = int(by_profile.sum())
-    ids = gathered.filter("bucket = -1").select(F.explode("ids").alias("k"))
-    ends = ids.filter((F.crc32(F.encode(F.coalesce("k", F.lit("")), "UTF-8")) % 7) != 2).count()
-    tables = spark.sparkContext.broadcast(context_tables(vocab))
-    model = spark.sparkContext.broadcast(mixing_weights(vocab, tables))
-    total, distinct = tokens + ends, types + (ends > 0)
-
-    end = Bits(np.array([10], np.uint8), np.zeros(1, np.uint8))
-    p = predict(*inputs(end, tables.value, 0), model.value)
-    end_score = float(np.log10(np.where(end.y, p, 1 - p)).sum())
-
-    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The counts and scores of each slice's words, in its order."""
-        row = pdf[pdf["slice"] == -1].iloc[0]
-        count = np.frombuffer(row["counts"], np.uint64)
-        whole, group = np.frombuffer(row["wholes"], np.uint64), np.frombuffer(row["profiles"], np.uint8)
-        s = word_scores(np.frombuffer(row["words"], np.uint8), group, tables.value, model.value).astype(np.float32)
-        rest = pdf[pdf["slice"] != -1]
-        wide = np.uint32 if whole.max(initial=0) < 1 << 32 else np.uint64
-        at = [np.frombuffer(x, np.uint32) for x in rest["numbers"]]
-        return pd.DataFrame({"slice": rest["slice"].to_numpy(), "bucket": rest["bucket"].to_numpy(), "counts": [whole[i].astype(wide).tobytes() for i in at], "owns": [count[i].astype(wide).tobytes() for i in at], "scores": [s[i].tobytes() for i in at]})
-
-    def total_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = pdf[pdf["bucket"] >= 0].sort_values("bucket")
-        s = np.concatenate([np.frombuffer(x, np.float32) for x in blocks["scores"]] or [np.zeros(0, np.float32)]).astype(np.float64)
-        read = lambda column: np.concatenate([np.frombuffer(x, np.uint32 if len(x) == len(y) else np.uint64) for x, y in zip(blocks[column], blocks["scores"], strict=True)] or [np.zeros(0)]).astype(np.float64)
-        c, own, s = np.r_[read("counts"), ends], np.r_[read("owns"), 0], np.r_[s, end_score]
-        base = np.log10((c + 1) / (total + distinct + 1))
-        spell, everywhere = (1 - SHARES.sum(1))[:, None] * 10**s, SHARES[:, 1:] * (c / max(total, 1))
-        out = []
-        for d in pdf[pdf["bucket"] == -1].itertuples():
-            n = np.frombuffer(d.lengths, np.uint32).astype(np.int64)
-            refs = np.frombuffer(d.refs, np.uint16 if 2 * n.sum() == len(d.refs) else np.uint32)
-            owner = np.repeat(np.arange(len(n)), n)
-            add = lambda v: np.bincount(owner, weights=v[refs], minlength=len(n)) + v[-1]  # noqa: E731, B023
-            group = np.frombuffer(d.profiles, np.uint8)
-            each = np.zeros((len(SHARES), len(n)))
-            for g in np.unique(group):  # a slice's words are told apart by profile, so own counts are of the text's profile
-                share = own / max(by_profile[g], 1)
-                share[-1] = ends / max(total, 1)
-                mixed = np.log10(SHARES[:, :1] * share + everywhere + spell)
-                each[:, group == g] = np.array([add(m) for m in mixed])[:, group == g]
-            top = each.max(0)
-            logs = top + np.log10((10 ** (each - top)).mean(0)) - np.log10(PROFILES)
-            size = np.frombuffer(d.sizes, np.uint64)
-            out.append(pd.DataFrame({"k": d.ids, "held_out": [held_out(k or "") for k in d.ids], "n_tokens": n + 1, "n_known": add((c > 0).astype(float)).astype(np.int64), "base_score": add(base), "score": logs, "bits_per_byte": -logs * np.log2(10) / np.maximum(size, 1)}))
-        return pd.concat(out)
-
-    rated = table.groupBy("bucket").applyInPandas(rate, "slice long, bucket int, counts binary, owns binary, scores binary")
-    both = rated.unionByName(gathered.filter("bucket = -1").select("slice", "bucket", "profiles", "ids", "lengths", "refs", "sizes"), allowMissingColumns=True)
-    out = both.groupBy("slice").applyInPandas(total_up, "k string, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    gathered = written(gather(docs.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"))), "gathered")
+    size = gathered.agg(F.coalesce(F.sum(F.octet_length("refs")), F.lit(0))).first()[0]  # about two bytes a word
+    buckets = int(np.clip(size // 2 // GROUP, 8, 1 << 16))
+    counted = written(word_counts(gathered, buckets), "counted")
+    n_sums = 2 + (CLASSES << HASH_BITS)
+    sums = counted.filter("slice = -1").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    total, distinct, *cell_sums = (lambda d: [d.get(i, 0) for i in range(n_sums)])({r.pos: r.n for r in sums})
+    slices_ = written(joined(gathered, counted, followers(gathered, buckets)), "slices")
+    bits = int(np.clip(np.ceil(np.log2(max(total, 1))), 14, WORD_BITS))
+    tables = spark.sparkContext.broadcast(tables_of(context_counts(slices_, bits), bits))
+    cell_sums = np.array(cell_sums, np.float64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in _rows(batches):
+            d = Decisions(row, bits)
+            s, sizes = d.slice, unpacked(row.sizes, np.uint64)
+            add = lambda v: np.bincount(s.owner, weights=v[s.tokens], minlength=len(s.lengths))  # noqa: B023, E731
+            logs = log_scores(d, tables.value, cell_sums)
+            yield pd.DataFrame({
+                "k": s.ids, "held_out": ~s.learn, "n_tokens": s.lengths, "n_known": add(d.count > 0).astype(np.int64), "base_score": add(np.log10((d.count.astype(np.float64) + 1) / (total + distinct + 1))),
+                "score": logs, "bits_per_byte": -logs * np.log2(10) / np.maximum(sizes, 1),
+            })
+
+    out = slices_.mapInPandas(run, "k string, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
