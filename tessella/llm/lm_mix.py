@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,9 +41,11 @@ from tessella.llm.shared import written
 from tessella.llm.text_arrays import mix, slices, word_hashes, words
 
 #: Words in a slice of documents; units in a step of reading; units between two changes of the weights.
-SLICE_WORDS, STEP, BLOCK = 1 << 21, 1 << 16, 32
+SLICE_WORDS, STEP, BLOCK = 3 << 19, 1 << 16, 32
 #: Events (distinct words, or pairs with what follows) that meet in one group, about.
-GROUP = 1 << 21
+GROUP = 1 << 20
+#: Bytes of joined slices that a task of counting reads at least: each task sends its counts of all tables once.
+COUNTED = 32 << 20
 #: Slots of a table: at most for word contexts, always for spelling; entries of the exact tables.
 WORD_BITS, SPELL_BITS, EXACT = 21, 18, 1024
 CLASSES, HASH_BITS = 32, 4
@@ -134,24 +137,36 @@ class Slice:
         self.word_sizes = ends - self.starts + 1
         self.hashes = word_hashes(self.data, self.starts, ends)
         last = np.cumsum(self.lengths) - 1
-        self.tokens = np.zeros(int(last[-1]) + 1, np.int64)
+        self.tokens = np.zeros(int(last[-1]) + 1, np.int32)
         inner = np.ones(len(self.tokens), bool)
         inner[last] = False
-        self.tokens[inner] = unpacked(row.refs, np.uint32).astype(np.int64) + 1
-        self.owner = np.repeat(np.arange(len(last)), self.lengths)
+        self.tokens[inner] = unpacked(row.refs, np.uint32) + np.uint32(1)
+        self.owner = np.repeat(np.arange(len(last), dtype=np.int32), self.lengths)
+        self.begin = last - self.lengths + 1
         self.learn = np.array([not held_out(k or "") for k in self.ids])
         self.train = self.learn[self.owner]
-        begin = last - self.lengths + 1
-        self.before = np.r_[np.uint64(0), self.hashes[self.tokens[:-1]]]
-        self.before[begin] = 0
-        self.second = np.r_[np.uint64(0), self.before[:-1]]
-        self.second[begin] = 0
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """The hash of the word before each token in its document, else 0."""
+        out = np.r_[np.uint64(0), self.hashes[self.tokens[:-1]]]
+        out[self.begin] = 0
+        return out
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        out = np.r_[np.uint64(0), self.before[:-1]]
+        out[self.begin] = 0
+        return out
 
     def follows(self) -> np.ndarray:
         """By token: 43 bits of the last two words' hash, the tag of the word, and 1 for a training text."""
-        pair = mix(self.before * _A + mix(self.second ^ _C) * _B)
-        shift = np.uint64(TAG_BITS + 1)
-        return pair >> shift << shift | self.hashes[self.tokens] >> np.uint64(64 - TAG_BITS) << np.uint64(1) | self.train.astype(np.uint64)
+        out, shift = np.empty(len(self.tokens), np.uint64), np.uint64(TAG_BITS + 1)
+        for at in range(0, len(out), STEP):
+            part = slice(at, at + STEP)
+            pair = mix(self.before[part] * _A + mix(self.second[part] ^ _C) * _B)
+            out[part] = pair >> shift << shift | self.hashes[self.tokens[part]] >> np.uint64(64 - TAG_BITS) << np.uint64(1) | self.train[part].astype(np.uint64)
+        return out
 
 
 def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
@@ -505,7 +520,9 @@ def context_counts(slices_: DataFrame, bits: int) -> np.ndarray:
         yield pd.DataFrame({"part": [key[0]], "n": [packed(total)]})
 
     out = np.zeros((-(-size // _PART), _PART), np.uint64)
-    for row in slices_.mapInPandas(count, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect():  # bounded by WORD_BITS
+    held = slices_.agg(F.sum(F.octet_length("refs") + F.octet_length("words"))).first()[0] or 0
+    few = slices_.coalesce(max(slices_.sparkSession.sparkContext.defaultParallelism, held // COUNTED))
+    for row in few.mapInPandas(count, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").collect():  # bounded by WORD_BITS
         out[row.part] = unpacked(row.n, np.uint64)
     return out.ravel()[:size]
 
