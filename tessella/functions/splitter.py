@@ -52,8 +52,15 @@ def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, separ
 
 @pandas_udf(T.ArrayType(T.StringType()))
 def split_column(texts: pd.Series) -> pd.Series:
+    """The chunks of each text; none of a null."""
     return texts.map(split_text)
 
 
+@pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def split_each(texts: pd.Series) -> pd.Series:
+    """The chunks of each text of an array; null for a null one, which needs no split."""
+    return texts.map(lambda row: None if row is None else [None if t is None else split_text(t) for t in row])
+
+
 def split(c: Column) -> Column:
     return split_column(c)

@@ -15,6 +15,8 @@ STRATEGIES = ["hyde", "multi_query", "none"]
 HEADING = r"(?md)^(#{1,6})\s+(.+)$"
 FRONTMATTER = r"(?s)\A---[ \t]*\r?\n(.*?)---[ \t]*\r?\n?"
 SHORT_SECTION, LONG_SECTION = 100, 1500
+# The characters that stripping takes for white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(c) -> Column:
@@ -22,11 +24,11 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def rstrip(c) -> Column:
-    return F.regexp_replace(_col(c), r"(?U)\s+$", "")
+    return F.rtrim(_col(c), F.lit(WHITE))
 
 
 def word_count(c) -> Column:
@@ -120,18 +122,18 @@ def merge_short(c) -> Column:
     """Sections shorter than SHORT_SECTION join the next one, under the first heading; a last one joins the one before."""
     part = "struct<heading: string, body: string>"
     empty = F.struct(F.expr(f"cast(array() as array<{part}>)").alias("done"), F.lit("").alias("heading"), F.lit("").alias("body"))
+    # What waits is short, so only short texts are joined and stripped again.
+    bare = F.transform(_col(c), lambda x: F.struct(x["heading"].alias("heading"), x["body"].alias("body"), strip(x["body"]).alias("bare")))
 
     def step(s: Column, x: Column) -> Column:
-        body, waiting = strip(x["body"]), s["body"] != ""
-        joined = F.concat(rstrip(s["body"]), F.lit("\n\n"), body)
-        text = F.when(waiting, joined).otherwise(body)
+        waiting = s["body"] != ""
+        joined = F.concat(rstrip(s["body"]), F.lit("\n\n"), x["bare"])
         head = F.when(waiting, s["heading"]).otherwise(x["heading"])
-        short = F.length(strip(text)) < SHORT_SECTION
+        short = F.when(F.length(x["bare"]) >= SHORT_SECTION, False).otherwise(F.when(waiting, F.length(strip(joined))).otherwise(F.length(x["bare"])) < SHORT_SECTION)
         one = F.struct(head.alias("heading"), F.when(waiting, joined).otherwise(x["body"]).alias("body"))
-        return F.struct(
-            F.when(short, s["done"]).otherwise(F.array_append(s["done"], one)).alias("done"),
-            F.when(short, head).otherwise(F.lit("")).alias("heading"), F.when(short, text).otherwise(F.lit("")).alias("body"),
-        )
+        return F.when(short, F.struct(s["done"].alias("done"), head.alias("heading"), F.when(waiting, joined).otherwise(x["bare"]).alias("body"))).otherwise(
+            F.struct(F.array_append(s["done"], one).alias("done"), F.lit("").alias("heading"), F.lit("").alias("body"))
+        )
 
     def finish(s: Column) -> Column:
         last = F.element_at(s["done"], -1)
@@ -139,7 +141,7 @@ def merge_short(c) -> Column:
         alone = F.array(F.struct(s["heading"].alias("heading"), s["body"].alias("body")))
         return F.when(s["body"] == "", s["done"]).when(F.size(s["done"]) == 0, alone).otherwise(F.array_append(F.slice(s["done"], F.lit(1), F.size(s["done"]) - 1), longer))
 
-    return F.aggregate(_col(c), empty, step, finish)
+    return F.aggregate(bare, empty, step, finish)
 
 
 def basename(c) -> Column:

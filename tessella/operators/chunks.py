@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.frontmatter import frontmatter
-from tessella.functions.splitter import split_column
+from tessella.functions.splitter import split_column, split_each
 from tessella.functions.text import LONG_SECTION, frontmatter_body, merge_short, sections, strip
 
+CHUNK_ARRAY = "array<struct<section_heading: string, content: string>>"
+
 
 def fixed_chunks(docs: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:
     """path, chunk_index, content by the fixed split."""
@@ -17,26 +21,50 @@ def fixed_chunks(docs: DataFrame, path: str = "file_path", text: str = "text") -
 
 def heading_chunks(docs: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:
     """path, chunk_index, section_heading, content: merged sections, long ones split, numbered through the document."""
-    merged = docs.select(path, F.posexplode(merge_short(sections(F.col(text)))).alias("_no", "_s"))
-    bodies = merged.select(path, "_no", F.col("_s.heading").alias("section_heading"), strip("_s.body").alias("_body")).filter("_body <> ''")
-    long = bodies.filter(F.length("_body") > LONG_SECTION).select(path, "_no", "section_heading", F.posexplode(split_column(F.col("_body"))).alias("_sub", "content"))
-    short = bodies.filter(F.length("_body") <= LONG_SECTION).select(path, "_no", "section_heading", F.lit(0).alias("_sub"), F.col("_body").alias("content"))
-    from pyspark.sql import Window
+    rows = docs.select(path, bare_sections(F.col(text)).alias("_bare"))
+    return rows.select(path, F.posexplode(cut_sections(F.col("_bare"))).alias("chunk_index", "_c")).select(path, "chunk_index", "_c.*")
+
+
+def bare_sections(text: Column) -> Column:
+    """Array of (section_heading, content): the merged sections, stripped, without empty ones."""
+    stripped = F.transform(merge_short(sections(text)), lambda s: F.struct(s["heading"].alias("section_heading"), strip(s["body"]).alias("content")))
+    return F.filter(stripped, lambda s: s["content"] != "")
+
 
-    return long.unionByName(short).withColumn("chunk_index", F.row_number().over(Window.partitionBy(path).orderBy("_no", "_sub")) - 1).select(path, "chunk_index", "section_heading", "content")
+def cut_sections(bare: Column) -> Column:
+    """The sections with the long ones split; only those go to the splitter. A document's chunks stay in its row, so
+    that they need no shuffle to be numbered. bare: a column, as it is used twice."""
+    cut = split_each(F.transform(bare, lambda s: F.when(F.length(s["content"]) > LONG_SECTION, s["content"])))
+    each = lambda s, c: F.transform(c, lambda x: F.struct(s["section_heading"].alias("section_heading"), x.alias("content")))
+    return F.flatten(F.zip_with(bare, cut, lambda s, c: F.when(c.isNull(), F.array(s)).otherwise(each(s, c))))
 
 
-def chunk_documents(docs: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:
-    """Chunks with their document's metadata: Markdown by headings, other text (and blank bodies) by the fixed split."""
+def parsed(docs: DataFrame, path: str = "file_path", text: str = "text") -> DataFrame:
+    """One row a document: path, chunk_strategy, its metadata, and _chunks: array of (section_heading, content).
+
+    Markdown is cut by headings, other text and blank bodies by the fixed split.
+    """
     meta = frontmatter(F.col("_text"))
-    parsed = docs.select(path, F.col(text).alias("_text")).withColumns({"_meta": meta, "_body": frontmatter_body("_text")})
+    rows = docs.select(path, F.col(text).alias("_text")).withColumns({"_meta": meta, "_body": frontmatter_body("_text")})
     markdown = F.lower(F.col(path)).endswith(".md") & (strip("_body") != "")
-    parsed = parsed.select(path, "_meta", "_body", F.when(markdown, "heading-aware").otherwise("fixed-split").alias("chunk_strategy"))
-    headed = heading_chunks(parsed.filter("chunk_strategy = 'heading-aware'"), path, "_body")
-    fixed = fixed_chunks(parsed.filter("chunk_strategy = 'fixed-split'"), path, "_body").withColumn("section_heading", F.lit(None).cast("string"))
+    fixed = F.transform(split_column(F.when(~F.coalesce(markdown, F.lit(False)), F.coalesce("_body", F.lit("")))), lambda x: F.struct(F.lit(None).cast("string").alias("section_heading"), x.alias("content")))
     tags = F.when(F.size("_meta.tags") > 0, F.concat_ws(",", "_meta.tags"))
-    of = parsed.select(path, "chunk_strategy", F.col("_meta.title").alias("title"), F.col("_meta.category").alias("category"), tags.alias("tags"), F.col("_meta.difficulty").alias("difficulty"), F.col("_meta.pack_id").alias("pack_id"))
-    return headed.unionByName(fixed).join(of, path)
+    named = rows.withColumns({"_bare": bare_sections(F.when(markdown, F.col("_body"))), "_fixed": fixed}).withColumn("_headed", cut_sections(F.col("_bare")))
+    # A Markdown text whose sections are all empty falls back to the fixed split, which finds nothing in it either.
+    strategy = F.when(F.size("_headed") > 0, "heading-aware").otherwise("fixed-split")
+    return named.select(path, strategy.alias("chunk_strategy"), F.col("_meta.title").alias("title"), F.col("_meta.category").alias("category"), tags.alias("tags"), F.col("_meta.difficulty").alias("difficulty"), F.col("_meta.pack_id").alias("pack_id"), F.when(F.size("_headed") > 0, F.col("_headed")).otherwise(F.coalesce("_fixed", F.array().cast(CHUNK_ARRAY))).alias("_chunks"))
+
+
+def chunk_documents(docs: DataFrame, path: str = "file_path", text: str = "text", embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks with their document's metadata, and with embed their vectors."""
+    return exploded(parsed(docs, path, text), path, embed)
+
+
+def exploded(rows: DataFrame, path: str = "file_path", embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The chunks of parsed documents."""
+    meta = ["chunk_strategy", "title", "category", "tags", "difficulty", "pack_id"]
+    out = rows.select(path, *meta, F.posexplode("_chunks").alias("chunk_index", "_c")).select(path, "chunk_index", "_c.section_heading", "_c.content", *meta)
+    return out.withColumn("embedding", embed(F.col("content"))) if embed else out
 
 
 def chunk_counts(chunks: DataFrame, path: str = "file_path") -> DataFrame:

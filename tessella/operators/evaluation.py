@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCEPTED = 0.8
@@ -24,6 +26,16 @@ def accepted(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("hit").alias("hit_rate")).withColumn("accepted", F.col("hit_rate") >= ACCEPTED)
 
 
-def samples(questions: DataFrame, results: DataFrame) -> DataFrame:
-    """Questions with their answers and contexts, matched by position (no)."""
-    return questions.join(results, "no", "left")
+def evaluate(questions: DataFrame, results: DataFrame, judges: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
+    """Questions (no, question, ground_truth) beside their answers and sources (no, answer, sources), matched by position,
+    with answered, n_sources and the score of each judge; a question without a result is an unanswered one."""
+    both = questions.join(results.select("no", "answer", "sources"), "no", "left")
+    both = both.withColumns({"answered": (F.col("answer").isNotNull()).cast("int"), "n_sources": F.coalesce(F.size("sources"), F.lit(0))})
+    for name, judge in (judges or {}).items():
+        both = both.withColumn(name, judge(both))
+    return both
+
+
+def numbered(questions: DataFrame, order: list[str]) -> DataFrame:
+    """questions with no, their position from 0. An evaluation set is small; its order is total."""
+    return questions.withColumn("no", F.row_number().over(Window.orderBy(*order)) - 1)

@@ -5,16 +5,22 @@ Conversations are told apart by the columns in `by`; the default is one history
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.models import summary
+from tessella.functions.models import standalone_question, summary
 from tessella.functions.text import transcript_line
 
 THRESHOLD = 20
 MOST_PER_PAGE = 500
 # The wording of the rewriting prompt.
-SUMMARIES_TITLE, HISTORY_TITLE, QUESTION_TITLE = "Conversation summaries:\n", "Recent conversation:\n", "Follow-up question: "
+REWRITE_TASK = (
+    "Given the conversation history below and a follow-up question, rewrite the follow-up question to be a standalone question that captures the full context. "
+    "Do not answer the question — just rewrite it.\n\n"
+)
+SUMMARIES_TITLE, HISTORY_TITLE, QUESTION_TITLE, REWRITE_END = "Earlier conversation summaries:\n", "Conversation history:\n", "Follow-up question: ", "\n\nStandalone question:"
 
 
 def history_page(messages: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -73,13 +79,22 @@ def advance(summaries: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rewrite_prompts(questions: DataFrame, messages: DataFrame, summaries: DataFrame, turns: int, by: list[str]) -> DataFrame:
-    """by, question, has_context and prompt: all summaries, the last messages, then the question."""
+    """The columns of questions, has_context and prompt: all summaries, the last messages, then the question."""
     recent = last_messages(messages, turns, by).groupBy(*by).agg(ordered_text("id", transcript_line("role", "content")).alias("_recent"))
-    told = summaries.groupBy(*by).agg(ordered_text("id", F.col("summary")).alias("_told"))
+    told = summaries.groupBy(*by).agg(ordered_text("id", F.col("summary"), "\n\n").alias("_told"))
     both = questions.join(recent, by, "left").join(told, by, "left")
-    part = lambda title, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(title), F.col(c), F.lit("\n\n"))).otherwise("")
-    prompt = F.concat(part(SUMMARIES_TITLE, "_told"), part(HISTORY_TITLE, "_recent"), F.lit(QUESTION_TITLE), F.col("question"))
-    return both.select(*by, "question", (F.col("_recent").isNotNull() | F.col("_told").isNotNull()).alias("has_context"), prompt.alias("prompt"))
+    summed = F.when(F.col("_told").isNotNull(), F.concat(F.lit(SUMMARIES_TITLE), "_told", F.lit("\n\n"))).otherwise("")
+    prompt = F.concat(F.lit(REWRITE_TASK), summed, F.lit(HISTORY_TITLE), F.coalesce("_recent", F.lit("")), F.lit("\n\n" + QUESTION_TITLE), F.col("question"), F.lit(REWRITE_END))
+    return both.select(*[questions[c] for c in questions.columns], (F.col("_recent").isNotNull() | F.col("_told").isNotNull()).alias("has_context"), prompt.alias("prompt"))
+
+
+def rewrite(questions: DataFrame, messages: DataFrame, summaries: DataFrame, turns: int, by: list[str], model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """questions with each question made to stand alone; as it is with no turns, no context or no answer of the model."""
+    if turns <= 0:
+        return questions
+    asked = rewrite_prompts(questions, messages, summaries, turns, by)
+    new = standalone_question(F.col("question"), F.col("prompt"), F.col("has_context"), model)
+    return asked.select(*[(new.alias(c) if c == "question" else F.col(c)) for c in questions.columns])
 
 
 def clear(messages: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

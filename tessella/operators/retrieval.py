@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import models
 from tessella.functions.text import checked_strategy, classify_strategy, with_original
+from tessella.operators.memory import rewrite
 from tessella.operators.vectors import knn
 
 K = 5
@@ -69,19 +70,32 @@ def variants(questions: DataFrame, setting: str = "auto", classify: Callable | N
 
 
 def answer_prompts(questions: DataFrame, chunks: DataFrame, k: int = K, condition: dict | None = None, rerank_hits: bool = False, embed: Callable = models.embed, score: Callable = models.overlap_score, custom: str = "", metric: str = "l2", **routing) -> dict[str, DataFrame]:
-    """The whole pipeline over questions (query_id, question) and chunks (file_path, chunk_index, content, embedding, ...).
+    """The pipeline up to the prompt over questions (query_id, question) and chunks (file_path, chunk_index, content, embedding, ...).
 
-    Gives hits, sources and prompts. Pools of several variants aren't cut to k unless reranked.
+    Gives variants, hits, sources and prompts. Pools of several variants aren't cut to k unless reranked.
     """
     texts = variants(questions, **routing)
     asked = texts.select(F.struct("query_id", "variant_no").alias("query_id"), embed(F.col("variant")).alias("vector"))
-    plain = asked.select(F.to_json("query_id").alias("query_id"), "vector")
     keyed = chunks.withColumn("key", F.struct("file_path", "chunk_index"))
-    near = knn(plain, keyed.withColumn("key", F.to_json("key")), k, metric, condition, vector="embedding")
-    near = near.select(F.from_json("query_id", texts.select(F.struct("query_id", "variant_no").alias("s")).schema["s"].dataType).alias("s"), F.from_json("key", "file_path string, chunk_index int").alias("c"), "rank", "distance")
-    near = near.select("s.*", "c.*", "rank", "distance")
+    near = knn(asked, keyed, k, metric, condition, vector="embedding").select("query_id.*", "key.*", "rank", "distance")
     hits = first_wins(near, ["file_path", "chunk_index"], ["variant_no", "rank"]).join(chunks.select("file_path", "chunk_index", "content"), ["file_path", "chunk_index"])
     if rerank_hits:
-        hits = hits.join(questions, "query_id")
+        hits = hits.join(questions.select("query_id", "question"), "query_id")
         hits = rerank(hits, score(F.col("question"), F.col("content"))).drop("question")
-    return {"hits": hits, "sources": sources(hits), "prompts": prompts(questions, hits, custom)}
+    return {"variants": texts, "hits": hits, "sources": sources(hits), "prompts": prompts(questions, hits, custom)}
+
+
+def answers(questions: DataFrame, chunks: DataFrame, model: Callable[[Column], Column], messages: DataFrame | None = None, summaries: DataFrame | None = None, turns: int = 0, by: list[str] | None = None, rewriter: Callable | None = None, **how) -> DataFrame:
+    """The whole pipeline: memory, rewriting, routing, expansion, search, fusion, reranking, prompt and answer.
+
+    questions: query_id, question and the columns of by; model: the messages (array of role and content) to an answer.
+    Gives query_id, question (as rewritten), strategy, sources (array of paths), answer, error: a null or blank answer is
+    an error. With turns > 0 the question is rewritten by the conversation's summaries and last messages.
+    """
+    asked = rewrite(questions, messages, summaries, turns, by or [], rewriter) if turns > 0 else questions
+    out = answer_prompts(asked.select("query_id", "question"), chunks, **how)
+    found = out["sources"].groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "file_path"))).alias("s")).select("query_id", F.col("s.file_path").alias("sources"))
+    routed = out["variants"].filter("variant_no = 0").select("query_id", "question", "strategy")
+    told = out["prompts"].select("query_id", models.or_else(model, F.col("messages"), F.lit(None).cast("string")).alias("answer"))
+    both = routed.join(found, "query_id", "left").join(told, "query_id")
+    return both.select("query_id", "question", "strategy", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "answer", F.when(F.col("answer").isNull(), "the model gave no answer").alias("error"))

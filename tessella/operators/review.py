@@ -25,11 +25,16 @@ def step(grade, repetitions, easiness, interval) -> Column:
     return F.struct(F.when(failed, F.lit(0)).otherwise(n + 1).cast("long").alias("repetitions"), new.alias("easiness"), F.when(failed, F.lit(FIRST)).otherwise(grown).cast("long").alias("interval"))
 
 
-def apply_reviews(items: DataFrame, graded: DataFrame, today: Column, now: Column) -> DataFrame:
-    """items after one review each of those in graded (id, grade); others stay as they are."""
-    both = items.join(graded.select("id", F.col("grade").alias("_g")), "id", "left")
-    after = both.withColumn("_s", F.when(F.col("_g").isNotNull(), step("_g", "repetitions", "easiness", "interval")))
-    done = F.col("_s").isNotNull()
+def apply_reviews(items: DataFrame, graded: DataFrame, today: Column, now: Column, order: list[str] | None = None) -> DataFrame:
+    """items after the reviews in graded (id, grade); others stay as they are.
+
+    Several reviews of an item follow one another by the columns of order, ties by grade. A null grade is none, and
+    grades of unknown items do nothing.
+    """
+    each = graded.filter("grade is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*(order or []), F.col("grade").alias("_q")))).alias("_g"))
+    start = F.struct(F.col("repetitions").cast("long").alias("repetitions"), F.col("easiness").cast("double").alias("easiness"), F.col("interval").cast("long").alias("interval"))
+    after = items.join(each, "id", "left").withColumn("_s", F.aggregate("_g", start, lambda s, x: step(x["_q"], s["repetitions"], s["easiness"], s["interval"])))
+    done = F.col("_g").isNotNull()
     set_to = {c: F.col(f"_s.{c}") for c in ("repetitions", "easiness", "interval")} | {"due_date": F.date_add(today, F.col("_s.interval").cast("int")), "updated_at": now}
     return after.select(*[F.when(done, set_to[c]).otherwise(F.col(c)).alias(c) if c in set_to else F.col(c) for c in items.columns])
 

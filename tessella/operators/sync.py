@@ -6,9 +6,15 @@ the caller. Every one is a single equi-join on file_path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import models
+from tessella.operators.chunks import exploded, parsed
+from tessella.sources.files import is_safe
+
 CHANGES = ("new", "modified", "unchanged", "deleted")
 _META = ("title", "category", "tags", "difficulty", "pack_id", "chunk_strategy")
 
@@ -80,6 +86,13 @@ def rename_files(table: DataFrame, renames: DataFrame) -> DataFrame:
     return both.select(*[name[c].alias(c) if c in name else F.col(c) for c in table.columns])
 
 
+def rename(documents: DataFrame, chunks: DataFrame, renames: DataFrame) -> dict[str, DataFrame]:
+    """Documents and chunks after the renames that can be made, and the refused ones (see rename_conflicts)."""
+    refused = rename_conflicts(documents, renames)
+    made = renames.join(refused, ["file_path", "new_path"], "left_anti")
+    return {"documents": rename_files(documents, made), "chunks": rename_files(chunks, made), "refused": refused}
+
+
 def replace_chunks(chunks: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
     """chunks with those of the touched files replaced by fresh ones; a file without fresh chunks has none."""
     return delete_files(chunks, touched).unionByName(fresh, allowMissingColumns=True)
@@ -96,20 +109,50 @@ def metadata(meta: Column) -> Column:
     return F.struct(*[(tags if f == "tags" else meta[f]).alias(f) for f in ("title", "category", "tags", "difficulty", "pack_id")])
 
 
-def sync(disk: DataFrame, documents: DataFrame, chunks: DataFrame, now: Column, force: bool = False) -> dict[str, DataFrame]:
-    """One pass: diff, then documents and chunks as they are afterwards, and the counters.
+def once(df: DataFrame) -> DataFrame:
+    """df kept in the shared folder of spark.checkpoint.dir, so that what is derived from it twice is computed once; df itself without such a folder."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
 
-    disk: file_path, file_name, file_size, file_hash, modified_at, text, error (null where the text could be read).
-    """
-    from tessella.operators.chunks import chunk_counts, chunk_documents
 
+def sync(disk: DataFrame, documents: DataFrame, chunks: DataFrame, now: Column, force: bool = False, embed: Callable[[Column], Column] | None = models.embed) -> dict[str, DataFrame]:
+    """One pass: diff, then documents and chunks as they are afterwards, and the counters. Fresh chunks get their vectors.
+
+    disk: file_path, file_name, file_size, file_hash, modified_at, text, error (null where the text could be read). A
+    document's metadata are those of its frontmatter, whether or not it has chunks.
+    """
     diff = snapshot_diff(disk, documents)
     wanted = disk.join(to_ingest(diff, force), "file_path", "left_semi")
     good, bad = wanted.filter("error is null"), wanted.filter("error is not null")
-    fresh = chunk_documents(good)
-    meta = fresh.select("file_path", *_META).dropDuplicates(["file_path"])  # equal in all chunks of a file
-    done = good.select("file_path", "file_name", "file_size", "file_hash", "modified_at").join(chunk_counts(fresh), "file_path", "left").join(meta, "file_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    rows = once(parsed(good))
+    fresh = exploded(rows, embed=embed)
+    about = rows.select("file_path", *_META, F.size("_chunks").cast("long").alias("chunk_count"))
+    done = good.select("file_path", "file_name", "file_size", "file_hash", "modified_at").join(about, "file_path")
     gone = diff.filter("change = 'deleted'")
     docs = upsert_errors(upsert_documents(delete_files(documents, gone), done, now), bad.select("file_path", "file_name", F.col("error").alias("error_message")), now)
     touched = gone.select("file_path").unionByName(good.select("file_path"))
     return {"diff": diff, "documents": docs, "chunks": replace_chunks(chunks, fresh, touched), "counters": sync_counters(diff)}
+
+
+def reembed(chunks: DataFrame, embed: Callable[[Column], Column] = models.embed) -> DataFrame:
+    """All chunks with vectors by another embedder; nothing else of them changes."""
+    return chunks.withColumn("embedding", embed(F.col("content")))
+
+
+def migrate(disk: DataFrame, documents: DataFrame, chunks: DataFrame, now: Column, embed: Callable[[Column], Column] | None = models.embed) -> dict[str, DataFrame]:
+    """Documents, chunks and counters after the documents to migrate were ingested again, changed or not.
+
+    Those whose file is gone or can't be read become errors, as in any ingest; all others stay as they are.
+    """
+    old = to_migrate(documents)
+    missing = old.join(disk, "file_path", "left_anti").select("file_path", "file_name", F.lit("the file is gone").alias("error_message"))
+    again = sync(disk.join(old, "file_path", "left_semi"), documents.join(old, "file_path", "left_semi").join(missing, "file_path", "left_anti"), chunks, now, True, embed)
+    docs = again["documents"].unionByName(upsert_errors(documents.join(missing, "file_path", "left_semi"), missing, now)).unionByName(documents.join(old, "file_path", "left_anti"))
+    counters = old.agg(F.count("*").alias("total")).crossJoin(F.broadcast(docs.join(old, "file_path", "left_semi").agg(F.count_if(F.col("status") == "error").alias("failed"))))  # two single rows
+    return {"documents": docs, "chunks": again["chunks"], "counters": counters}
+
+
+def saved(disk: DataFrame, path: str, text: str, now: Column) -> DataFrame:
+    """disk with a file's text saved, a new file or a known one: sync() then ingests it."""
+    row = disk.sparkSession.range(1).select(F.when(is_safe(F.lit(path)), path).otherwise(F.raise_error(F.lit("the path leaves the knowledge folder")).cast("string")).alias("file_path"), F.lit(text).alias("text"))
+    new = row.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.octet_length("text").cast("long").alias("file_size"), F.sha2("text", 256).alias("file_hash"), now.alias("modified_at"), "text", F.lit(None).cast("string").alias("error"))
+    return disk.filter(F.col("file_path") != path).unionByName(new, allowMissingColumns=True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries travel to the executors in blocks of so many.
+#: Up to so many queries are broadcast; more travel in blocks of about so many, as do the vectors then.
 QUERY_BLOCK = 4096
 #: Numbers that a step of the search holds at once.
 PAIRS = 1 << 22
@@ -64,39 +64,67 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 def knn(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2", condition: dict | None = None, match: str | None = None, key: str = "key", vector: str = "vector") -> DataFrame:
     """query_id, key, distance, rank (from 1; ties by key) of each query's k nearest vectors.
 
-    queries: query_id, vector and, for match, a column of that name; only vectors with an equal value are near. The
-    filters come before the distances. Each batch of vectors keeps its best k a query by (distance, key), so a
-    query shuffles k rows a batch: rounded distances only leave out vectors that their error can't bring among the k.
+    queries: query_id, vector and, for match, a column of that name; only vectors with an equal value are near, and a
+    null one equals none. A query or a row without a vector finds and is nothing. The filters come before the distances.
+    Each batch of vectors keeps its best k a query by (distance, key), so a query shuffles k rows a batch: rounded
+    distances only leave out vectors that their error can't bring among the k. Up to QUERY_BLOCK queries are broadcast;
+    more are dealt into blocks, and each block of vectors meets each of them on the executors.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    base = base.filter(where(condition)).filter(F.col(vector).isNotNull())
-    columns = [F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"), *([F.col(match).cast("string").alias("m")] if match else [])]
-    schema = T.StructType([queries.select("query_id").schema[0], T.StructField("key", base.schema[key].dataType), T.StructField("distance", T.DoubleType())])
-    found = None
-    for held in _blocks(queries, match):
-        near = base.select(*columns).mapInArrow(_search(base.sparkSession.sparkContext.broadcast(held), k, metric, to_arrow_type(schema[0].dataType)), schema)
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        found = base.sparkSession.createDataFrame([], schema)
+    columns = lambda df, name, v: df.filter(F.col(v).isNotNull() & (F.col(match).isNotNull() if match else F.lit(True))).select(F.col(name), F.col(v).cast("array<float>").alias("vector"), *([F.col(match).cast("string").alias("m")] if match else []))
+    asked, rows = columns(queries, "query_id", "vector"), columns(base.filter(where(condition)), key, vector).withColumnRenamed(key, "key")
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("key", rows.schema["key"].dataType), T.StructField("distance", T.DoubleType())])
+    kind = to_arrow_type(schema["query_id"].dataType)
+    some = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(some) <= QUERY_BLOCK:
+        ids, vectors, marks = ([r[i] for r in some] for i in range(3)) if match else ([r[0] for r in some], [r[1] for r in some], None)
+        held = base.sparkSession.sparkContext.broadcast((ids, np.array(vectors, np.float64), marks))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, marks = held.value
+            for b in batches:
+                if b.num_rows and len(ids):
+                    yield from _nearest(pa.array(ids, kind), q, marks, b.column(0), _matrix(b.column(1)), b.column(2).to_pylist() if match else None, k, metric)
+
+        found = rows.mapInArrow(near, schema)
+    else:
+        found = _by_blocks(asked, rows).mapInArrow(_near_blocks(k, metric, match), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "key"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, match: str | None) -> Iterator[tuple]:
-    rows = queries.select("query_id", F.col("vector").cast("array<float>"), *([F.col(match).cast("string")] if match else []))
-    held: list = []
-    for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            yield _pack(held, match)
-            held = []
-    if held:
-        yield _pack(held, match)
+def _by_blocks(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """q and x: each block of queries beside each block of vectors, joined by the number of the block of queries."""
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    dealt = asked.groupBy(F.pmod(F.xxhash64(*asked.columns), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("q"))
+    packed = T.StructType([T.StructField("x", T.ArrayType(rows.schema))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(at, QUERY_BLOCK)
+                whole = pa.StructArray.from_arrays(part.columns, part.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)], ["x"])
+
+    each = rows.mapInArrow(pack, packed).select("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return each.join(dealt, "block").select("q", "x")
+
 
+def _near_blocks(k: int, metric: str, match: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q, x = (b.column(c).slice(i, 1).flatten() for c in (0, 1))
+                part = lambda s, n: s.flatten()[n]
+                marks = [part(s, 2).to_pylist() for s in (q, x)] if match else (None, None)
+                yield from _nearest(part(q, 0), _matrix(part(q, 1)), marks[0], part(x, 0), _matrix(part(x, 1)), marks[1], k, metric)
+
+    return run
 
-def _pack(rows: list, match: str | None) -> tuple:
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], object) if match else None
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
 def _places(keys: pa.Array) -> np.ndarray:
@@ -104,41 +132,40 @@ def _places(keys: pa.Array) -> np.ndarray:
     out = np.empty(len(keys), np.int64)
     if pa.types.is_floating(keys.type):  # Spark has NaN last
         order = np.lexsort((keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_valid().to_numpy(zero_copy_only=False)))
+    elif pa.types.is_struct(keys.type):  # by the first field, then the next
+        order = np.lexsort([_places(c) for c in reversed(keys.flatten())])
     else:
         order = pc.sort_indices(keys, null_placement="at_start").to_numpy()
     out[order] = np.arange(len(keys))
-    return out
-
-
-def _search(held, k: int, metric: str, kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, wanted = held.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(b.num_rows, -1)
-            names, at_key = b.column(0), _places(b.column(0))
-            size = (x * x).sum(1)
-            slack = 8 * (x.shape[1] + 2) * np.finfo(float).eps
-            step = max(1, PAIRS // b.num_rows)
-            for lo in range(0, len(q), step):
-                part = q[lo : lo + step]
-                length = (part * part).sum(1)[:, None]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    rough = -2 * part @ x.T + size if metric == "l2" else -(part @ x.T) / (np.sqrt(size) if metric == "cosine" else 1)
-                off = slack * (length + size if metric == "l2" else np.sqrt(length) + 0 * size if metric == "cosine" else 1 + np.sqrt(length * size))
-                if wanted is not None:
-                    rough = np.where(wanted[lo : lo + step, None] == np.array(b.column(2).to_pylist(), object)[None, :], rough, np.inf)
-                ok = np.isfinite(rough)
-                n = min(k, b.num_rows)
-                last = np.partition(np.where(ok, rough + off, np.inf), n - 1, axis=1)[:, n - 1]  # the k-th distance isn't greater
-                rows, at = np.nonzero(ok & (rough - off <= last[:, None]))
-                cut = max(1, PAIRS // x.shape[1])
-                d = np.concatenate([_distances(part[rows[i : i + cut]], x[at[i : i + cut]], metric) for i in range(0, len(rows), cut)] or [np.zeros(0)])
-                order = np.lexsort((at_key[at], d, rows))
-                rows, at, d = rows[order], at[order], d[order]
-                best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + i] for i in rows[best]], kind), names.take(pa.array(at[best])), pa.array(d[best])], ["query_id", "key", "distance"])
-
-    return run
+    if pa.types.is_struct(keys.type) or not len(keys):
+        return out
+    # Equal keys share a place, so that the next field of a struct can tell them apart.
+    codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    first = np.full(codes.max() + 2, len(keys))
+    np.minimum.at(first, codes + 1, out)
+    return first[codes + 1]
+
+
+def _nearest(ids: pa.Array, q: np.ndarray, wanted: list | None, names: pa.Array, x: np.ndarray, marks: list | None, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """The best k by (distance, key) of these vectors for each of these queries."""
+    at_key, size = _places(names), (x * x).sum(1)
+    slack = 8 * (x.shape[1] + 2) * np.finfo(float).eps
+    step = max(1, PAIRS // len(x))
+    for lo in range(0, len(q), step):
+        part = q[lo : lo + step]
+        length = (part * part).sum(1)[:, None]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rough = -2 * part @ x.T + size if metric == "l2" else -(part @ x.T) / (np.sqrt(size) if metric == "cosine" else 1)
+        off = slack * (length + size if metric == "l2" else np.sqrt(length) + 0 * size if metric == "cosine" else 1 + np.sqrt(length * size))
+        if wanted is not None:
+            rough = np.where(np.array(wanted[lo : lo + step], object)[:, None] == np.array(marks, object)[None, :], rough, np.inf)
+        ok = np.isfinite(rough)
+        n = min(k, len(x))
+        last = np.partition(np.where(ok, rough + off, np.inf), n - 1, axis=1)[:, n - 1]  # the k-th distance isn't greater
+        rows, at = np.nonzero(ok & (rough - off <= last[:, None]))
+        cut = max(1, PAIRS // x.shape[1])
+        d = np.concatenate([_distances(part[rows[i : i + cut]], x[at[i : i + cut]], metric) for i in range(0, len(rows), cut)] or [np.zeros(0)])
+        order = np.lexsort((at_key[at], d, rows))
+        rows, at, d = rows[order], at[order], d[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[best] + lo)), names.take(pa.array(at[best])), pa.array(d[best])], ["query_id", "key", "distance"])

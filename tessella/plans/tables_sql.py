@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessella.operators.memory import REWRITE_TASK
+
 _SPACE = r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]"
 _NL = "chr(10)"
 
@@ -57,6 +59,8 @@ _SUMMARIES = f"{_DOCS}, sums AS (SELECT file_path, 'about ' || source AS summary
 _HEAD = "'(?m)^(#{1,6})\\s+(.+)$'"
 _FRONT = "'(?s)\\A---[ \\t]*\\r?\\n(.*?)---[ \\t]*\\r?\\n?'"
 
+_REWRITE = REWRITE_TASK.replace("\n", "' || chr(10) || '")
+
 ORACLES = {
     "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS file_hash, octet_length(encode(coalesce(text, '')))::BIGINT AS file_size FROM documents",
     "text_measures": f"""
@@ -73,6 +77,20 @@ WITH {_MD}, s AS (SELECT doc_id, regexp_split_to_array(text, {_HEAD}) AS p, list
 k AS (SELECT doc_id, p, h, {_strip('p[1]')} <> '' AS before FROM s)
 SELECT doc_id, (len(h) + before::INTEGER)::BIGINT AS n_sections, CASE WHEN before THEN '|' ELSE '' END || array_to_string(h, '|') AS headings,
   sha256(array_to_string(CASE WHEN before THEN p ELSE p[2:] END, '|')) AS bodies_sha256 FROM k""",
+    "sections_merged": f"""
+WITH RECURSIVE {_MD}, k AS (SELECT doc_id, regexp_split_to_array(text, {_HEAD}) AS p, list_transform(regexp_extract_all(text, {_HEAD}, 2), lambda x: {_strip('x')}) AS h FROM md),
+l AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS body, unnest(list_prepend('', h)) AS heading FROM k),
+s AS (SELECT doc_id, heading, body, {_strip('body')} AS bare, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no FROM l WHERE i > 0 OR {_strip('body')} <> '' OR doc_id IN (SELECT doc_id FROM k WHERE len(h) = 0)),
+g AS (  -- a section's outcome: the heading and text that wait after it, or the section that is done with it
+  SELECT doc_id, 0::BIGINT AS no, '' AS wait_heading, '' AS wait, NULL::VARCHAR AS heading, NULL::VARCHAR AS body FROM k
+  UNION ALL
+  SELECT doc_id, no, CASE WHEN short THEN head ELSE '' END, CASE WHEN short THEN CASE WHEN waiting THEN joined ELSE bare END ELSE '' END, CASE WHEN NOT short THEN head END, CASE WHEN NOT short THEN CASE WHEN waiting THEN joined ELSE body END END
+  FROM (SELECT *, length({_strip('joined')}) < 100 AS short FROM (SELECT s.*, g.wait <> '' AS waiting, CASE WHEN g.wait <> '' THEN g.wait_heading ELSE s.heading END AS head,
+    CASE WHEN g.wait <> '' THEN regexp_replace(g.wait, '{_SPACE}+$', '') || {_NL} || {_NL} || s.bare ELSE s.bare END AS joined FROM g JOIN s ON s.doc_id = g.doc_id AND s.no = g.no + 1))),
+d AS (SELECT doc_id, heading, body, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS no, count(*) OVER (PARTITION BY doc_id) AS n FROM g WHERE body IS NOT NULL),
+w AS (SELECT doc_id, wait_heading, wait FROM g QUALIFY no = max(no) OVER (PARTITION BY doc_id))
+SELECT doc_id, no::INTEGER AS no, heading, CASE WHEN no = n - 1 AND wait <> '' THEN regexp_replace(body, '{_SPACE}+$', '') || {_NL} || {_NL} || wait ELSE body END AS body FROM d JOIN w USING (doc_id)
+UNION ALL SELECT doc_id, 0, wait_heading, wait FROM w WHERE wait <> '' AND doc_id NOT IN (SELECT doc_id FROM d)""",
     "numbered_variants": f"""
 WITH {_DOCS}, l AS (SELECT doc_id, source, list_transform(string_split('intro' || {_NL} || '1. ' || replace(text, {_NL}, {_NL} || '  2) '), {_NL}), lambda x: {_strip('x')}) AS l FROM docs),
 v AS (SELECT doc_id, source, list_transform(list_filter(l, lambda x: regexp_matches(x, '^\\d+[.)]\\s*(.+)$')), lambda x: {_strip("regexp_extract(x, '^\\d+[.)]\\s*(.+)$', 1)")}) AS v FROM l),
@@ -110,8 +128,8 @@ WITH {_MESSAGES}, t AS (SELECT conv_id, count(*) AS n_messages, min(id) AS first
 SELECT *, sha256(transcript) AS summary FROM t WHERE n_messages >= 4""",
     "rewrite_prompts": f"""
 WITH {_MESSAGES}, r AS (SELECT conv_id, string_agg({_LINE}, {_NL} ORDER BY id) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id DESC) AS n FROM m) WHERE n <= 4 GROUP BY conv_id)
-SELECT conv_id, 'and ' || conv_id || '?' AS question, true AS has_context,
-  CASE WHEN last_message_id IS NULL THEN '' ELSE 'Conversation summaries:' || {_NL} || 'told ' || conv_id || {_NL} || {_NL} END || 'Recent conversation:' || {_NL} || recent || {_NL} || {_NL} || 'Follow-up question: and ' || conv_id || '?' AS prompt
+SELECT conv_id, 'and ' || conv_id || '?' AS question, true AS has_context, '{_REWRITE}' || CASE WHEN last_message_id IS NULL THEN '' ELSE 'Earlier conversation summaries:' || {_NL} || 'told ' || conv_id || {_NL} || {_NL} END
+  || 'Conversation history:' || {_NL} || recent || {_NL} || {_NL} || 'Follow-up question: and ' || conv_id || '?' || {_NL} || {_NL} || 'Standalone question:' AS prompt
 FROM r LEFT JOIN told USING (conv_id)""",
     "export_chat": f"WITH {_MESSAGES} SELECT role, content, id AS at FROM m ORDER BY id",
     "review_step": f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType())}
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType()), "vector": T.ArrayType(T.FloatType())}
 
 
 def _schema(columns: str) -> T.StructType:
@@ -17,7 +17,7 @@ DOCUMENTS = _schema(
     "file_path string, file_name string, file_size long, file_hash string, modified_at timestamp, indexed_at timestamp, chunk_count long, status string, error_message string, "
     "title string, category string, tags string, difficulty string, pack_id string, chunk_strategy string, created_at timestamp, updated_at timestamp"
 )
-CHUNKS = _schema("file_path string, chunk_index int, section_heading string, content string, chunk_strategy string, title string, category string, tags string, difficulty string, pack_id string")
+CHUNKS = _schema("file_path string, chunk_index int, section_heading string, content string, chunk_strategy string, title string, category string, tags string, difficulty string, pack_id string, embedding vector")
 MESSAGES = _schema("id long, role string, content string, sources strings, created_at timestamp")
 TASKS = _schema("id string, status string, total_files long, processed_files long, errors string, created_at timestamp, completed_at timestamp")
 CHAT_SUMMARIES = _schema("id long, summary string, first_message_id long, last_message_id long, created_at timestamp")

@@ -24,6 +24,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("packs").alias("p")).select("p.*").withColumnRenamed("id", "pack_id")
 
 
+def pack(packs: DataFrame, pack_id: str) -> DataFrame:
+    """The row of one pack; an unknown id is an error."""
+    found = packs.filter(F.col("pack_id") == pack_id)
+    if found.isEmpty():
+        raise KeyError(f"there is no pack {pack_id}")
+    return found
+
+
 def pack_files(spark: SparkSession, path: str) -> DataFrame:
     """file_path of a pack's files.json, an array of names or an object with files."""
     text = spark.read.text(path, wholetext=True)

@@ -26,6 +26,11 @@ def discover(spark: SparkSession, root: str, kinds: tuple = INGESTABLE) -> DataF
     return found.select(below.alias("file_path"), basename(below).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"), "content")
 
 
+def listed(files: DataFrame) -> DataFrame:
+    """The files in the order of their paths."""
+    return files.orderBy("file_path")
+
+
 def _plain(path: str) -> str:
     scheme, sep, rest = path.partition(":")
     return "/" + rest.lstrip("/") if sep and scheme.isalpha() else path

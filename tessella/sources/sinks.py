@@ -7,15 +7,17 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.memory import export_rows
+from tessella.operators.memory import export_rows, ordered_text
 from tessella.schemas import TABLES, conform
 from tessella.sources.files import is_safe
 
 #: Bytes of files that go to one archive.
 ARCHIVE_BYTES = 64 << 20
+#: Message ids in a file of an exported chat.
+CHAT_LINES = 10_000
 
 
 def write_table(df: DataFrame, name: str, path: str, **options) -> None:
@@ -62,3 +64,28 @@ def unpacked(packed: DataFrame) -> DataFrame:
                         yield pd.DataFrame({"file_path": [name], "content": [z.read(name)]})
 
     return packed.select("archive").mapInPandas(run, "file_path string, content binary")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """An evaluation report, a row, as a line of JSON."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_answers(answers: DataFrame, path: str, now: Column) -> None:
+    """Answers (query_id, question, answer, sources, error) as two messages each; one that failed keeps what was said before."""
+    turns = F.array(
+        F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("array<string>").alias("sources")),
+        F.struct(F.lit("assistant").alias("role"), F.coalesce("answer", F.lit("")).alias("content"), F.col("sources").alias("sources")),
+    )
+    each = answers.select("query_id", F.posexplode(turns).alias("turn", "m")).filter("turn = 0 or m.content <> ''")
+    append_messages(each.select((F.col("query_id") * 2 + F.col("turn")).alias("id"), "m.*", now.alias("created_at")), path)
+
+
+def full_export(files: DataFrame, messages: DataFrame, settings: str) -> DataFrame:
+    """Archives of the files below knowledge/, of the settings, and of the chat: files of JSON lines of CHAT_LINES ids each, named so that they sort by id."""
+    line = F.to_json(F.struct("role", "content", "sources", "created_at"))
+    part = F.concat(F.lit("chat/"), F.lpad(F.floor(F.col("id") / CHAT_LINES).cast("string"), 12, "0"), F.lit(".jsonl"))
+    chat = messages.groupBy(part.alias("file_path")).agg(ordered_text("id", line).cast("binary").alias("content"))
+    config = files.sparkSession.range(1).select(F.lit("config.yaml").alias("file_path"), F.lit(settings).cast("binary").alias("content"))
+    below = files.select(F.concat(F.lit("knowledge/"), "file_path").alias("file_path"), F.col("content").cast("binary").alias("content"))
+    return archives(below.unionByName(config).unionByName(chat))

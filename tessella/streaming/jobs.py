@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.operators.memory import THRESHOLD
-from tessella.sources.files import is_ingestable
+from tessella.operators.sync import sync
+from tessella.sources.files import discover, is_ingestable, read_texts
 
 
 def on_changes(events: DataFrame, resync: Callable[[SparkSession, DataFrame], None], checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
@@ -30,6 +31,18 @@ def on_changes(events: DataFrame, resync: Callable[[SparkSession, DataFrame], No
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def sync_on_changes(events: DataFrame, root: str, read: Callable[[SparkSession], tuple[DataFrame, DataFrame]], write: Callable[[dict[str, DataFrame]], None], checkpoint: str, every: str | None = "1 second", **how) -> StreamingQuery:
+    """Syncs the tables with the files below root after each batch of changes.
+
+    read: the tables of documents and chunks as they are; write: stores what sync() gives, as new versions.
+    """
+    def resync(spark: SparkSession, touched: DataFrame) -> None:
+        disk = read_texts(discover(spark, root))
+        write(sync(disk, *read(spark), F.current_timestamp(), **how))
+
+    return on_changes(events, resync, checkpoint, every)
+
+
 def compress_stream(messages: DataFrame, threshold: int = THRESHOLD, by: str = "conv_id", model: Callable[[str], str] | None = None) -> DataFrame:
     """by, first_message_id, last_message_id, n_messages, summary, as soon as threshold messages of a conversation wait.
 
