@@ -64,7 +64,7 @@ def held_out(key: str) -> bool:
 def packed(x: np.ndarray) -> bytes:
     """The bytes of x by place in the number, compressed."""
     raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
 
 def unpacked(x: bytes, kind: type) -> np.ndarray:
@@ -204,7 +204,10 @@ def cells(count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def word_counts(gathered: DataFrame, buckets: int) -> DataFrame:
-    """For each slice and bucket its words' training counts and their shares of their tags' counts; a row of sums a bucket (slice -1)."""
+    """For each slice and bucket its words' training counts and their shares of their tags' counts; a row of sums a bucket (slice -1).
+
+    A share is the upper half of a 32-bit float, so it is rounded down, by less than one in a hundred.
+    """
     def distinct(s: Slice) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(s.hashes)
         return s.hashes[order], np.bincount(s.tokens, weights=s.train, minlength=len(s.hashes))[order]
@@ -217,7 +220,7 @@ def word_counts(gathered: DataFrame, buckets: int) -> DataFrame:
         share = count / np.maximum(np.bincount(tag, weights=count), 1)[tag]
         sums = [int(count.sum()), int((count > 0).sum()), *np.bincount(cells(count, uniq), weights=count, minlength=CLASSES << HASH_BITS).astype(np.int64)]
         each = lambda v: [None, *(packed(p) for p in np.split(v[back], cut))]
-        return pd.DataFrame({"bucket": int(pdf["bucket"].iloc[0]), "slice": [-1, *pdf["slice"]], "counts": each(count), "shares": each(share.astype(np.float32)), "sums": [[int(v) for v in sums]] + [None] * len(pdf)})
+        return pd.DataFrame({"bucket": int(pdf["bucket"].iloc[0]), "slice": [-1, *pdf["slice"]], "counts": each(count), "shares": each((share.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint16)), "sums": [[int(v) for v in sums]] + [None] * len(pdf)})
 
     return _messages(gathered, buckets, distinct).groupBy("bucket").applyInPandas(run, "bucket int, slice long, counts binary, shares binary, sums array<long>")
 
@@ -273,9 +276,9 @@ def joined(gathered: DataFrame, counted: DataFrame, followed: DataFrame) -> Data
         right = right.sort_values("bucket")
         by_word, by_pair = right[right["counts"].notna()], right[right["states"].notna()]
         order = np.argsort(s.hashes)
-        count, share = np.empty(len(order), np.uint64), np.empty(len(order), np.float32)
+        count, share = np.empty(len(order), np.uint64), np.empty(len(order), np.uint16)
         count[order] = np.concatenate([unpacked(x, np.uint64) for x in by_word["counts"]])
-        share[order] = np.concatenate([unpacked(x, np.float32) for x in by_word["shares"]])
+        share[order] = np.concatenate([unpacked(x, np.uint16) for x in by_word["shares"]])
         _, back = np.unique(s.follows(), return_inverse=True)
         state = np.concatenate([unpacked(x, np.uint8) for x in by_pair["states"]])[back]
         return left.assign(counts=[packed(count)], shares=[packed(share)], states=[packed(state)])
@@ -339,7 +342,7 @@ class Decisions:
         self.slice = s = Slice(row)
         self.bits = bits
         self.count = unpacked(row.counts, np.uint64)
-        self.share = unpacked(row.shares, np.float32)
+        self.share = (unpacked(row.shares, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
         self.state = unpacked(row.states, np.uint8)
         self.cell = cells(self.count, s.hashes)
         self.right = (self.state > 0) & (self.state & 1 == 0)  # the state counts from 1
