@@ -259,3 +259,124 @@ def test_streams(spark, tmp_path):
     q = jobs.on_changes(spark.readStream.schema("path string, destination string").parquet(str(tmp_path / "ev")), lambda s, df: seen.extend(r.path for r in df.collect()), str(tmp_path / "cp2"), every=None)
     q.awaitTermination()
     assert sorted(seen) == ["x.MD", "z.pdf"]
+
+
+def test_knn_without_vectors_or_labels_and_in_blocks(spark, monkeypatch):
+    """1,200 equal vectors in several partitions; null vectors and labels; more queries than are broadcast."""
+    from tessella.operators import vectors
+
+    base = spark.range(1200).select(F.col("id").alias("key"), F.when(F.col("id") % 400 != 3, F.array(F.lit(1.0), F.lit(2.0))).alias("vector"), F.when(F.col("id") % 2 == 0, "even").alias("label"))
+    asked = spark.createDataFrame([(q, [1.0, float(q)], "even" if q % 2 else None) for q in range(1, 8)] + [(9, None, "even")], "query_id int, vector array<double>, label string")
+    first = [k for k in range(20) if k % 400 != 3]
+    for block in (4096, 3):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        for parts in (1, 5):
+            rows = knn(asked, base.repartition(parts), 6).collect()
+            assert {(r.query_id, r["rank"]): r.key for r in rows} == {(q, r + 1): first[r] for q in range(1, 8) for r in range(6)}
+            assert {r.distance for r in rows if r.query_id == 2} == {0.0}
+        same = knn(asked, base, 3, match="label").collect()
+        assert {(r.query_id, r.key) for r in same} == {(q, k) for q in (1, 3, 5, 7) for k in (0, 2, 4)}
+        keyed = base.withColumn("key", F.struct((F.col("key") % 2).alias("a"), F.col("key").alias("b")))
+        assert [tuple(r.key) for r in knn(asked.filter("query_id = 1"), keyed, 3).orderBy("rank").collect()] == [(0, 0), (0, 2), (0, 4)]
+    assert knn(asked.limit(0), base, 3).count() == 0 and knn(asked, base.limit(0), 3).count() == 0
+
+
+def test_splitter_by_hand():
+    assert split_text(None) == split_text("") == split_text(" \n ") == []
+    assert split_text("aaaa bbbb cccc dddd", 10, 5) == ["aaaa bbbb", "bbbb cccc", "cccc dddd"]
+    assert split_text("one\n\ntwo three four", 9, 0) == ["one", "two", "three", "four"]  # "\ntwo" and " three" are ten characters
+    assert split_text("one\n\ntwo three four", 10, 0) == ["one", "two three", "four"]
+    assert split_text("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9]
+    assert split_text("short", 10, 2) == ["short"]
+
+
+def test_chunks_of_long_and_blank_documents(spark):
+    long = "# A\n" + "word " * 400 + "\n## B\n" + "b" * 120
+    rows = [("a.md", long), ("b.md", "---\ntitle: T\n---\n \n"), ("c.txt", "plain"), ("d.md", None), ("e.MD", "# H\n")]
+    docs = spark.createDataFrame(rows, "file_path string, text string")
+    got = {}
+    for r in chunks.chunk_documents(docs).collect():
+        got.setdefault(r.file_path, []).append((r.chunk_index, r.section_heading, len(r.content), r.chunk_strategy))
+    parts = [len(p) for p in split_text(("word " * 400).strip())]
+    assert sorted(got["a.md"]) == [*((i, "A", n, "heading-aware") for i, n in enumerate(parts)), (len(parts), "B", 120, "heading-aware")]
+    assert set(got) == {"a.md", "c.txt"} and got["c.txt"] == [(0, None, 5, "fixed-split")]
+
+
+def test_rename_review_and_tasks_refuse(spark):
+    docs = schemas.conform(spark.createDataFrame([("a.md", "a.md"), ("b.md", "b.md"), ("c.md", "c.md")], "file_path string, file_name string"), schemas.DOCUMENTS)
+    held = schemas.conform(spark.createDataFrame([("a.md", 0)], "file_path string, chunk_index int"), schemas.CHUNKS)
+    moves = spark.createDataFrame([("a.md", "x/n.md"), ("b.md", "c.md")], "file_path string, new_path string")
+    out = sync.rename(docs, held, moves)
+    assert {(r.file_path, r.file_name) for r in out["documents"].collect()} == {("x/n.md", "n.md"), ("b.md", "b.md"), ("c.md", "c.md")}
+    assert out["chunks"].first().file_path == "x/n.md" and out["refused"].count() == 1
+    items = spark.createDataFrame([(1, 0, 2.5, 1), (2, 0, 2.5, 1)], "id int, repetitions long, easiness double, interval long").withColumns({"due_date": F.lit("2024-01-01").cast("date"), "updated_at": F.current_timestamp()})
+    graded = spark.createDataFrame([(1, 2, 4), (1, 1, 4), (1, 3, 0), (1, 4, None), (9, 1, 4)], "id int, no int, grade int")
+    rows = {r.id: (r.repetitions, r.interval) for r in review.apply_reviews(items, graded, F.lit("2024-01-02").cast("date"), F.current_timestamp(), ["no"]).collect()}
+    assert rows == {1: (0, 1), 2: (0, 1)}
+    none = spark.createDataFrame([], schemas.TASKS)
+    now = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
+    one_task = tasks.start(none, "t", 2, now)
+    assert one_task.first().status == "pending"
+    log = spark.createDataFrame([("t", "a", True, None), ("t", "b", True, "bad")], "task_id string, file_path string, done boolean, error string")
+    after = tasks.advance(one_task, log, now)
+    assert (after.first().status, after.first().processed_files, after.first().errors) == ("failed", 2, "bad")
+    assert tasks.advance(after, log.withColumn("error", F.lit(None).cast("string")), now).first().status == "failed"
+    with pytest.raises(Exception, match="exists"):
+        tasks.start(one_task, "t", 1, now).collect()
+
+
+def test_sync_keeps_metadata_of_blank_files_and_vectors(spark):
+    now = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
+    kind = "file_path string, file_name string, file_size long, file_hash string, modified_at timestamp, text string, error string"
+    disk = spark.createDataFrame([("a.md", "a.md", 1, "1", datetime.datetime(2024, 1, 1), "---\ntitle: T\ntags: x\n---\n", None), ("b.md", "b.md", 1, "2", datetime.datetime(2024, 1, 1), "some words", None)], kind)
+    none = [spark.createDataFrame([], s) for s in (schemas.DOCUMENTS, schemas.CHUNKS)]
+    out = sync.sync(disk, *none, now)
+    assert {(r.file_path, r.title, r.tags, r.chunk_strategy, r.chunk_count) for r in out["documents"].collect()} == {("a.md", "T", "x", "fixed-split", 0), ("b.md", None, None, "heading-aware", 1)}
+    assert sync.to_migrate(out["documents"]).count() == 0
+    chunk = out["chunks"].first()
+    assert len(chunk.embedding) == 64 and any(chunk.embedding)
+    other = sync.reembed(out["chunks"], lambda c: F.array(F.lit(1.0).cast("float"))).first()
+    assert other.embedding == [1.0] and other.content == chunk.content
+    more = sync.saved(disk, "n/new.md", "# New\ntext", now)
+    assert {r.file_path for r in sync.sync(more, out["documents"], out["chunks"], now)["diff"].filter("change = 'new'").collect()} == {"n/new.md"}
+    with pytest.raises(Exception, match="leaves"):
+        sync.saved(disk, "../x.md", "t", now).collect()
+
+
+def test_answers_and_reports(spark, tmp_path):
+    from tessella.functions.models import embed
+    from tessella.operators import evaluation
+
+    held = spark.createDataFrame([(f"f{i}.md", 0, f"text about topic{i}") for i in range(4)], "file_path string, chunk_index int, content string").withColumn("embedding", embed(F.col("content")))
+    asked = spark.createDataFrame([(1, 7, "text about topic3"), (2, 8, "and that one?")], "query_id int, conv int, question string")
+    talk = spark.createDataFrame([(1, 8, "user", "tell me of topic2")], "id long, conv int, role string, content string")
+    told = spark.createDataFrame([], "id long, conv int, summary string, last_message_id long")
+    rows = {r.query_id: r for r in retrieval.answers(asked, held, lambda m: F.when(m[1]["content"].contains("topic2"), "yes "), talk, told, 4, ["conv"], lambda p: F.lit("text about topic2"), k=1, setting="none").collect()}
+    assert (rows[1].question, rows[1].sources, rows[1].answer, rows[1].error) == ("text about topic3", ["f3.md"], None, "the model gave no answer")
+    assert (rows[2].question, rows[2].sources, rows[2].answer, rows[2].error) == ("text about topic2", ["f2.md"], "yes", None)
+    out = spark.createDataFrame(list(rows.values()))
+    sinks.write_answers(out, str(tmp_path / "chat"), F.to_timestamp(F.lit("2024-05-01 00:00:00")))
+    chat = spark.read.parquet(str(tmp_path / "chat"))
+    assert sorted((r.id, r.role, r.content) for r in chat.collect()) == [(2, "user", "text about topic3"), (4, "user", "text about topic2"), (5, "assistant", "yes")]
+    questions = evaluation.numbered(asked.select("query_id", "question", F.lit("x").alias("ground_truth")), ["query_id"])
+    scored = evaluation.evaluate(questions, out.join(questions.select("query_id", "no"), "query_id").filter("query_id = 2"))
+    sinks.write_report(evaluation.report(scored, ["answered", "n_sources"]), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first().answered == 0.5
+    files_ = spark.createDataFrame([("a.md", b"A")], "file_path string, content binary")
+    packed = {r.file_path: bytes(r.content) for r in sinks.unpacked(sinks.full_export(files_, chat, "k: 5\n")).collect()}
+    assert set(packed) == {"knowledge/a.md", "config.yaml", "chat/000000000000.jsonl"} and packed["chat/000000000000.jsonl"].count(b"\n") == 2
+    packs = spark.createDataFrame([("p", "n")], "pack_id string, name string")
+    assert datasets.pack(packs, "p").first().name == "n"
+    with pytest.raises(KeyError):
+        datasets.pack(packs, "q")
+
+
+def test_stream_syncs(spark, tmp_path):
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "a.md").write_text("hello there")
+    spark.createDataFrame([("a.md", None)], "path string, destination string").coalesce(1).write.parquet(str(tmp_path / "ev"))
+    got = []
+    read = lambda s: tuple(s.createDataFrame([], k) for k in (schemas.DOCUMENTS, schemas.CHUNKS))
+    q = jobs.sync_on_changes(spark.readStream.schema("path string, destination string").parquet(str(tmp_path / "ev")), str(tmp_path / "k"), read, lambda out: got.extend((r.file_path, r.status) for r in out["documents"].collect()), str(tmp_path / "cp"), every=None)
+    q.awaitTermination()
+    assert got == [("a.md", "indexed")]
