@@ -15,8 +15,9 @@ what that leaves in other components is compared with all others of its pivots,
 copies takes about k comparisons, no pairs are made, and no component is lost.
 
 Defined results: a text without words is empty and links with nothing; fewer than five words are one shingle; null
-ids take part, and a component's id is its smallest non-null id; repeated rows link as equal texts; other columns are
-ignored by near_duplicates() and kept by one_of_each().
+ids take part, and a component's id is its smallest non-null id; repeated rows link as equal texts; rows of one id with
+different texts are classed each by its own; other columns are ignored by near_duplicates() and kept by one_of_each(),
+whatever their names; a text of any length is compared whole, and held whole by one task; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ from tessella.llm.text_arrays import mix, shingle_sets
 SIZE = 5
 #: Segment content of more sets than this is frequent.
 FREQUENT = 32
-#: Shingles in a block of sets that are compared with another block.
-BLOCK = 1 << 16
+#: Shingles, and sets, in a block of sets that are compared with another block; numbers in a step of that.
+BLOCK, BLOCK_SETS, CELLS = 1 << 16, 2048, 1 << 22
+#: Bytes of texts whose signatures meet in one group.
+MEET_BYTES = 12 << 20
 #: Up to so many nodes and text hashes (16 bytes each) are broadcast to pick their documents; beyond, the documents are joined.
 BROADCAST_IDS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -137,7 +140,7 @@ def shared_segments(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 n, ids = set_ids(h, bounds)
                 sig, who, step, left = signatures(h, bounds)
                 sizes = np.column_stack((n.astype(np.uint32), left))
-                bucket = (sig >> np.uint64(48)) % np.uint64(buckets)
+                bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 sig, who, step, bucket = sig[order], who[order], step[order], bucket[order]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(sig) else np.zeros(1, np.int64)
@@ -173,7 +176,7 @@ def shared_segments(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         _, back, freq = np.unique(sig, return_inverse=True, return_counts=True)
         freq = freq[back]
         ok = freq > 1
-        sig = sig | (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(48))
+        sig = sig | mix(np.array([pdf["bucket"].iloc[0]], np.uint64)) << np.uint64(48)  # told apart by bucket, or, rarely, only verified in vain
         return pd.DataFrame({"sig": sig[ok].astype(np.uint64).view(np.int64), "node": node[ok].view(np.int64), "n": n[order[ok]].astype(np.int64), "step": step[order[ok]].astype(np.int32), "spare": spare[order[ok]].astype(np.int64), "freq": freq[ok].astype(np.int64)})
 
     packed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pack, "bucket int, sigs binary, refs binary, ids binary, sizes binary")
@@ -185,7 +188,7 @@ def pass_over(hits: DataFrame) -> DataFrame:
     band has no partner there, and one with few frequent hits is still met in another segment without those."""
     each = hits.groupBy("node", "step").agg(F.count("*").alias("_k"), F.count_if(F.col("freq") > FREQUENT).alias("_often"), F.min("spare").alias("_spare")).filter("_k > _spare")
     kept = hits.join(each, ["node", "step"]).filter((F.col("freq") <= FREQUENT) | (F.col("_often") > F.col("_spare")))
-    return kept.select("sig", "node", "n")
+    return kept.select("sig", "node", "n", F.col("_k").alias("w"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -215,8 +218,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, described: DataFrame, text: str) -> DataFrame:
     """Verified links (a, b) between nodes, enough for the components of all links."""
-    spark = docs.sparkSession
-    buckets = min(1 << 16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    buckets = int(min(1 << 22, max(8, size // MEET_BYTES)))
     hits = written(pass_over(written(shared_segments(docs, text, buckets), "segments")), "hits")
     nodes = hits.select("node").distinct()
     # A node's text is found by its own hash: ids may be null, and rows of one id may differ in text.
@@ -225,10 +228,8 @@ def links(docs: DataFrame, described: DataFrame, text: str) -> DataFrame:
         chosen = F.broadcast(chosen)
     plain = F.col(text).cast("string")
     texts = written(docs.select(plain.alias("text"), F.xxhash64(plain).alias("same")).join(chosen, "same").select("node", "text").dropDuplicates(["node"]), "texts")
-    # Each segment's pivot is the node with most hits, which in a group of copies is one near the middle.
-    weight = hits.groupBy("node").agg(F.count("*").alias("w"))
-    weighed = hits.join(weight, "node")
-    pivot = weighed.groupBy("sig").agg(F.max(F.struct("w", "node", "n")).alias("p"))
+    # Each segment's pivot is the node with most hits (w), which in a group of copies is one near the middle.
+    pivot = hits.groupBy("sig").agg(F.max(F.struct("w", "node", "n")).alias("p"))
     star = hits.join(pivot, "sig").select("node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")).filter("node <> pivot")
     pairs = written(star.groupBy("pivot", "node").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("pn").alias("pn")), "pairs")
     best = pairs.filter("5 * least(n, pn) >= 4 * greatest(n, pn)").groupBy("node").agg(F.max(F.struct("k", "pivot")).alias("p"))
@@ -244,8 +245,8 @@ def across(pairs: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
     """
     members = pairs.select("pivot", "node", "n").unionByName(pairs.groupBy("pivot").agg(F.first("pn").alias("n")).select("pivot", F.col("pivot").alias("node"), "n"))
     named = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("size")).filter("lo <> hi")
-    some = named.join(mixed.select("pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "pivot")
+    mixed = named.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("size"), F.count("*").alias("sets")).filter("lo <> hi")
+    some = named.join(mixed.select("pivot", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks")), "pivot")
     dealt = some.join(texts.select("node", "text"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     packed = written(dealt.groupBy("pivot", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "label", "text")).alias("sets")), "blocks")
     left = packed.select("pivot", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("sets").alias("x"))
@@ -257,15 +258,23 @@ def across(pairs: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
         common = np.intersect1d(np.concatenate(sx), np.concatenate(sy))
         if not len(common):
             return
-        incidence = []
+        places = []
         for sets in (sx, sy):
             flat, whose = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
             at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
             ok = common[at] == flat
-            m = np.zeros((len(sets), len(common)), np.float32)
-            m[whose[ok], at[ok]] = 1
-            incidence.append(m)
-        inter = np.rint(incidence[0] @ incidence[1].T).astype(np.int64)
+            order = np.argsort(at[ok], kind="stable")
+            places.append((whose[ok][order], at[ok][order], len(sets)))
+        inter, step = np.zeros((len(sx), len(sy)), np.float32), max(1, CELLS // (len(sx) + len(sy)))
+        for begin in range(0, len(common), step):  # so many columns of the incidence matrices at a time
+            parts = []
+            for whose, at, n in places:
+                i, j = np.searchsorted(at, [begin, begin + step])
+                m = np.zeros((n, min(step, len(common) - begin)), np.float32)
+                m[whose[i:j], at[i:j] - begin] = 1
+                parts.append(m)
+            inter += parts[0] @ parts[1].T
+        inter = np.rint(inter).astype(np.int64)
         size = np.array([len(t) for t in sx])[:, None] + np.array([len(t) for t in sy])[None, :]
         i, j = np.nonzero((100 * inter >= 80 * (size - inter)) & (lx[:, None] != ly[None, :]))
         _, one = np.unique(np.column_stack((lx[i], ly[j])), axis=0, return_index=True)
@@ -279,8 +288,8 @@ def across(pairs: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, ["pivot", "j"]).select("x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id for every row."""
+def classed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, same (the hash of the text), n_shingles, component_id for every row; component_id is the id of an empty text."""
     described = written(describe(docs, key, text), "described")
     label = components(links(docs, described, text))
     least = described.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
@@ -288,14 +297,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of = named.join(smallest, "label").select("node", "component_id")
     out = described.join(of, "node", "left")
-    return out.select(F.col("id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "same", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id for every row."""
+    return classed(docs, key, text).select(F.col("id").alias(key), "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents but for those whose component has a smaller id; of rows with one id and component, all stay."""
-    gone = near_duplicates(docs, key, text).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """The documents but for those whose component has a smaller id, or for a null id any; rows of the component's id all stay."""
+    gone = classed(docs, key, text).filter(F.col("component_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_gone"), "same").distinct()
+    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text].cast("string")) == gone["same"]), "left_anti")
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+CLASSES_SQL = r"""
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+g AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y),
+c AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY x)"""
+OP7_SQL = f"""
+WITH RECURSIVE {CLASSES_SQL.format(docs="documents")}
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN c USING (r) LEFT JOIN n USING (r)"""

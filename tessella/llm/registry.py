@@ -22,5 +22,6 @@ ORACLES = {
     "op3_source_mix": source_mix.OP3_SQL,
     "op4_secret_scan": secret_scan.OP4_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op7_ngram_join": ngram_join.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

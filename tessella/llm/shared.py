@@ -10,19 +10,30 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one becomes it."""
+    """The folder in spark.checkpoint.dir; where that is unset in local mode, as in tests, a temporary one becomes it.
+
+    On a cluster the setting is needed: a folder of one machine would not be seen by the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: it survives lost executors and isn't computed twice."""
-    path = f"{shared_folder(df.sparkSession)}/tessella/{name}-{uuid.uuid4().hex}"
+    """df written as a table in the shared folder and read again: it survives lost executors and isn't computed twice.
+
+    The table goes when the application ends, as results that aren't read yet may need it until then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
