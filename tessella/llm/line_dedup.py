@@ -3,11 +3,14 @@
 Each task fills both filters from the keys of its lines, a document counting once; the filters of two tasks merge by
 once = a | b, twice = ta | tb | (a & b). Only lines whose key may have been seen twice are shuffled, to confirm the
 repeat exactly and to choose the smallest document. A filter has at most 2^27 bits (16 MB to broadcast); over more
-lines it fills up, which only sends more suspects to the exact step.
+lines it fills up, which only sends more suspects to the exact step. Keys of more than one in HOT suspects, so fewer
+than HOT keys, are broadcast to their lines; the others are joined.
 
 Defined results: null or empty text is one empty line; keys are compared as strings, not as hashes; a null id is
-smaller than any other; rows of the same id are one document to the count, and all keep or lose a line alike; a table
-without repeats comes back unchanged; other columns pass through.
+smaller than any other; rows of the same id are one document to the count, and of their lines none is dropped for
+another of them, whether their texts are equal or not; a text of any length is split whole; a table without repeats
+comes back unchanged, an empty one empty; other columns pass through, and n_lines and n_dropped of dedup_lines()
+replace columns of these names, which without_repeats() leaves alone.
 """
 
 from __future__ import annotations
@@ -18,19 +21,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from tessella.llm.shared import written
 
 LEAST_CHARS = 10
 BITS_PER_LINE = 12
 LEAST_BITS, MOST_BITS = 20, 27
 #: A filter travels in blocks of so many bytes.
 BLOCK = 1 << 15
+HOT = 1000
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_id, no, the stripped line and a hash that is equal for equal keys, for the lines whose key is long enough."""
-    each = docs.select(F.col(key).alias("_id"), F.posexplode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)).alias("no", "line"))
-    stripped = each.select("_id", "no", F.btrim("line", F.lit(" \t\n\x0b\f\r")).alias("line")).filter(F.length("line") >= LEAST_CHARS)
+    """_id, _same (the hash of the text), no, the stripped line and a hash that is equal for equal keys, for the lines whose key is long enough."""
+    each = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_same"), F.posexplode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)).alias("no", "line"))
+    stripped = each.select("_id", "_same", "no", F.btrim("line", F.lit(" \t\n\x0b\f\r")).alias("line")).filter(F.length("line") >= LEAST_CHARS)
     return stripped.withColumn("hash", F.xxhash64(F.lower("line")))  # lower() is fast, and only ever joins more than the key does
 
 
@@ -55,9 +62,10 @@ def twice_seen(found: DataFrame, bits: int) -> np.ndarray:
             pdf = pdf.drop_duplicates()
             for at in _places(pdf["hash"].to_numpy(), bits):
                 place, count = np.unique(at, return_counts=True)
-                o, t = np.zeros(size * 8, bool), np.zeros(size * 8, bool)
-                o[place], t[place[count > 1]] = True, True
-                _merge(once, twice, np.packbits(o), np.packbits(t))
+                byte, bit = place >> 3, (128 >> (place & 7)).astype(np.uint8)
+                again = (count > 1) | (once[byte] & bit > 0)
+                np.bitwise_or.at(twice, byte[again], bit[again])
+                np.bitwise_or.at(once, byte, bit)
         full = np.flatnonzero(once.reshape(-1, block).any(1))
         yield pd.DataFrame({"block": full, "once": [once[i * block : (i + 1) * block].tobytes() for i in full], "twice": [twice[i * block : (i + 1) * block].tobytes() for i in full]})
 
@@ -77,7 +85,7 @@ def twice_seen(found: DataFrame, bits: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id and no of the lines to drop: those with a key of at least two documents, but in the smallest of them."""
+    """_id, _same and no of the lines to drop: those with a key of at least two documents, but in the smallest of them."""
     spark = docs.sparkSession
     found = lines(docs, key, text)
     n = found.count()
@@ -90,33 +98,46 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             f = seen.value
             yield pdf[((f[a >> 3] >> (7 - (a & 7))) & (f[b >> 3] >> (7 - (b & 7))) & 1).astype(bool)]
 
-    maybe = found.mapInPandas(suspects, found.schema).select("_id", "no", F.translate("line", *_ASCII).alias("key"))
-    by = maybe.groupBy("key").agg(F.min(F.struct("_id")).alias("_first"), F.max(F.struct("_id")).alias("_last"))
-    by = by.filter(~F.col("_first._id").eqNullSafe(F.col("_last._id"))).select("key", F.col("_first._id").alias("_keep"))
-    return maybe.join(by, "key").filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_id", "no")
+    maybe = written(found.mapInPandas(suspects, found.schema).select("_id", "_same", "no", F.translate("line", *_ASCII).alias("key")), "suspects")
+    by = maybe.groupBy("key").agg(F.min(F.struct("_id")).alias("_first"), F.max(F.struct("_id")).alias("_last"), F.count("*").alias("_n"))
+    by = written(by.filter(~F.col("_first._id").eqNullSafe(F.col("_last._id"))).select("key", F.col("_first._id").alias("_keep"), "_n"), "repeats")
+    most = maybe.count() // HOT
+    often, seldom = by.filter(F.col("_n") > most), by.filter(F.col("_n") <= most)
+    direct = maybe.join(F.broadcast(often), "key")  # fewer than HOT keys
+    rest = maybe.join(F.broadcast(often.select("key")), "key", "left_anti").join(seldom, "key")
+    return direct.unionByName(rest).filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_id", "_same", "no")
+
+
+@pandas_udf("text string, n_lines long, n_dropped long")
+def _rebuilt(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+    kept, n, gone = [], [], []
+    for t, drop in zip(texts, drops, strict=True):
+        each = (t or "").split("\n")
+        lost = set() if drop is None else set(drop)
+        kept.append(t if not lost else "\n".join(x for i, x in enumerate(each) if i not in lost))
+        n.append(len(each))
+        gone.append(len(lost))
+    return pd.DataFrame({"text": kept, "n_lines": n, "n_dropped": gone})
+
+
+def _deduped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """_row (the document as it was) and _new: its text without the dropped lines, n_lines (before) and n_dropped."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).withColumn("_same", F.xxhash64("_text"))
+    drops = repeats(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text").groupBy("_id", "_same").agg(F.collect_set("no").alias("_drop"))
+    drops = drops.withColumnsRenamed({"_id": "_of", "_same": "_like"})
+    both = row.join(drops, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_same") == F.col("_like")), "left")
+    return both.select("_row", _rebuilt("_text", "_drop").alias("_new"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text replaced by the kept lines, n_lines (before) and n_dropped."""
-    drops = repeats(docs, key, text).distinct().groupBy("_id").agg(F.collect_list("no").alias("_drop"))
-    names = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped", "_drop", "_id"}]
-    joined = docs.join(drops, docs[key].eqNullSafe(drops["_id"]), "left").select(*[docs[c] for c in names], "_drop")
+    names = [c for c in docs.columns if c.lower() not in {"n_lines", "n_dropped"}]
+    return _deduped(docs, key, text).select(*[F.col("_new.text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in names], "_new.n_lines", "_new.n_dropped")
 
-    def rebuild(batches):
-        for pdf in batches:
-            kept, n, gone = [], [], []
-            for t, drop in zip(pdf[text], pdf["_drop"], strict=True):
-                each = (t or "").split("\n")
-                lost = set() if drop is None else set(drop)
-                kept.append(t if not lost else "\n".join(x for i, x in enumerate(each) if i not in lost))
-                n.append(len(each))
-                gone.append(len(lost))
-            yield pdf.drop(columns="_drop").assign(**{text: kept, "n_lines": n, "n_dropped": gone})
-
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType([joined.schema[c] for c in names]).add("n_lines", LongType()).add("n_dropped", LongType())
-    return joined.mapInPandas(rebuild, schema)
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with text replaced by the kept lines, and no other column changed."""
+    return _deduped(docs, key, text).select(*[F.col("_new.text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
