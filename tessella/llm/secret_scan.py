@@ -6,8 +6,9 @@ from the lower-cased text. A document is a candidate of a rule when its postings
 verified with the regex, and rules without mandatory trigrams scan every document.
 
 Spans are code points, end exclusive, leftmost and without overlap within a kind. Defined results: a null or empty
-text has none; null ids form one posting list, whose candidates are verified like any; repeated rows are scanned
-alike; other columns pass through, clashing names are replaced.
+text has none; postings go by id and text, so null and repeated ids do no harm; repeated rows are scanned alike; a text
+of any length is scanned whole; an empty table gives none; other columns pass through, and secrets replaces a column of
+that name.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ import re._parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import written
+
+#: Up to so many candidates (some tens of bytes each) are broadcast to their texts; beyond, the two are joined.
+BROADCAST_IDS = 500_000
 #: (kind, regex, group, least code points of that group). The first three are the base kinds, in order.
 RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -105,17 +110,17 @@ def _quote(text: str) -> str:
 
 
 def index(docs: DataFrame, key: str, text: str, trigrams: list[str]) -> DataFrame:
-    """The inverted index: a row (trigram, key) for each of the trigrams that a lower-cased text holds."""
-    low = docs.select(F.col(key).alias("_key"), F.lower(F.col(text)).alias("_low"))
-    return low.select("_key", F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda x: F.contains(F.col("_low"), x))).alias("trigram"))
+    """The inverted index: a row (trigram, _key, _same) for each of the trigrams that a lower-cased text holds; _same is the text's hash."""
+    low = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).select("_key", F.xxhash64("_text").alias("_same"), F.lower("_text").alias("_low"))
+    return low.select("_key", "_same", F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda x: F.contains(F.col("_low"), x))).alias("trigram"))
 
 
 def candidates(postings: DataFrame, queries: dict[str, list]) -> DataFrame:
-    """_key and _rules: the rules whose query its postings satisfy."""
-    held = postings.groupBy("_key").agg(F.collect_set("trigram").alias("_held"))
+    """_key, _same and _rules: the rules whose query its postings satisfy."""
+    held = postings.groupBy("_key", "_same").agg(F.collect_set("trigram").alias("_held"))
     has = lambda ts: " and ".join(f"array_contains(_held, {_quote(t)})" for t in ts)
     tests = [F.when(F.expr(" and ".join("(" + " or ".join(f"({has(ts)})" for ts in clause) + ")" for clause in q)), F.lit(kind)) for kind, q in queries.items()]
-    return held.select("_key", F.filter(F.array(*tests), lambda x: x.isNotNull()).alias("_rules")).filter("size(_rules) > 0")
+    return held.select("_key", "_same", F.filter(F.array(*tests), lambda x: x.isNotNull()).alias("_rules")).filter("size(_rules) > 0")
 
 
 def spans(text: str, number: int, pattern: str, group: int, least: int) -> Column:
@@ -135,8 +140,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES)
     queries = {k: q for k, p, _, _ in rules if (q := trigram_query(p))}
     trigrams = sorted({t for q in queries.values() for clause in q for ts in clause for t in ts})
     found = candidates(index(docs, key, text, trigrams), queries)
-    kept = [c for c in docs.columns if c.lower() not in {"_key", "_rules", "secrets", "_body"}]
-    joined = docs.join(found, docs[key].eqNullSafe(found["_key"]), "left").select(*[docs[c] for c in kept], "_rules", F.coalesce(docs[text].cast("string"), F.lit("")).alias("_body"))
+    found = written(found.withColumnsRenamed({"_key": "_of", "_same": "_like"}), "candidates")
+    if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # then no text is shuffled
+        found = F.broadcast(found)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_body"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("_same"))
+    joined = row.join(found, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_same") == F.col("_like")), "left")
     none = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
     each = []
     for i, (kind, pattern, group, least) in enumerate(rules):
@@ -145,7 +153,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES)
         else:  # a full scan: a cheap test for one long enough match first
             hit = F.col("_body").rlike(pattern if group or not least or pattern[-1] != "+" else f"{pattern[:-1]}{{{least},}}")
         each.append(F.when(hit, spans("_body", i, pattern, group, least)).otherwise(none))
-    return joined.withColumn("secrets", F.array_sort(F.concat(*each))).drop("_rules", "_body")
+    names = [c for c in docs.columns if c.lower() != "secrets"]
+    return joined.withColumn("_found", F.array_sort(F.concat(*each))).select(*[F.col(f"_row.`{c}`") for c in names], F.col("_found").alias("secrets"))
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
