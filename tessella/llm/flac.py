@@ -1,13 +1,15 @@
 """FLAC: mono streams of 8-bit samples, decoded and encoded in numpy over many frames at once.
 
-A frame is constant, verbatim, fixed (order 0 to 4) or LPC, with Rice-coded residuals. Frames of a batch are read in
+A frame is constant, verbatim, fixed (order 0 to 4) or LPC, with Rice-coded residuals. encode() writes verbatim frames,
+fixed ones up to order 2, and LPC ones with coefficients fitted to each frame, whichever is shortest, and a seek point
+for every frame. Frames are worked on in runs of RUN, whatever the length of a text; those of a run are read in
 lockstep, a sample of each at a time; CRC-8 of headers, CRC-16 of frames and the MD5 of the samples are verified.
-encode() writes a seek point for every frame. decode() finds frames by the seek table, or one after the other where
-that is missing.
+decode() finds frames by the seek table, or one after the other where that is missing.
 
-Defined results: a null or empty text is a payload of one padding unit; decode() raises
-ValueError for a stream that isn't FLAC of this kind or that fails a checksum, and decode_media() gives its message in
-the error column of that row; repeated rows are coded alike; other columns are ignored.
+Defined results: a null or empty text is a payload of one padding unit; a text of any length is coded whole, in memory of
+a few times its size; decode() raises ValueError for a stream that isn't FLAC of this kind or that fails a checksum,
+decode_media() gives its message in the error column of that row, and digests() passes it on; repeated rows are coded
+alike, ids play no part; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 RATE, BLOCK, UNIT = 8000, 4096, 64
 #: Bytes of texts, and of streams, that are worked on together; a longer one is worked on alone.
 STEP, READ_STEP = 1 << 20, 1 << 21
+#: Frames that are worked on together.
+RUN = 512
+#: Order, shift and bits of fitted coefficients.
+ORDER, SHIFT, PRECISION = 4, 9, 12
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -86,15 +92,50 @@ def _zigzag(r: np.ndarray) -> np.ndarray:
     return np.where(r >= 0, 2 * r, -2 * r - 1)
 
 
-def encode(payloads: list[bytes], lpc: tuple[list[int], int, int] | None = None) -> list[bytes]:
-    """FLAC streams of the payloads. lpc: coefficients, shift and their bits, tried beside the fixed predictors."""
-    size = np.array([len(p) for p in payloads], np.int64)
-    per = -(-size // BLOCK)
-    doc = np.repeat(np.arange(len(payloads)), per)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    at = (np.cumsum(size) - size)[doc] + number * BLOCK
-    n = np.minimum(BLOCK, size[doc] - number * BLOCK)
-    x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
+def fitted(x: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Coefficients of each frame by the recursion of Levinson and Durbin, scaled by SHIFT; plain arithmetic, so that equal frames get equal ones anywhere."""
+    r = []
+    for lag in range(ORDER + 1):
+        products = np.zeros(len(x), np.int64)
+        products[lag:] = x[lag:] * x[: len(x) - lag]
+        products[place < lag] = 0
+        r.append(np.add.reduceat(products, at).astype(np.float64))
+    a, error = [], r[0] + 1.0
+    for i in range(ORDER):
+        k = r[i + 1].copy()
+        for j in range(i):
+            k -= a[j] * r[i - j]
+        k /= error
+        a = [a[j] - k * a[i - 1 - j] for j in range(i)] + [k]
+        error = np.maximum(error * (1.0 - k * k), 1.0)
+    most = (1 << (PRECISION - 1)) - 1
+    return np.clip(np.rint(np.array(a).T * (1 << SHIFT)), -most, most).astype(np.int64)
+
+
+def encode(payloads: list[bytes], lpc: tuple[list[int], int, int] | str | None = "fit") -> list[bytes]:
+    """FLAC streams of the payloads. lpc: "fit", or for all frames coefficients, shift and their bits, or None for none."""
+    frames = [p[i : i + BLOCK] for p in payloads for i in range(0, len(p), BLOCK)]
+    per = [-(-len(p) // BLOCK) for p in payloads]
+    number = np.concatenate([np.arange(n) for n in per]) if payloads else np.zeros(0, np.int64)
+    coded = [f for i in range(0, len(frames), RUN) for f in encode_frames(frames[i : i + RUN], number[i : i + RUN], lpc)]
+    streams, a = [], 0
+    for p, count in zip(payloads, per, strict=True):
+        own, n = coded[a : a + count], [len(f) for f in frames[a : a + count]]
+        block, sizes = BLOCK if count > 1 else n[0], [len(f) for f in own]
+        info = block.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5((np.frombuffer(p, np.uint8) ^ 128).tobytes()).digest()
+        # A table holds some 932,000 points; a longer stream has none and is read one frame after the other.
+        fits = count * 18 < 1 << 24
+        seek = b"".join((f * BLOCK).to_bytes(8, "big") + at.to_bytes(8, "big") + n[f].to_bytes(2, "big") for f, at in enumerate(np.cumsum([0, *sizes[:-1]]).tolist())) if fits else b""
+        streams.append(b"fLaC" + (b"\x00" if fits else b"\x80") + b"\x00\x00\x22" + info + (b"\x83" + len(seek).to_bytes(3, "big") + seek if fits else b"") + b"".join(own))
+        a += count
+    return streams
+
+
+def encode_frames(frames: list[bytes], number: np.ndarray, lpc) -> list[bytes]:
+    """The frames coded, each by its shortest predictor."""
+    n = np.array([len(f) for f in frames], np.int64)
+    at = np.cumsum(n) - n
+    x = np.frombuffer(b"".join(frames), np.uint8).astype(np.int32) - 128
     place = np.arange(len(x)) - np.repeat(at, n)
     # Residuals of each predictor; the first samples of a frame are stored as they are.
     kinds, r = [(8, 0)], x
@@ -104,11 +145,12 @@ def encode(payloads: list[bytes], lpc: tuple[list[int], int, int] | None = None)
         kinds.append((8 + order, order))
         residuals.append(r)
     if lpc:
-        guess = np.zeros(len(x), np.int64)
-        for i, c in enumerate(lpc[0]):
-            guess[i + 1 :] += c * x[: -i - 1]
-        kinds.append((32 + len(lpc[0]) - 1, len(lpc[0])))
-        residuals.append((x - (guess >> lpc[1])).astype(np.int32))
+        coefs, shift, precision = (fitted(x, at, place), SHIFT, PRECISION) if lpc == "fit" else (np.tile(lpc[0], (len(n), 1)), *lpc[1:])
+        guess = np.zeros(len(x), np.int32)
+        for i in range(coefs.shape[1]):
+            guess[i + 1 :] += (np.repeat(coefs[:, i].astype(np.int32), n)[i + 1 :] * x[: -i - 1])
+        kinds.append((32 + coefs.shape[1] - 1, coefs.shape[1]))
+        residuals.append((x - (guess >> shift)).astype(np.int32))
     best = np.full(len(n), 8, np.int64) * n
     pick, rice = np.full(len(n), -1), np.zeros(len(n), np.int64)
     zigs = []
@@ -116,7 +158,7 @@ def encode(payloads: list[bytes], lpc: tuple[list[int], int, int] | None = None)
         z = _zigzag(res)
         z[place < order] = 0
         zigs.append(z)
-        extra = 10 + 8 * order + (9 + len(lpc[0]) * lpc[2] if lpc and i == 3 else 0)
+        extra = 10 + 8 * order + (9 + order * precision if i == 3 else 0)
         mean = np.add.reduceat(z, at) / np.maximum(n - order, 1)
         low = np.clip(np.log2(np.maximum(0.69 * mean, 1)).astype(np.int64), 0, 7)
         for k in (low, low + 1):  # the best parameter of a geometric distribution is one of these
@@ -143,10 +185,10 @@ def encode(payloads: list[bytes], lpc: tuple[list[int], int, int] | None = None)
         field, width = rice[f], 10  # method 0, one partition, its parameter
         if kind >= 32:
             c = 0
-            for v in lpc[0]:
-                c = c << lpc[2] | v & ((1 << lpc[2]) - 1)
-            field |= (((lpc[2] - 1) << 5 | lpc[1] & 31) << (len(lpc[0]) * lpc[2]) | c) << 10
-            width += 9 + len(lpc[0]) * lpc[2]
+            for v in coefs[f].tolist():
+                c = c << precision | v & ((1 << precision) - 1)
+            field = int(field) | (((precision - 1) << 5 | shift & 31) << (coefs.shape[1] * precision) | c) << 10
+            width += 9 + coefs.shape[1] * precision
         fields.append((int(field), width))
     head = np.array([len(h) for h in heads]) * 8
     width = np.array([w for _, w in fields])
@@ -167,15 +209,7 @@ def encode(payloads: list[bytes], lpc: tuple[list[int], int, int] | None = None)
             data[lo:hi] = np.frombuffer(word.to_bytes(hi - lo, "big"), np.uint8)
     check = crc16(data, begin, begin + length - 2)
     data[begin + length - 2], data[begin + length - 1] = check >> 8, check & 255
-    streams, first = [], np.searchsorted(doc, np.arange(len(payloads) + 1))
-    for i, p in enumerate(payloads):
-        a, b = first[i], first[i + 1]
-        block = BLOCK if b - a > 1 else int(n[a])
-        info = block.to_bytes(2, "big") * 2 + int(length[a:b].min()).to_bytes(3, "big") + int(length[a:b].max()).to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5((np.frombuffer(p, np.uint8) ^ 128).tobytes()).digest()
-        seek = b"".join(int(number[f] * BLOCK).to_bytes(8, "big") + int(begin[f] - begin[a]).to_bytes(8, "big") + int(n[f]).to_bytes(2, "big") for f in range(a, b))
-        stop = begin[b - 1] + length[b - 1]
-        streams.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + data[begin[a] : stop].tobytes())
-    return streams
+    return [data[i : i + k].tobytes() for i, k in zip(begin, length, strict=True)]
 
 
 def _header(data: bytes, at: int) -> tuple[int, int, int, int, int]:
@@ -276,12 +310,16 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray
     inside = _ranges(np.zeros(len(n), np.int64), plain)
     out[_ranges(begin, plain)] = signed(read.bits(np.repeat(at, plain) + 8 * inside, 8), 8)
     at += 8 * plain
-    coefs = {}
-    for f in np.flatnonzero(kind >= 32):
-        one = at[f : f + 1]
-        precision, shift = int(read.bits(one, 4)[0]) + 1, int(signed(read.bits(one + 4, 5), 5)[0])
-        coefs[f] = [int(signed(read.bits(one + 9 + i * precision, precision), precision)[0]) for i in range(int(order[f]))], shift
-        at[f] += 9 + order[f] * precision
+    linear = np.flatnonzero(kind >= 32)
+    precision = read.bits(at[linear], 4) + 1
+    shift = signed(read.bits(at[linear] + 4, 5), 5)
+    coefs = np.zeros((len(linear), int(order[linear].max(initial=0))), np.int64)
+    for i in range(coefs.shape[1]):
+        m = order[linear] > i
+        coefs[m, i] = signed(read.bits(at[linear[m]] + 9 + i * precision[m], precision[m]), precision[m])
+    if (shift < 0).any():
+        raise ValueError("a negative shift isn't read")
+    at[linear] += 9 + order[linear] * precision
     rice = kind >= 8
     wide = np.where(rice, 4 + read.bits(at, 2), 4)
     parts = np.where(rice, read.bits(at + 2, 4), 0)
@@ -327,11 +365,15 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray
         total = np.cumsum(out[where])
         first = np.cumsum(size) - size
         out[where] = total - np.repeat(total[first] - out[where[first]], size)
-    for f, (c, shift) in coefs.items():
-        x, o = out[begin[f] : begin[f] + n[f]].tolist(), int(order[f])
-        for t in range(o, int(n[f])):
-            x[t] += sum(a * b for a, b in zip(c, x[t - 1 : t - o - 1 if t > o else None : -1], strict=True)) >> shift
-        out[begin[f] : begin[f] + n[f]] = x
+    before = 1 + np.arange(coefs.shape[1])
+    longer = np.searchsorted(-n[linear], -np.arange(int(n[linear].max(initial=0))), "left")
+    for t in range(int(order[linear].min(initial=99)), int(n[linear].max(initial=0))):
+        m = np.arange(longer[t])
+        if t < coefs.shape[1]:
+            m = m[order[linear[m]] <= t]
+        here = begin[linear[m]] + t
+        past = out[np.maximum(here[:, None] - before, 0)]  # coefficients beyond a frame's order are 0
+        out[here] += (coefs[m] * past).sum(1) >> shift[m]
     ends = (at + 7) // 8 + 2
     back = np.empty_like(by)
     back[by] = np.arange(len(by))
@@ -365,15 +407,26 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
     pcm = lambda x: (x + 128).astype(np.uint8).tobytes()
     # A full seek table gives all frames at once; other streams go on from the end of the frame before.
     full = [p is not None and p and p[0][:2] == (0, 0) and all(a[0] + a[2] == b for a, b in zip(p, [*[q[0] for q in p[1:]], t], strict=True)) for p, t in zip(points, total, strict=True)]
-    turn = [(i, off, int(base[i]) + after[i] + byte) for i, ok in enumerate(full) if ok for off, byte, _ in points[i]]
-    turn += [(i, 0, int(base[i]) + after[i]) for i, ok in enumerate(full) if not ok and total[i]]
+    turn = []
+    for i, ok in enumerate(full):
+        first, stop = int(base[i]) + after[i], int(base[i + 1])
+        if ok:
+            starts = [first + byte for _, byte, _ in points[i]]
+            turn += [(i, p[0], a, b) for p, a, b in zip(points[i], starts, [*starts[1:], stop], strict=True)]
+        elif total[i]:
+            turn.append((i, 0, first, stop))
     while turn:
-        samples, ends = decode_frames(data, np.array([t[2] for t in turn], np.int64))
         following = []
-        for (i, off, _), x, end in zip(turn, samples, ends, strict=True):
-            blocks[i].append((off, pcm(x)))
-            if not full[i] and off + len(x) < total[i]:
-                following.append((i, off + len(x), int(end)))
+        for k in range(0, len(turn), RUN):
+            run = turn[k : k + RUN]
+            lo, hi = min(t[2] for t in run), max(t[3] for t in run)
+            if hi > len(data) or any(t[2] >= t[3] for t in run):
+                raise ValueError("a seek point leaves the stream")
+            samples, ends = decode_frames(data[lo:hi], np.array([t[2] - lo for t in run], np.int64))
+            for (i, off, _, stop), x, end in zip(run, samples, ends, strict=True):
+                blocks[i].append((off, pcm(x)))
+                if not full[i] and off + len(x) < total[i]:
+                    following.append((i, off + len(x), lo + int(end), stop))
         turn = following
     for i, b in enumerate(blocks):
         h = hashlib.md5()
@@ -439,18 +492,26 @@ def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for blocks, media in zip(b.column(3), b.column(2), strict=True):
-                blocks, media = blocks.as_py() or [], media.as_py() or b""
-                p = b"".join(x["pcm"] for x in blocks)
-                x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
-                crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-                feature = f"blocks={len(blocks)};min={x.min(initial=127)};max={x.max(initial=-128)};sum={x.sum()};energy={(x * x).sum()};crossings={crossings}"
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            for i in range(b.num_rows):
+                sha, size, tail, low, high, total, energy, crossings, sign = hashlib.sha256(), 0, b"", 127, -128, 0, 0, 0, None
+                pieces = b.column(3).slice(i, 1).flatten().field("pcm")
+                for p in (x.as_py() for x in pieces):
+                    x = np.frombuffer(p, np.uint8).astype(np.int64) - 128
+                    sha.update(p)
+                    size, tail = size + len(p), (tail + p)[-UNIT:]
+                    if len(x):
+                        low, high, total, energy = min(low, int(x.min())), max(high, int(x.max())), total + int(x.sum()), energy + int((x * x).sum())
+                        below = x < 0
+                        crossings += int((below[1:] != below[:-1]).sum()) + int(sign is not None and sign != below[0])
+                        sign = below[-1]
+                media = b.column(2)[i].as_py() or b""
+                feature = f"blocks={len(pieces)};min={low};max={high};sum={total};energy={energy};crossings={crossings}"
+                rows.append((size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), b.column(4)], [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
     kind = decoded.schema[key].dataType.simpleString()
-    return decoded.select(key, "n_bytes", "media", "blocks").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return decoded.select(key, "n_bytes", "media", "blocks", "error").mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def op5_flac(spark, sf_dir: str) -> DataFrame:
