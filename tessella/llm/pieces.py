@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Words that a worker remembers, and characters of new words in one batch.
 MEMO, BATCH = 500_000, 1 << 20
+#: Pairs of pieces whose test is remembered, about; then it starts anew.
+TESTED = 1 << 20
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -135,6 +137,8 @@ class Vocabulary:
             result[known] = self.test_result[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
+            if len(self.tested) > TESTED:
+                self.tested, self.test_result = np.zeros(0, np.int64), np.zeros(0, bool)
             result[new] = self._apart(key[new] >> 32, key[new] & 0xFFFFFFFF)
             keys, values = np.r_[self.tested, key[new]], np.r_[self.test_result, result[new]]
             order = np.argsort(keys, kind="stable")
