@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tessella.llm.shared import written
@@ -108,7 +109,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return direct.unionByName(rest).filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_id", "_same", "no")
 
 
-@pandas_udf("text string, n_lines long, n_dropped long")
+@pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
 def _rebuilt(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
     kept, n, gone = [], [], []
     for t, drop in zip(texts, drops, strict=True):
