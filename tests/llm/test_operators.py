@@ -75,6 +75,9 @@ def test_ngram_join_equals_brute_force(spark, docs, odd):
     assert got == by_hand_components(rows)
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
+    near = " ".join(f"w{i}" for i in range(40))
+    shared = spark.createDataFrame([(3, near), (4, near + " more"), (4, "another text that stands alone here"), (None, near), (None, "no id and nothing like it at all")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text[:7]) for r in ngram_join.one_of_each(shared).collect()) == [(0, "no id a"), (3, "w0 w1 w"), (4, "another")]
     assert ngram_join.near_duplicates(odd.limit(0)).count() == 0
 
 
@@ -154,17 +157,135 @@ def test_lm_score_beats_counts_on_held_out_texts(spark):
     assert sums.s > sums.b
 
 
-def test_bit_model_sums_to_one():
-    """The probabilities of all first bytes of a word are those of a distribution."""
+def test_codes_sum_to_one():
+    """The bits of all classes and hashes are a code, as are those of all bytes: whatever a node predicts, the products sum to one."""
     rng = np.random.default_rng(2)
-    tables = rng.integers(0, 50, (lm_mix.CONTEXTS, 2, 1 << lm_mix.SLOT_BITS)).astype(np.uint16)
-    weights = np.full((lm_mix.CONTEXTS, lm_mix.LEVELS), 0.2)
-    total = 0.0
-    for b in range(256):
-        bits = lm_mix.Bits(np.array([b, 32], np.uint8), np.zeros(1 + (b == 32), np.uint8))
-        p = lm_mix.predict(*lm_mix.inputs(bits, tables, 0), weights)
-        total += np.where(bits.y, p, 1 - p)[0].prod()
-    assert math.isclose(total, 1, rel_tol=1e-4)
+    p = rng.random(2048)
+    nodes, bits, told = lm_mix.NODES, lm_mix.BITS, lm_mix.TOLD
+    each = np.where(told, np.where(bits, p[nodes], 1 - p[nodes]), 1).prod(1)
+    spell, words = each[0], each[1 << lm_mix.HASH_BITS :]
+    assert math.isclose(spell + words.sum(), 1) and np.ptp(each[: 1 << lm_mix.HASH_BITS]) == 0
+    of = {int(n): q for n, q in zip(np.unique(lm_mix._BYTE_NODES), rng.random(255), strict=True)}
+    assert math.isclose(sum(math.prod(of[int(n)] if y else 1 - of[int(n)] for n, y in zip(*x, strict=True)) for x in zip(lm_mix._BYTE_NODES, lm_mix._BYTE_BITS, strict=True)), 1)
+
+
+def lm_by_hand(rows: list[tuple[int, str]]) -> dict[int, float]:
+    """The score of each text, one decision after the other, with dictionaries for the tables."""
+    low, parts = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+    mul_a, mul_b, mul_c = parts
+
+    def mix(x: int) -> int:
+        x &= low
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & low
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & low
+        return x ^ x >> 31
+
+    word_hash = lambda w: int(lm_mix.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    texts = {i: [*(w.encode() for w in WORD.findall(lower(t))), b"\n"] for i, t in rows}
+    train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in texts}
+    h = {w: word_hash(w) for ws in texts.values() for w in ws}
+    count = Counter(w for i, ws in texts.items() if train[i] for w in ws)
+    kind = {w: 0 if count[w] < 2 else min(31, 1 + int(math.log2(count[w] - 1))) for w in h}
+    cell = {w: (kind[w], h[w] >> 20 & 15) for w in h}
+    cell_sum = Counter()
+    for w, n in count.items():
+        cell_sum[cell[w]] += n
+    after: dict = {}
+    for i, ws in texts.items():
+        for a, b, w in zip([None, None, *ws], [None, *ws], ws, strict=False):
+            if train[i]:
+                after.setdefault((a, b), Counter())[w] += 1
+    bits = min(21, max(14, math.ceil(math.log2(max(1, sum(count.values()))))))
+    decisions = {}
+    for i, ws in texts.items():
+        found, answers = {"follow": [], "word": [], "spell": []}, []
+        for a, b, w in zip([None, None, *ws], [None, *ws], ws, strict=False):
+            seen = Counter(after.get((a, b), {}))
+            seen[w] -= train[i]
+            seen = +seen
+            right = False
+            if n := sum(seen.values()):
+                top = min(seen, key=lambda x: (-seen[x], h[x] >> 44))
+                often, sure = sum(n >= x for x in (2, 3, 5, 9)), (2 * seen[top] >= n) + (5 * seen[top] >= 4 * n) + (seen[top] == n)
+                past = sum(x << k for k, x in enumerate(answers[-1:-4:-1]))
+                right = top == w
+                found["follow"].append(([[("exact", 1, often * 4 + sure)], [("exact", 2, past * 8 + often)], [("exact", 3, (kind[b] if b else 0) * 8 + often)]], [right], False, 1.0))
+                answers.append(right)
+            if right:
+                continue
+            k, f = cell[w]
+            code = [(k >> (4 - j) & 1, 1 << j | k >> (5 - j)) for j in range(5)] + ([(f >> (3 - j) & 1, 32 + (k << 4) + (1 << j | f >> (4 - j))) for j in range(4)] if k else [])
+            slots = [[("exact", 0, node) for _, node in code]]
+            for j, c in enumerate((h[b] if b else 0, h[a] if a else 0)):
+                slots.append([("word", j, ((mix(c + j + 1) ^ node * mul_a & low) * mul_b & low) >> (64 - bits)) for _, node in code])
+            found["word"].append((slots, [y for y, _ in code], train[i], count[w] / cell_sum[cell[w]] if k else 1.0))
+            if k:
+                continue
+            data, prefix = w + b" ", 0
+            for at, byte in enumerate(data):
+                last, contexts = 0, []
+                for j in (1, 2, 3):
+                    last = last << 9 | (data[at - j] + 1 if at >= j else 0)
+                    contexts.append(last)
+                contexts += [prefix, contexts[1] + (h[b] if b else 0) * mul_c & low]
+                prefix = (prefix + mix(byte * mul_a + at * mul_c)) & low
+                nodes = [1 << j | byte >> (8 - j) for j in range(8)]
+                slots = [[("spell", j, ((mix(c * mul_b + j + 1) ^ node * mul_a & low) * mul_b & low) >> 46) for node in nodes] for j, c in enumerate(contexts)]
+                found["spell"].append((slots, [byte >> (7 - j) & 1 for j in range(8)], train[i] and count[w] == 1, 1.0))
+        decisions[i] = found
+    table: Counter = Counter()
+    for i in texts:
+        if train[i]:
+            for slots, ys, _, _ in (u for units in decisions[i].values() for u in units):
+                for column in slots:
+                    for slot, y in zip(column, ys, strict=True):
+                        table[slot, int(y)] += 1
+    out = {}
+    for i in texts:
+        cost = 0.0
+        for name, units in decisions[i].items():
+            gates, start, rate = lm_mix.KINDS[name]
+            weight = [list(start) for _ in range(gates)]
+            for begin in range(0, len(units), lm_mix.BLOCK):
+                move = [[0.0] * len(start) for _ in range(gates)]
+                for slots, ys, own, share in units[begin : begin + lm_mix.BLOCK]:
+                    cost -= math.log(share)
+                    for g, y in enumerate(ys):
+                        x = []
+                        for column in slots:
+                            n = [table[column[g], v] for v in (0, 1)]
+                            if own and column[g][0] != "exact":
+                                n[int(y)] -= 1
+                            x.append(math.log((n[1] + 0.4) / (n[0] + 0.4)))
+                        z = max(-15.0, min(15.0, sum(w * v for w, v in zip(weight[g], x, strict=True))))
+                        p = 1 / (1 + math.exp(-z))
+                        cost -= math.log(p if y else 1 - p)
+                        for k, v in enumerate(x):
+                            move[g][k] += (y - p) * v
+                for g in range(gates):
+                    for k in range(len(start)):
+                        weight[g][k] += rate * move[g][k]
+        out[i] = -cost / math.log(10)
+    return out
+
+
+def test_lm_score_equals_brute_force_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}x" for i in range(60)]
+    rows = []
+    for i in range(40):
+        text = " ".join(str(w) for w in rng.choice(words, int(rng.integers(1, 70)), p=np.arange(60, 0, -1) / 1830))
+        rows.append((i, text + (f" Only{i} é漢" if i % 3 == 0 else "")))
+    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(200, ""), (201, "Alone"), (202, "the same words " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = lm_by_hand(rows)
+    for parts in (1, 5):
+        got = {r.doc_id: r.score for r in lm_mix.score(df.repartition(parts)).collect()}
+        assert set(got) == set(want)
+        for i, v in want.items():
+            assert math.isclose(got[i], v, rel_tol=2e-4), (i, got[i], v)
+    order = {r.doc_id: r.score for r in lm_mix.score(spark.createDataFrame([*rows, (300, " ".join(reversed(rows[3][1].split())))], df.schema)).collect()}
+    assert order[300] < order[3] - 1  # the order of words counts
 
 
 def test_chat_fold_and_round_trip(spark):
@@ -194,7 +315,7 @@ def test_source_mix(spark, odd):
     assert out.columns == odd.columns and source_mix.mix(odd.limit(0)).count() == 0
 
 
-def test_secret_scan(spark, odd):
+def test_secret_scan(spark, odd, monkeypatch):
     key = "ghp_" + "a1B2" * 10
     texts = [f"x {key} y", "PASSWORD: 'hunter22' token=abc", "é AKIA" + "Z" * 16 + " " + "0af" * 9, "api_key=\"" + "Q" * 8 + "\"", "-----BEGIN RSA PRIVATE KEY-----", "paſſword=abcdefgh", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -206,16 +327,27 @@ def test_secret_scan(spark, odd):
         assert got[i] == want, t
     assert secret_scan.trigram_query("[0-9a-f]+") == [] and secret_scan.trigram_query("AKIA[A-Z0-9]+")
     out = secret_scan.scan(odd)
+    assert out.columns == [*(c for c in odd.columns if c != "secrets"), "secrets"] and out.select("_key").first()._key == 6
+    twice = spark.createDataFrame([(1, "password: abcdefgh"), (1, "nothing"), (None, "secret=abcdefgh"), (None, "none")], "doc_id long, text string")
+    for most in (secret_scan.BROADCAST_IDS, 0):
+        monkeypatch.setattr(secret_scan, "BROADCAST_IDS", most)
+        assert sorted((r.text, len(r.secrets)) for r in secret_scan.scan(twice).collect()) == [("none", 0), ("nothing", 0), ("password: abcdefgh", 1), ("secret=abcdefgh", 1)]
     assert out.count() == len(ODD) and secret_scan.scan(odd.limit(0)).count() == 0
 
 
 def test_flac(spark, docs, odd):
     rng = np.random.default_rng(1)
     loads = [bytes(64), b"hello " * 5000, rng.integers(0, 256, 9000, dtype=np.uint8).tobytes(), bytes(range(256)) * 40, (b"\0" * 500 + b"\xff") * 30]
-    for lpc in (None, ([7, -3], 3, 5)):
+    for lpc in (None, ([7, -3], 3, 5), "fit"):
         found = flac.decode(flac.encode(loads, lpc))
         assert [b"".join(p for _, p in x) for x in found] == loads
         assert [o for o, _ in found[1]] == list(range(0, 30000, flac.BLOCK))
+    wave = ((np.sin(np.arange(30_000) / 9) * 90 + np.sin(np.arange(30_000) / 2) * 20).astype(np.int8).view(np.uint8) ^ 128).tobytes()
+    alone, several = flac.encode([wave])[0], flac.encode([*loads, wave] * 3)
+    assert several[len(loads)] == alone and len(alone) < 0.8 * len(flac.encode([wave], None)[0])  # LPC frames, the same in any batch
+    assert b"".join(p for _, p in flac.decode([alone])[0]) == wave
+    long = rng.integers(90, 120, 5 << 20, dtype=np.uint8).tobytes()  # more frames than a run has
+    assert b"".join(p for _, p in flac.decode(flac.encode([long, wave]))[0]) == long
     one = flac.encode(loads[1:2])[0]
     seek = one.index(b"\x83")
     bare = one[:4] + b"\x80" + one[5:seek] + one[seek + 4 + int.from_bytes(one[seek + 1 : seek + 4], "big") :]
@@ -236,6 +368,45 @@ def test_flac(spark, docs, odd):
 
             assert r.payload_sha256 == hashlib.sha256(pad).hexdigest()
     assert flac.encode_media(odd.limit(0)).count() == 0
+    errors = {r.doc_id: (r.error is None, r.payload_bytes) for r in flac.digests(flac.decode_media(bad)).collect()}
+    assert errors == {1: (True, 30_000), 2: (False, 0), 3: (False, 0), 4: (False, 0)}
+
+
+def test_flac_stream_made_by_hand():
+    """A stream laid out bit by bit from the format's description: a verbatim, a constant, a fixed and an LPC frame."""
+    def frame(number: int, n: int, body: str) -> bytes:
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, number, n - 1])  # 8-bit size, 8-bit samples, mono
+        crc = 0
+        for byte in head:
+            crc ^= byte
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x07) & 0xFF if crc & 0x80 else crc << 1
+        bits = "".join(f"{b:08b}" for b in head + bytes([crc])) + body
+        bits += "0" * (-len(bits) % 8)
+        data, crc = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)), 0
+        for byte in data:
+            crc ^= byte << 8
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+        return data + crc.to_bytes(2, "big")
+
+    low = lambda v, n: format(v & ((1 << n) - 1), f"0{n}b")
+    rice = lambda v, k: "0" * ((2 * v if v >= 0 else -2 * v - 1) >> k) + "1" + low(2 * v if v >= 0 else -2 * v - 1, k) if k else "0" * (2 * v if v >= 0 else -2 * v - 1) + "1"
+    first = [5, -7, 100, -128]
+    verbatim = "0" + low(1, 6) + "0" + "".join(low(v, 8) for v in first)
+    constant = "0" + low(0, 6) + "0" + low(-3, 8)
+    ramp = [10, 12, 14, 17]  # order 1, residuals 2 2 3 in one partition of parameter 1
+    fixed = "0" + low(9, 6) + "0" + low(10, 8) + "00" + "0000" + low(1, 4) + "".join(rice(v, 1) for v in (2, 2, 3))
+    line = [1, 3, 5, 8]  # LPC order 2, 2 x[t-1] - x[t-2], shift 0, residuals 0 1
+    linear = "0" + low(33, 6) + "0" + low(1, 8) + low(3, 8) + low(3 - 1, 4) + low(0, 5) + low(2, 3) + low(-1, 3) + "00" + "0000" + low(0, 4) + rice(0, 0) + rice(1, 0)
+    samples = first + [-3] * 4 + ramp + line
+    frames = b"".join(frame(i, 4, body) for i, body in enumerate((verbatim, constant, fixed, linear)))
+    import hashlib
+
+    info = (4).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(np.array(samples, np.int8).tobytes()).digest()
+    found = flac.decode([b"fLaC\x80\x00\x00\x22" + info + frames])[0]
+    assert [o for o, _ in found] == [0, 4, 8, 12]
+    assert [b - 128 for _, p in found for b in p] == samples
 
 
 def test_quality_rules(spark, odd):
@@ -257,6 +428,13 @@ def test_quality_classifier(spark):
     auc = (order[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
     assert auc > 0.9
     assert out.filter("score < 0 or score > 1 or score is null").count() == 0
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, len(quality_classifier.STATISTICS)))
+    rules = [(tuple((int(f), bool(rng.integers(2)), float(rng.normal())) for f in rng.choice(x.shape[1], 2, replace=False)), float(rng.normal())) for _ in range(45)]
+    z = 0.3 + sum(w * quality_classifier.holds(x, r) for r, w in rules)
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i int, " + ", ".join(f"{c} double" for c in quality_classifier.STATISTICS))
+    column = {r.i: r.s for r in rows.select("i", quality_classifier.score_column((0.3, rules)).alias("s")).collect()}
+    assert all(math.isclose(column[i], 1 / (1 + math.exp(-v)), rel_tol=1e-9) for i, v in enumerate(z))
     none = labels.limit(0).select("doc_id", "quality")
     d = spark.createDataFrame(ODD, "doc_id long, text string")
     assert quality_classifier.learn(d, none) == (0.0, [])
@@ -282,7 +460,10 @@ def test_line_dedup(spark, odd):
     out = line_dedup.dedup_lines(odd)
     got = {r.doc_id: r for r in out.collect()}
     assert got[5].text == "a long line that repeats\nb" and got[6].text == "c" and got[6].n_dropped == 1 and (got[1].n_lines, got[1].n_dropped) == (1, 0)
-    assert [c for c in out.columns if c not in ("n_lines", "n_dropped")] == [c for c in odd.columns if c not in ("n_lines", "_id")]
+    assert [c for c in out.columns if c not in ("n_lines", "n_dropped")] == [c for c in odd.columns if c != "n_lines"] and out.first()["_id"] == 5
+    assert line_dedup.without_repeats(odd).columns == odd.columns
+    one_id = spark.createDataFrame([(1, "this line is known"), (5, "this line is known\na"), (5, "own words of it\nthis line is known"), (None, "nobody has this line")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dedup_lines(one_id).collect()) == ["a", "nobody has this line", "own words of it", "this line is known"]
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
     hot = spark.createDataFrame([(i, f"the very same line\nown line number {i}") for i in range(500)], "doc_id long, text string")
     assert line_dedup.dedup_lines(hot).agg(F.sum("n_dropped")).first()[0] == 499
