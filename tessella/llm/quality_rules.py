@@ -3,8 +3,9 @@
 All metrics are built-in column expressions, so a document is judged in one scan without a shuffle.
 
 Defined results: a null or empty text has no words and fails; a null threshold metric (a ratio without a
-denominator) passes its rule; repeated rows are judged alike; other columns pass through untouched, and
-a clashing name is replaced by the metric.
+denominator) passes its rule; repeated rows are judged alike, ids play no part; a text of any length is judged whole,
+its words compared as words and not as hashes; an empty table gives none; other columns pass through untouched, and a
+clashing name is replaced by the metric, but not by quality_filter(), which only drops rows.
 """
 
 from __future__ import annotations
@@ -44,31 +45,37 @@ def rule(metric: str, lowest, highest) -> Column:
 
 
 def repeat_words() -> Column:
-    """Words covered by three-word windows that occur twice or more, from the array _words.
+    """Words covered by three-word windows that occur twice or more, from the array _same of the windows that do.
 
-    Each window becomes one long: the high bits of its hash over its index. Equal windows are then neighbours
-    in one primitive sort, and the covered words follow from the gaps between the repeated windows' indexes.
+    The covered words follow from the gaps between the repeated windows' indexes.
     """
     return F.expr("""
-        if(n_words < 4, 0L, aggregate(
-            sort_array(transform(
-                filter(
-                    transform(_sorted, (x, i) -> if(
-                        (i > 0 and shiftright(x, _bits) = shiftright(_sorted[greatest(i - 1, 0)], _bits))
-                        or (i < n_words - 3 and shiftright(x, _bits) = shiftright(_sorted[least(i + 1, cast(n_words - 3 as int))], _bits)),
-                        x & (shiftleft(1L, _bits) - 1), -1L)),
-                    x -> x >= 0),
-                x -> x)),
+        aggregate(
+            array_sort(transform(filter(
+                transform(_same, (x, i) -> if(
+                    (i > 0 and x.w <=> _same[greatest(i - 1, 0)].w) or (i < size(_same) - 1 and x.w <=> _same[least(i + 1, size(_same) - 1)].w), x.i, -1L)),
+                x -> x >= 0), x -> x)),
             struct(0L as total, -3L as last),
             (s, x) -> struct(s.total + least(3L, x - s.last) as total, x as last),
-            s -> s.total))""")
+            s -> s.total)""")
+
+
+#: Windows whose hash may repeat, by index. Each window is one long, the high bits of its hash over its index, so that
+#: equal windows are neighbours in one primitive sort.
+_LIKELY = """
+    filter(transform(_sorted, (x, i) -> if(
+        (i > 0 and shiftright(x, _bits) = shiftright(_sorted[greatest(i - 1, 0)], _bits))
+        or (i < n_words - 3 and shiftright(x, _bits) = shiftright(_sorted[least(i + 1, cast(n_words - 3 as int))], _bits)),
+        x & (shiftleft(1L, _bits) - 1), -1L)), x -> x >= 0 and n_words >= 4)"""
+#: These with their words, sorted: here equal windows are neighbours whatever their hashes.
+_EXACT = f"sort_array(transform({_LIKELY}, i -> struct(slice(_words, cast(i as int) + 1, 3) as w, i as i)))"
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with METRICS, n_lines and n_stop_words."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-    kept = [c for c in docs.columns if c.lower() not in {*METRICS, "n_lines", "n_stop_words", "_words", "_lines", "_bits", "_sorted"}]
+    kept = [c for c in docs.columns if c.lower() not in {*METRICS, "n_lines", "n_stop_words", "_words", "_lines", "_bits", "_sorted", "_same"}]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_words"), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"), (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("long").alias("n_symbols"))
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
@@ -80,7 +87,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     })
     window = "sort_array(transform(sequence(0, cast(n_words as int) - 3), i -> (xxhash64(_words[i], _words[i + 1], _words[i + 2]) & ~(shiftleft(1L, _bits) - 1)) | i))"
     out = out.withColumn("_sorted", F.expr(f"if(n_words < 4, array(0L), {window})"))
-    out = out.withColumn("n_repeat_words", repeat_words())
+    out = out.withColumn("_same", F.expr(_EXACT)).withColumn("n_repeat_words", repeat_words())
     # Generate keeps a filter on the metrics above them; pushed below, it would compute the arrays anew for each element.
     metrics = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
     return out.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(metrics)).alias("_metrics")).select(*[F.col(f"`{c}`") for c in kept], "_metrics.*")
