@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -58,5 +58,13 @@ def summary(conversation: Column, model: Callable[[Column], Column] | None = Non
     return or_else(model, conversation, F.lit(""))
 
 
-#: Pretrained choices of the reference's settings page: language, model, size in MB.
+# The embedding models to choose from, by language, with their size in MB.
 MODELS = [("english", "all-MiniLM-L6-v2", 80), ("chinese", "bge-small-zh", 400), ("mixed", "bge-m3", 1200)]
+
+
+def registry(files: DataFrame) -> DataFrame:
+    """language, model, size_mb and downloaded: whether the models folder has any file (file_path below it) of the model."""
+    have = files.select(F.substring_index("file_path", "/", 1).alias("folder")).distinct()
+    known = files.sparkSession.createDataFrame(MODELS, "language string, model string, size_mb int")
+    found = known.join(have, F.col("folder").endswith(F.col("model")), "left")
+    return found.groupBy("language", "model", "size_mb").agg(F.max(F.col("folder").isNotNull()).alias("downloaded"))

@@ -94,7 +94,7 @@ def retrieval_prompts(spark, sf_dir):
 
 def query_strategy(spark, sf_dir):
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), "text")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((-1 - F.col("item_id")).alias("id"), F.concat(F.lit("What is "), F.substring("text", 1, 30), F.lit("?")).alias("text"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((-1 - F.col("item_id")).alias("id"), F.concat(F.lit("What is "), "text", F.lit("?")).alias("text"))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.lit(-1_000_000) - F.col("p_partkey")).alias("id"), F.concat("p_name", F.lit(" versus "), "p_type").alias("text"))
     return talks.unionByName(items).unionByName(parts).select("id", classify_strategy("text").alias("strategy"))
 
@@ -157,7 +157,7 @@ def _strategy_sql() -> str:
 
     return rf"""
 WITH a AS (
-  SELECT conv_id * 100000 + turn AS id, text FROM conversations UNION ALL SELECT -1 - item_id, 'What is ' || text[:30] || '?' FROM benchmark
+  SELECT conv_id * 100000 + turn AS id, text FROM conversations UNION ALL SELECT -1 - item_id, 'What is ' || text || '?' FROM benchmark
   UNION ALL SELECT -1000000 - p_partkey, p_name || ' versus ' || p_type FROM part
 ), b AS (SELECT id, regexp_replace(coalesce(text, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS s FROM a),
 c AS (SELECT id, s, length(regexp_replace(s, '[^一-鿿]', '', 'g')) > length(s) / 3 AS cjk, s LIKE '%?' OR s LIKE '%？' AS asks, len(regexp_split_to_array(s, '{_SPACE}+')) AS n FROM b)

@@ -312,7 +312,7 @@ def summary_upsert(spark, sf_dir):
 
 
 def document_summaries(spark, sf_dir):
-    out = summaries.summarise(_documents(spark, sf_dir), _summaries(spark, sf_dir), _at(NOW), model=lambda c: F.substring(c, 1, 40))
+    out = summaries.summarise(_documents(spark, sf_dir), _summaries(spark, sf_dir), _at(NOW), model=lambda c: F.when(t.strip(c) != "", F.sha2(c, 256)))
     return out.select("file_path", "summary", _time("created_at"), _time("updated_at"))
 
 

@@ -166,7 +166,7 @@ WITH {_SUMMARIES}, u AS (
   UNION ALL SELECT * FROM sums WHERE file_path NOT IN (SELECT file_path FROM docs WHERE lang = 'de'))
 SELECT file_path, summary, {_TIMES('created_at', 'updated_at')} FROM u""",
     "document_summaries": f"""
-WITH {_SUMMARIES}, n AS (SELECT file_path, {_strip('text[:40]')} AS summary, {_NOW} AS created_at, {_NOW} AS updated_at FROM docs WHERE file_path NOT IN (SELECT file_path FROM sums)),
+WITH {_SUMMARIES}, n AS (SELECT file_path, CASE WHEN {_strip('text')} <> '' THEN sha256(text) ELSE '' END AS summary, {_NOW} AS created_at, {_NOW} AS updated_at FROM docs WHERE file_path NOT IN (SELECT file_path FROM sums)),
 u AS (SELECT * FROM sums UNION ALL SELECT * FROM n WHERE summary <> '')
 SELECT file_path, summary, {_TIMES('created_at', 'updated_at')} FROM u""",
 }

@@ -380,3 +380,10 @@ def test_stream_syncs(spark, tmp_path):
     q = jobs.sync_on_changes(spark.readStream.schema("path string, destination string").parquet(str(tmp_path / "ev")), str(tmp_path / "k"), read, lambda out: got.extend((r.file_path, r.status) for r in out["documents"].collect()), str(tmp_path / "cp"), every=None)
     q.awaitTermination()
     assert got == [("a.md", "indexed")]
+
+
+def test_model_registry(spark):
+    from tessella.functions import models
+
+    files_ = spark.createDataFrame([("models--all-MiniLM-L6-v2/config.json",), ("models--all-MiniLM-L6-v2/w.bin",), ("other/x",)], "file_path string")
+    assert {(r.language, r.downloaded) for r in models.registry(files_).collect()} == {("english", True), ("chinese", False), ("mixed", False)}
