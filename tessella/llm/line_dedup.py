@@ -2,9 +2,9 @@
 
 Each task fills both filters from the keys of its lines, a document counting once; the filters of two tasks merge by
 once = a | b, twice = ta | tb | (a & b). Only lines whose key may have been seen twice are shuffled, to confirm the
-repeat exactly and to choose the smallest document. A filter has at most 2^27 bits (16 MB to broadcast); over more
-lines it fills up, which only sends more suspects to the exact step. Keys of more than one in HOT suspects, so fewer
-than HOT keys, are broadcast to their lines; the others are joined.
+repeat exactly and to choose the smallest document. A filter has at most 2^29 bits (64 MB to broadcast, enough for
+some 10^8 lines); over more lines it fills up, which only sends more suspects to the exact step. Keys of more than one
+in HOT suspects, so fewer than HOT keys, are broadcast to their lines; the others are joined.
 
 Defined results: null or empty text is one empty line; keys are compared as strings, not as hashes; a null id is
 smaller than any other; rows of the same id are one document to the count, and of their lines none is dropped for
@@ -28,7 +28,7 @@ from tessella.llm.shared import written
 
 LEAST_CHARS = 10
 BITS_PER_LINE = 12
-LEAST_BITS, MOST_BITS = 20, 27
+LEAST_BITS, MOST_BITS = 20, 29
 #: A filter travels in blocks of so many bytes.
 BLOCK = 1 << 15
 HOT = 1000
@@ -80,7 +80,7 @@ def twice_seen(found: DataFrame, bits: int) -> np.ndarray:
     parts = found.select("_id", "hash").mapInPandas(fill, "block int, once binary, twice binary")
     whole = parts.groupBy("block").applyInPandas(merge, "block int, twice binary")
     out = np.zeros(size, np.uint8)
-    for row in whole.collect():  # 2^27 bits at most
+    for row in whole.collect():  # 2^MOST_BITS bits at most
         out[row.block * block : (row.block + 1) * block] = np.frombuffer(row.twice, np.uint8)
     return out
 

@@ -6,7 +6,8 @@ compiled into one Spark column expression, so all documents are scored by built-
 
 Defined results: a null or empty text has zero statistics and is scored like any; rows without a label, or of the
 held-out remainder, are never learned from; a document with several labels counts with the largest; without rows of
-both classes the score is the smoothed share of label 1; other columns are ignored.
+both classes the score is the smoothed share of label 1; repeated rows are scored alike, and ids play no part in a score;
+a text of any length is measured whole; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations

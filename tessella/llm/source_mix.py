@@ -5,7 +5,9 @@ distribution of that mean at a uniform number hashed from seed and doc_id, so a
 partitioning gives the same copies. The copies are dealt out and sorted by a hash, which shuffles them globally.
 
 Defined results: a null source is a source of its own; null ids hash as one id; repeated rows each get the same
-count; a source of weight zero goes; an empty table gives an empty one; other columns pass through.
+count, and their copies an equal shuffle_key, so they lie side by side; texts play no part and may be of any length; a
+source of weight zero goes; an empty table gives an empty one; other columns pass through, and n_copies, replica and
+shuffle_key replace columns of these names, which mixed_documents() leaves alone.
 """
 
 from __future__ import annotations

@@ -60,7 +60,7 @@ def by_hand_components(rows):
     return sorted(((i, len(sets[n]), least.get(root(n)) if sets[n] else i) for n, (i, _) in enumerate(rows)), key=str)
 
 
-def test_ngram_join_equals_brute_force(spark, docs, odd):
+def test_ngram_join_equals_brute_force(spark, docs, odd, monkeypatch):
     rng, words = np.random.default_rng(3), [f"w{i}" for i in range(400)]
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(i, t) for i, t in ODD if i != 7]
     for k, size in enumerate([5, 6, 9, 12, 25, 60, 150, 400, 900]):
@@ -73,6 +73,13 @@ def test_ngram_join_equals_brute_force(spark, docs, odd):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()), key=str)
     assert got == by_hand_components(rows)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    monkeypatch.setattr(ngram_join, "CELLS", 1000)
+    monkeypatch.setattr(ngram_join, "MEET_BYTES", 20_000)
+    some = df.filter("doc_id >= 10000")
+    small = [r for r in rows if r[0] is not None and r[0] >= 10_000]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(some).collect()) == by_hand_components(small)
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
     near = " ".join(f"w{i}" for i in range(40))
@@ -303,7 +310,7 @@ def test_chat_fold_and_round_trip(spark):
     assert chat_format.format_chats(events.limit(0)).count() == 0
 
 
-def test_source_mix(spark, odd):
+def test_source_mix(spark, odd, monkeypatch):
     n = 4000
     df = spark.createDataFrame([(i, "big" if i % 4 else "small") for i in range(n)], "doc_id long, source string")
     weights = spark.createDataFrame([("big", 1.0), ("small", 3.0)], "source string, weight double")
@@ -313,6 +320,8 @@ def test_source_mix(spark, odd):
     assert again.exceptAll(source_mix.mix(df, weights)).count() == 0
     out = source_mix.mixed_documents(odd)
     assert out.columns == odd.columns and source_mix.mix(odd.limit(0)).count() == 0
+    monkeypatch.setattr(source_mix, "BROADCAST_SOURCES", 0)
+    assert again.exceptAll(source_mix.mix(df, weights)).count() == 0 and again.count() == source_mix.mix(df, weights).count()
 
 
 def test_secret_scan(spark, odd, monkeypatch):
@@ -418,7 +427,7 @@ def test_quality_rules(spark, odd):
     assert quality_rules.quality_filter(clean).count() == 1
 
 
-def test_quality_classifier(spark):
+def test_quality_classifier(spark, odd):
     sf = "/root/testdata/sf0.1"
     out = quality_classifier.op8_quality_classifier(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -438,6 +447,10 @@ def test_quality_classifier(spark):
     none = labels.limit(0).select("doc_id", "quality")
     d = spark.createDataFrame(ODD, "doc_id long, text string")
     assert quality_classifier.learn(d, none) == (0.0, [])
+    model = (0.3, [(((0, True, 5.0), (2, False, 0.1)), 1.5)])
+    odd_scores = quality_classifier.statistics(odd.select("doc_id", "text")).select("doc_id", quality_classifier.score_column(model).alias("s")).collect()
+    assert len(odd_scores) == len(ODD) and all(0 < r.s < 1 for r in odd_scores)
+    assert quality_classifier.statistics(odd.select("doc_id", "text").limit(0)).count() == 0
 
 
 def test_pieces(spark, docs, odd):
@@ -453,6 +466,10 @@ def test_pieces(spark, docs, odd):
                 n += 1
                 assert list(r.ids) == library.encode(t)
         assert n
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(["  ", "   ", " ", pieces.SPACE, "the", "ing", "\n", "é", "x", "7"], int(rng.integers(0, 40)))) for _ in range(400)]
+    runs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert all(list(r.ids) == library.encode(texts[r.doc_id]) for r in pieces.encode(runs).collect())
     assert pieces.encode(odd.limit(0)).count() == 0
 
 
@@ -469,18 +486,84 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(hot).agg(F.sum("n_dropped")).first()[0] == 499
 
 
-def test_pipeline(spark):
+def quality_by_hand(text: str | None) -> bool:
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, windows = len(w), Counter(zip(w, w[1:], w[2:], strict=False))
+    repeated = len({i + k for i in range(n - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)})
+    if n < 50 or 100 * repeated > 50 * n or not 2 <= sum(map(len, w)) / n <= 15:
+        return False
+    return len(re.findall(r"[#*$%&|<>]", text)) <= 0.25 * n and len(lines) - len(set(lines)) <= 0.6 * len(lines) and bool(set(w) & set(quality_rules.STOP_WORDS))
+
+
+def lines_by_hand(rows: list) -> list:
+    """(id, text) without the lines whose key a smaller id has."""
+    key = lambda x: lower(x.strip(" \t\n\x0b\f\r"))
+    has: dict = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10:
+                has.setdefault(key(x), set()).add((i is not None, i or 0))
+    gone = lambda i, x: len(has.get(key(x), ())) > 1 and min(has[key(x)]) != (i is not None, i or 0)
+    return [(i, None if t is None else "\n".join(x for x in t.split("\n") if not gone(i, x))) for i, t in rows]
+
+
+def copies_by_hand(rows: list, sources: list) -> Counter:
+    import hashlib
+
+    n, out = Counter(sources), Counter()
+    weight = {s: k**source_mix.TEMPERATURE for s, k in n.items()}
+    for (i, t), s in zip(rows, sources, strict=True):
+        rate = len(rows) * weight[s] / sum(weight.values()) / n[s]
+        u = int(hashlib.md5(f"{source_mix.SEED}:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        k, p = 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate / k
+            total += p
+        out[i, t] += k
+    return +out
+
+
+def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, SF)
     before = spark.read.parquet(f"{SF}/documents.parquet")
     assert out.columns == [*before.columns, "ids"]
-    kept = quality_rules.quality_filter(before)
-    lined = {r.doc_id: r.text for r in line_dedup.dedup_lines(kept).select("doc_id", "text").collect()}
-    rows = sorted(lined.items())
-    stay = {i for i, _, c in by_hand_components(rows) if i == c}
-    copies = {r.doc_id: r.n for r in source_mix.mix(before.filter(F.col("doc_id").isin(*stay))).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
-    got = out.select("doc_id", "text").collect()
-    assert Counter(r.doc_id for r in got) == Counter(copies)
-    assert all(r.text == lined[r.doc_id] for r in got)
-    assert all(r.decoded == (r.text or "").replace(pieces.SPACE, " ") for r in pieces.decode(out).collect())
+    rows = before.select("doc_id", "text", "source").collect()
+    kept = [r for r in rows if quality_by_hand(r.text)]
+    texts = lines_by_hand([(r.doc_id, r.text) for r in kept])
+    first = {i for i, _, c in by_hand_components(texts) if i == c}
+    stay = [(x, r.source) for x, r in zip(texts, kept, strict=True) if x[0] in first]
+    want = copies_by_hand([x for x, _ in stay], [s for _, s in stay])
+    got = pieces.decode(out).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == want and len(kept) < len(rows)
+    assert all(r.n_chars == len(r.text or "") for r in got)
+    assert all(r.decoded == (r.text or "").replace(pieces.SPACE, " ") for r in got)
+
+
+def test_pipeline_keeps_odd_columns(spark, odd):
+    """Each stage on nulls, repeats, long texts and columns of the operators' own names: these come back with their values."""
+    import corpus_pipeline
+
+    good = " ".join(f"the word{i} of" for i in range(60))
+    more = spark.createDataFrame([(20, good, "t", 5, "x", *range(8)), (21, good + " end", None, 6, "y", *range(8)), (None, good, "t", 7, "z", *range(8))], odd.schema)
+    docs, own = odd.unionByName(more), [c for c in odd.columns if c not in ("doc_id", "text", "source")]
+    held = {r.ids: tuple(r[c] for c in own) for r in more.collect()}
+    stays = {"quality_rules": {5, 6, 7}, "line_dedup": {5, 6, 7}, "ngram_join": {5}, "source_mix": None}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == odd.columns
+        rows = docs.collect()
+        for r in rows:
+            if r.ids in held:
+                assert tuple(r[c] for c in own) == held[r.ids]
+        if stays[name] is not None:
+            assert {r.n_lines for r in rows if r.ids in held} == stays[name]
+        docs = spark.createDataFrame(rows, odd.schema)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert set(last.columns) == set(odd.columns) and dict(last.dtypes)["ids"] == "array<int>"
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0
