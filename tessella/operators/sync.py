@@ -110,8 +110,8 @@ def metadata(meta: Column) -> Column:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df kept in the shared folder of spark.checkpoint.dir, so that what is derived from it twice is computed once; df itself without such a folder."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    """df kept in the checkpoint folder, so that what is derived from it twice is computed once; df itself where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
 def sync(disk: DataFrame, documents: DataFrame, chunks: DataFrame, now: Column, force: bool = False, embed: Callable[[Column], Column] | None = models.embed) -> dict[str, DataFrame]:
