@@ -42,6 +42,7 @@ FREQUENT = 32
 BLOCK, BLOCK_SETS, CELLS = 1 << 16, 2048, 1 << 22
 #: Bytes of texts whose signatures meet in one group.
 MEET_BYTES = 12 << 20
+SALT = 16
 #: Up to so many nodes and text hashes (16 bytes each) are broadcast to pick their documents; beyond, the documents are joined.
 BROADCAST_IDS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -246,7 +247,8 @@ def across(pairs: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
     members = pairs.select("pivot", "node", "n").unionByName(pairs.groupBy("pivot").agg(F.first("pn").alias("n")).select("pivot", F.col("pivot").alias("node"), "n"))
     named = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("size"), F.count("*").alias("sets")).filter("lo <> hi")
-    some = named.join(mixed.select("pivot", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks")), "pivot")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALT))  # a pivot's nodes may be many
+    some = named.withColumn("salt", salt).join(mixed.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("salt"), F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks")), ["pivot", "salt"])
     dealt = some.join(texts.select("node", "text"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     packed = written(dealt.groupBy("pivot", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "label", "text")).alias("sets")), "blocks")
     left = packed.select("pivot", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("sets").alias("x"))
