@@ -28,7 +28,7 @@ RATE, BLOCK, UNIT = 8000, 4096, 64
 #: Bytes of texts, and of streams, that are worked on together; a longer one is worked on alone.
 STEP, READ_STEP = 1 << 20, 1 << 21
 #: Frames that are worked on together.
-RUN = 512
+RUN = 1024
 #: Order, shift and bits of fitted coefficients.
 ORDER, SHIFT, PRECISION = 4, 9, 12
 
@@ -365,15 +365,21 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray
         total = np.cumsum(out[where])
         first = np.cumsum(size) - size
         out[where] = total - np.repeat(total[first] - out[where[first]], size)
-    before = 1 + np.arange(coefs.shape[1])
-    longer = np.searchsorted(-n[linear], -np.arange(int(n[linear].max(initial=0))), "left")
-    for t in range(int(order[linear].min(initial=99)), int(n[linear].max(initial=0))):
-        m = np.arange(longer[t])
-        if t < coefs.shape[1]:
-            m = m[order[linear[m]] <= t]
-        here = begin[linear[m]] + t
-        past = out[np.maximum(here[:, None] - before, 0)]  # coefficients beyond a frame's order are 0
-        out[here] += (coefs[m] * past).sum(1) >> shift[m]
+    if len(linear):  # a row a sample, a column a frame, the longest first
+        most, size = coefs.shape[1], n[linear]
+        place, frame = _ranges(np.zeros(len(linear), np.int64), size) + most, np.repeat(np.arange(len(linear)), size)
+        whole, where = np.zeros((most + int(size.max()), len(linear)), np.int32), _ranges(begin[linear], size)
+        whole[place, frame] = out[where]
+        terms, down, longer = np.ascontiguousarray(coefs.T.astype(np.int32)), shift.astype(np.int32), np.searchsorted(-size, -np.arange(int(size.max())), "left").tolist()
+        for t, k in enumerate(longer):
+            guess = terms[0, :k] * whole[most + t - 1, :k]
+            for i in range(1, most):  # coefficients beyond a frame's order are 0
+                guess += terms[i, :k] * whole[most + t - 1 - i, :k]
+            guess >>= down[:k]
+            if t < most:
+                guess[order[linear[:k]] > t] = 0
+            whole[most + t, :k] += guess
+        out[where] = whole[place, frame]
     ends = (at + 7) // 8 + 2
     back = np.empty_like(by)
     back[by] = np.arange(len(by))
