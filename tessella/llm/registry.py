@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat_format, flac, line_dedup, lm_mix, ngram_join, pieces, quality_classifier, quality_rules, secret_scan, source_mix, tandem_runs
+from tessella.llm import chat_format, flac, line_dedup, lm_mix, ngram_join, phrase_index, pieces, quality_classifier, quality_rules, secret_scan, source_mix, tandem_runs
 
 QUERIES = {
     "op1_lm_score": lm_mix.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_pieces": pieces.op9_pieces,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_decontaminate": phrase_index.op11_decontaminate,
     "op13_tandem_runs": tandem_runs.op13_tandem_runs,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_ngram_join": ngram_join.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_decontaminate": phrase_index.OP11_SQL,
     "op13_tandem_runs": tandem_runs.OP13_SQL,
 }

@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 SLICE = 3 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: All ASCII but digits and letters.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -66,10 +69,10 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of the words."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the words, which the bytes marked in breaks part."""
     ink = np.zeros(len(data) + 2, bool)
-    ink[1:-1] = ~_SPACE[data]
+    ink[1:-1] = ~breaks[data]
     first = np.zeros(len(data) + 2, bool)
     first[offsets + 1] = True  # a text ends the word of the text before
     starts = np.flatnonzero(ink[1:-1] & (~ink[:-2] | first[1:-1]))
