@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.shared import written
-from tessella.llm.text_arrays import NOT_ALNUM, slices, word_hashes, words
+from tessella.llm.text_arrays import NOT_ALNUM, numbers, planes, ranges, slices, word_hashes, words
 
 WINDOW = 10
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,21 +41,6 @@ BLOCK_BYTES = 32 << 20
 STEP = 1 << 20
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The lowest bytes of all numbers, then the next ones: small numbers compress well."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The written index, a row a segment: its number, keys and n_words of its documents; terms (hashes, ascending), spelled and spell_size
     (their words), n_places and places (by term, each less the one before)."""
@@ -78,7 +63,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 gap[first] = order[first]
                 one = order[first]
                 size = ends[one] - starts[one]
-                blobs = [_planes(np.bincount(owner, minlength=hi - lo)), h[first].tobytes(), data[_ranges(starts[one], size)].tobytes(), _planes(size), _planes(np.diff(first, append=len(h))), _planes(gap)]
+                blobs = [planes(np.bincount(owner, minlength=hi - lo)), h[first].tobytes(), data[ranges(starts[one], size)].tobytes(), planes(size), planes(np.diff(first, append=len(h))), planes(gap)]
                 keys = b.column(0).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys).cast(kinds), *[pa.array([x], pa.binary()) for x in blobs]], schema.names)
 
@@ -116,9 +101,9 @@ class Postings:
     """Postings of a segment for the terms of a block of windows; a key is the term's number above its place."""
 
     def __init__(self, segment: dict, windows: Windows):
-        self.n_words = _numbers(segment["n_words"])
+        self.n_words = numbers(segment["n_words"])
         self.ends = np.cumsum(self.n_words)
-        terms, size, count = np.frombuffer(segment["terms"], np.uint64), _numbers(segment["spell_size"]), _numbers(segment["n_places"])
+        terms, size, count = np.frombuffer(segment["terms"], np.uint64), numbers(segment["spell_size"]), numbers(segment["n_places"])
         at = np.minimum(np.searchsorted(terms, windows.hash), max(len(terms) - 1, 0))
         there = np.flatnonzero(terms[at] == windows.hash) if len(terms) else np.zeros(0, np.int64)
         spelled, end = segment["spelled"], np.cumsum(size)
@@ -127,7 +112,7 @@ class Postings:
         at = at[there]
         self.count = np.zeros(len(windows.hash), np.int64)
         self.count[there] = count[at]
-        gaps = _numbers(segment["places"])[_ranges((np.cumsum(count) - count)[at], count[at])]
+        gaps = numbers(segment["places"])[ranges((np.cumsum(count) - count)[at], count[at])]
         run = np.cumsum(gaps)
         begin = np.cumsum(count[at]) - count[at]
         place = run - np.repeat(run[begin] - gaps[begin], count[at])
@@ -210,7 +195,7 @@ def _of_segment(segment: dict, windows: Windows, slack: int) -> tuple[np.ndarray
         pairs.append(np.unique(np.searchsorted(p.ends, start, "right") << 32 | w))
     pair = np.unique(np.concatenate(pairs))
     d, w = pair >> 32, pair & 0xFFFFFFFF
-    pair = np.unique(np.repeat(d << 32, windows.n_items[w]) | windows.of[_ranges(windows.first_item[w], windows.n_items[w])])
+    pair = np.unique(np.repeat(d << 32, windows.n_items[w]) | windows.of[ranges(windows.first_item[w], windows.n_items[w])])
     hit = np.zeros(total + 2, np.int8)
     hit[1:-1] = np.cumsum(mark)[:total] > 0
     borders = np.zeros(total + 1, bool)

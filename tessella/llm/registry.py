@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat_format, flac, line_dedup, lm_mix, ngram_join, phrase_index, pieces, quality_classifier, quality_rules, secret_scan, source_mix, tandem_runs
+from tessella.llm import chat_format, flac, line_dedup, lm_mix, ngram_join, phrase_index, pieces, quality_classifier, quality_rules, secret_scan, source_mix, tandem_runs, token_align
 
 QUERIES = {
     "op1_lm_score": lm_mix.op1_lm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pieces": pieces.op9_pieces,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_decontaminate": phrase_index.op11_decontaminate,
+    "op12_token_align": token_align.op12_token_align,
     "op13_tandem_runs": tandem_runs.op13_tandem_runs,
 }
 

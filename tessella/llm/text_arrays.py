@@ -127,3 +127,19 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[tuple[int, int, np.
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         h, d = h[new], d[new]
         yield lo, hi, h, np.searchsorted(d, np.arange(hi - lo + 1))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers below 2^32, then the next ones: small numbers compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def numbers(blob: bytes) -> np.ndarray:
+    """The numbers of planes()."""
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
