@@ -322,7 +322,7 @@ def counts(table: DataFrame) -> DataFrame:
         if now is not None:
             yield out()
 
-    return written(parts.repartition("stripe").sortWithinPartitions("stripe").mapInArrow(add, "stripe int, block binary"), "stripes")
+    return written(parts.repartition(STRIPES // 4, "stripe").sortWithinPartitions("stripe").mapInArrow(add, "stripe int, block binary"), "stripes")
 
 
 def pair_counts(stripes: DataFrame) -> DataFrame:

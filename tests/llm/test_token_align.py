@@ -25,16 +25,17 @@ def by_hand(rows) -> list[tuple]:
         ids, pairs, groups = ([], []), [], []
         if text:
             e, p, want = a.encode(" " + text, add_special_tokens=False), b.encode(text), (" " + text).encode()
-            sides = [(e.ids, [bytes(byte[c] for c in t) for t in e.tokens]), (p, [piece[i] for i in p])]
+            a_ids = e.ids  # a copy each time it is asked for
+            sides = [(a_ids, [bytes(byte[c] for c in t) for t in e.tokens]), (p, [piece[i] for i in p])]
             if all(b"".join(raw) == want for _, raw in sides):
-                ids = (e.ids, p)
+                ids = (a_ids, p)
                 ends = [np.cumsum([len(x) for x in raw]).tolist() for _, raw in sides]
                 last, at = (0, 0), {x: m for m, x in enumerate(ends[1])}
                 for n, x in enumerate(ends[0]):
                     if x in at:
                         m = at[x]
-                        pairs.append((e.ids[n], p[m]))
-                        groups.append(",".join(map(str, e.ids[last[0] : n + 1])) + "|" + ",".join(map(str, p[last[1] : m + 1])))
+                        pairs.append((a_ids[n], p[m]))
+                        groups.append(",".join(map(str, a_ids[last[0] : n + 1])) + "|" + ",".join(map(str, p[last[1] : m + 1])))
                         last = (n + 1, m + 1)
         count.update(pairs)
         docs.append((key, len(ids[0]), len(ids[1]), pairs, ";".join(groups)))
