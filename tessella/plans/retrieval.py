@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions.models import or_else
 from tessella.functions.text import classify_strategy
-from tessella.operators import evaluation, retrieval
+from tessella.operators import evaluation, retrieval, vector_index
 from tessella.operators.vectors import knn
+from tessella.sources.workspace import fresh
 
 EVERY = 100
 CONDITION = {"$and": [{"label": {"$in": [1, 2, 3, 4]}}, {"vec_id": {"$gte": 50}}]}
@@ -51,6 +52,13 @@ def vector_topk_where(spark, sf_dir):
     return _rounded(_hits(spark, sf_dir, condition=CONDITION))
 
 
+def vector_topk_indexed(spark, sf_dir):
+    """The same by a fresh index; no share of blocks is too large for it here."""
+    v = _vectors(spark, sf_dir)
+    index = vector_index.build(v, fresh(spark, "index"), "vec_id", "embedding")
+    return _rounded(vector_index.search(index, _asked(v), share=1.0))
+
+
 def multi_query_fusion(spark, sf_dir):
     """Three variants of a question (its vector, reversed, negated), pooled; a chunk counts once, where it came first."""
     v = _vectors(spark, sf_dir)
@@ -124,7 +132,7 @@ def eval_accepted(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_cosine, vector_topk_ip, vector_topk_same_pack, vector_topk_where, multi_query_fusion, rerank_topk, retrieval_sources, retrieval_context,
+    vector_topk, vector_topk_cosine, vector_topk_ip, vector_topk_same_pack, vector_topk_where, vector_topk_indexed, multi_query_fusion, rerank_topk, retrieval_sources, retrieval_context,
     retrieval_prompts, query_strategy, model_fallback, eval_questions, eval_report, eval_accepted,
 )}
 
@@ -171,6 +179,7 @@ FROM c"""
 
 ORACLES = {
     "vector_topk": _ranked(_L2),
+    "vector_topk_indexed": _ranked(_L2),
     "vector_topk_cosine": _ranked(f"1 - {_DOT.format('a', 'b')} / sqrt({_DOT.format('a', 'a')} * {_DOT.format('b', 'b')})"),
     "vector_topk_ip": _ranked(f"1 - {_DOT.format('a', 'b')}"),
     "vector_topk_same_pack": _ranked(_L2, 5, "label = wanted"),
