@@ -37,7 +37,9 @@ _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """_id, _same (the hash of the text), no, the stripped line and a hash that is equal for equal keys, for the lines whose key is long enough."""
-    each = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_same"), F.posexplode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)).alias("no", "line"))
+    # The hash stands below the explode, so it is taken once a text, and a line carries no text.
+    hashed = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_same"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    each = hashed.select("_id", "_same", F.posexplode(F.split("_text", "\n", -1)).alias("no", "line"))
     stripped = each.select("_id", "_same", "no", F.btrim("line", F.lit(" \t\n\x0b\f\r")).alias("line")).filter(F.length("line") >= LEAST_CHARS)
     return stripped.withColumn("hash", F.xxhash64(F.lower("line")))  # lower() is fast, and only ever joins more than the key does
 
