@@ -4,9 +4,11 @@ Each source gets a mean repetition rate, total * weight / documents. A document'
 distribution of that mean at a uniform number hashed from seed and doc_id, so a rerun, a retried task or another
 partitioning gives the same copies. The copies are dealt out and sorted by a hash, which shuffles them globally.
 
-Defined results: a null source is a source of its own; null ids hash as one id; repeated rows each get the same
-count, and their copies an equal shuffle_key, so they lie side by side; texts play no part and may be of any length; a
-source of weight zero goes; an empty table gives an empty one; other columns pass through, and n_copies, replica and
+An id that several rows share, or none, can't tell them apart: such rows draw with their place in the input
+too, so each has a number of its own. For them alone another order or partitioning of the input draws other copies.
+
+Defined results: a null source is a source of its own; rows of null and repeated ids, repeated rows too, are drawn for and
+dealt out one by one; texts play no other part and may be of any length; a source of weight zero goes; an empty table gives an empty one; other columns pass through, and n_copies, replica and
 shuffle_key replace columns of these names, which mixed_documents() leaves alone.
 """
 
@@ -20,6 +22,8 @@ SEED = 17
 TEMPERATURE = 0.7
 #: Up to so many sources (a few hundred bytes each) the table of rates is broadcast; beyond, it is joined with salt.
 BROADCAST_SOURCES = 20_000
+#: Up to so many ids that several rows share are broadcast; more are joined.
+BROADCAST_IDS = 200_000
 SALT = 32
 
 
@@ -53,10 +57,19 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None
     return by.filter("rate > 0").select("_source", "n", "rate", poisson_cdf("rate").alias("_cdf"))
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows with an _id of its own for each: that of rows that share one, or have none, gets their place."""
+    shared = rows.filter("not _none").groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", F.lit(True).alias("_shared"))
+    few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    both = placed.join(F.broadcast(shared) if few else shared, "_id", "left")
+    return both.withColumn("_id", F.when(F.col("_none") | F.col("_shared"), F.concat_ws(":", "_id", F.col("_place").cast("string"))).otherwise(F.col("_id"))).select("_row", "_key", "_id")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, source: str = "source", key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """The copies in shuffled order: the documents' columns, n_copies, replica (from 0) and shuffle_key."""
     table = rates(docs, weights, total, source)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).alias("_key"), F.col(key).alias("_id"))
+    row = _told_apart(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).alias("_key"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_id"), F.col(key).isNull().alias("_none")))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         joined = row.join(F.broadcast(table), F.col("_key").eqNullSafe(F.col("_source")))
     else:
@@ -65,7 +78,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
         joined = row.join(table, F.col("_key").eqNullSafe(F.col("_source")) & (row["_salt"] == table["_salt"]))
     counted = joined.select("_row", "_id", uniform(seed, "_id").alias("_u"), "_cdf").select("_row", "_id", F.expr("size(filter(_cdf, c -> c <= _u))").alias("_n"))
     copies = counted.filter("_n > 0").select("_row", "_id", "_n", F.explode(F.expr("sequence(0, _n - 1)")).alias("_replica"))
-    keyed = copies.withColumn("_shuffle", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("_replica").cast("string"))))
+    keyed = copies.withColumn("_shuffle", F.md5(F.concat_ws(":", F.lit(str(seed)), "_id", F.col("_replica").cast("string"))))
     out = keyed.repartition("_shuffle").sortWithinPartitions("_shuffle")
     own = {"n_copies", "replica", "shuffle_key"}
     return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in own], F.col("_n").alias("n_copies"), F.col("_replica").alias("replica"), F.col("_shuffle").alias("shuffle_key"))
