@@ -92,6 +92,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.transform(F.expr("slice(split(formatted, '<s>', -1), 2, greatest(size(split(formatted, '<s>', -1)) - 1, 0))"), turn))
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """The texts that the spans cut out of the rendered string, each unescaped, one after the other."""
+    return F.array_join(F.transform(spans, lambda x: unescape(F.substr(formatted, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), "")
+
+
 def format_chats(events: DataFrame) -> DataFrame:
     return render(fold_messages(events))
 
@@ -114,7 +119,7 @@ def as_log(rows: DataFrame) -> DataFrame:
 def op2_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.sql("SELECT cast(-1 AS bigint) conv_id, cast(turn AS bigint) turn, role, '</s>[INST] ok [/INST]' text FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)")
-    back = read_back(format_chats(as_log(rows.unionByName(more)))).withColumn("loss", F.expr("array_join(transform(filter(turns, x -> x.role = 'assistant'), x -> x.text), '')"))
+    back = read_back(format_chats(as_log(rows.unionByName(more)))).withColumn("loss", under_mask(F.col("formatted"), F.col("loss_spans")))
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.expr("array_join(transform(turns, x -> concat(x.role, '\n', x.text, '\n')), '')"), 256).alias("turns_sha256"),
