@@ -1,7 +1,7 @@
 """Keeping the tables in step with the files: snapshot diff, and table changes as functions of old tables and changes.
 
-Parquet tables have no MERGE, so each change is old DataFrame x changes -> new DataFrame, written as a new version by
-the caller. Every one is a single equi-join on file_path.
+Parquet tables have no MERGE, so each change is old DataFrame x changes -> new DataFrame, a single equi-join on
+file_path. sync_stored() applies them to the buckets that the changed files are in, and to no others.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import models
 from tessella.operators.chunks import exploded, parsed
+from tessella.schemas import CHUNKS, DOCUMENTS, conform
+from tessella.sources import buckets, workspace
 from tessella.sources.files import is_safe
 
 CHANGES = ("new", "modified", "unchanged", "deleted")
@@ -133,6 +135,22 @@ def sync(disk: DataFrame, documents: DataFrame, chunks: DataFrame, now: Column,
     return {"diff": diff, "documents": docs, "chunks": replace_chunks(chunks, fresh, touched), "counters": sync_counters(diff)}
 
 
+def sync_stored(disk: DataFrame, documents: str, chunks: str, now: Column, force: bool = False, embed: Callable[[Column], Column] | None = models.embed) -> dict[str, int]:
+    """sync() of tables stored in buckets (their paths): only the buckets of changed files are written. Gives the counters.
+
+    Chunks are changed first: a pass that is lost between the two finds its files changed again.
+    """
+    spark = disk.sparkSession
+    stored = buckets.read(spark, documents)
+    diff = workspace.written(snapshot_diff(disk, stored), "diff")
+    touched = diff.filter(F.lit(force) | (F.col("change") != "unchanged")).select("file_path")
+    of = lambda df: df.join(touched, "file_path", "left_semi")
+    rest = lambda df: df.join(touched, "file_path", "left_anti")
+    buckets.change(spark, chunks, touched, lambda old: rest(old).unionByName(conform(sync(of(disk), of(stored), of(old), now, force, embed)["chunks"], CHUNKS)))
+    buckets.change(spark, documents, touched, lambda old: rest(old).unionByName(conform(sync(of(disk), of(old), spark.createDataFrame([], CHUNKS), now, force, None)["documents"], DOCUMENTS)))
+    return sync_counters(diff).first().asDict()
+
+
 def reembed(chunks: DataFrame, embed: Callable[[Column], Column] = models.embed) -> DataFrame:
     """All chunks with vectors by another embedder; nothing else of them changes."""
     return chunks.withColumn("embedding", embed(F.col("content")))

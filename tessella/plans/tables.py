@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tessella.functions import text as t
 from tessella.operators import catalog, chunks, memory, review, summaries, sync, tasks
 from tessella.schemas import DOCUMENTS, conform
+from tessella.sources import buckets
 from tessella.sources.files import is_ingestable, is_safe
+from tessella.sources.workspace import fresh
 
 
 def _read(spark, sf_dir, name) -> DataFrame:
@@ -141,6 +143,16 @@ def document_upsert(spark, sf_dir):
     return _shown(sync.upsert_documents(stored, done, _at(NOW)))
 
 
+def document_versions(spark, sf_dir):
+    """The stored documents in buckets, before and after the change that document_upsert makes."""
+    path, disk = fresh(spark, "documents"), _disk(spark, sf_dir)
+    buckets.create(_stored(spark, sf_dir), path, "file_path")
+    wanted = disk.join(sync.to_ingest(sync.snapshot_diff(disk, buckets.read(spark, path))), "file_path", "left_semi")
+    done = wanted.select("file_path", "file_name", "file_size", "file_hash", "modified_at", F.lit(5).cast("long").alias("chunk_count"), F.lit("fixed-split").alias("chunk_strategy"))
+    last = buckets.change(spark, path, done.select("file_path"), lambda old: sync.upsert_documents(old, done, _at(NOW)))
+    return _shown(buckets.read(spark, path, 0)).withColumn("version", F.lit(0)).unionByName(_shown(buckets.read(spark, path, last)).withColumn("version", F.lit(1)))
+
+
 def document_errors(spark, sf_dir):
     failed = _disk(spark, sf_dir).filter("lang = 'de'").select("file_path", "file_name", F.lit("can't be read").alias("error_message"))
     return _shown(sync.upsert_errors(_stored(spark, sf_dir), failed, _at(NOW)))
@@ -318,7 +330,7 @@ def document_summaries(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     content_hash, text_measures, frontmatter_split, frontmatter_fields, section_split, sections_merged, chunks_fixed, chunks_by_heading, chunks_with_metadata, chunk_counts, numbered_variants, path_parts,
-    snapshot_diff, sync_counters, ingest_status, document_upsert, document_errors, document_delete, document_rename, rename_conflicts, migrate_candidates,
+    snapshot_diff, sync_counters, ingest_status, document_upsert, document_versions, document_errors, document_delete, document_rename, rename_conflicts, migrate_candidates,
     history_page, last_messages, unsummarised, compress_messages, rewrite_prompts, export_chat, review_step, review_replay, review_apply, review_due, review_stats,
     knowledge_tree, tree_files, catalog_search, catalog_imported, catalog_import, task_rollup, summary_cached, summary_missing, summary_upsert, document_summaries,
 )}

@@ -108,6 +108,12 @@ WITH {_STORED}, done AS (SELECT disk.* FROM disk JOIN diff USING (file_path) WHE
     coalesce((SELECT created_at FROM stored s WHERE s.file_path = done.file_path), {_NOW}) AS created_at, {_NOW} AS updated_at FROM done
   UNION ALL SELECT * FROM stored WHERE file_path NOT IN (SELECT file_path FROM done))
 SELECT {_COLUMNS} FROM u""",
+    "document_versions": f"""
+WITH {_STORED}, done AS (SELECT disk.* FROM disk JOIN diff USING (file_path) WHERE change IN ('new', 'modified')), u AS (
+  SELECT file_path, file_name, file_size, file_hash, 5 AS chunk_count, 'indexed' AS status, NULL::VARCHAR AS error_message, 'fixed-split' AS chunk_strategy, {_NOW} AS modified_at, {_NOW} AS indexed_at,
+    coalesce((SELECT created_at FROM stored s WHERE s.file_path = done.file_path), {_NOW}) AS created_at, {_NOW} AS updated_at FROM done
+  UNION ALL SELECT * FROM stored WHERE file_path NOT IN (SELECT file_path FROM done))
+SELECT {_COLUMNS}, 1 AS version FROM u UNION ALL SELECT {_COLUMNS}, 0 FROM stored""",
     "document_errors": f"""
 WITH {_STORED}, u AS (
   SELECT d.file_path, coalesce(s.file_name, d.file_name) AS file_name, s.file_size, s.file_hash, coalesce(s.chunk_count, 0) AS chunk_count, 'error' AS status, 'can''t be read' AS error_message, s.chunk_strategy,
