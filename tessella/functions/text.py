@@ -11,12 +11,13 @@ COMPARISONS_CN = ["对比", "区别", "优缺点", "还是", "比较"]
 QUESTIONS = [r"\bwhat\s+is\b", r"\bwhat\s+are\b", r"\bhow\s+does\b", r"\bhow\s+do\b", r"\bhow\s+to\b", r"\bexplain\b", r"\bdescribe\b", r"\bwhy\b", r"\bdefine\b", r"\btell\s+me\s+about\b"]
 QUESTIONS_CN = ["什么是", "如何", "为什么", "怎么", "解释", "描述", "介绍"]
 STRATEGIES = ["hyde", "multi_query", "none"]
-# A heading line; a frontmatter block at the start, up to the next "---" wherever it is.
-HEADING = r"(?md)^(#{1,6})\s+(.+)$"
-FRONTMATTER = r"(?s)\A---[ \t]*\r?\n(.*?)---[ \t]*\r?\n?"
-SHORT_SECTION, LONG_SECTION = 100, 1500
 # The characters that stripping takes for white space.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# A heading line; a frontmatter block at the start, up to the next "---" wherever it is; a numbered line.
+HEADING = rf"(?md)^(#{{1,6}})[{WHITE}]+(.+)$"
+FRONTMATTER = r"(?s)\A---[ \t]*\r?\n(.*?)---[ \t]*\r?\n?"
+NUMBERED = rf"^\p{{Nd}}+[.)][{WHITE}]*(.+)$"
+SHORT_SECTION, LONG_SECTION = 100, 1500
 
 
 def _col(c) -> Column:
@@ -58,7 +59,7 @@ def is_short_query(c) -> Column:
 def classify_strategy(c) -> Column:
     """multi_query for comparisons and short queries, hyde for questions, none else; null and blank are none."""
     s = strip(F.coalesce(_col(c), F.lit("")))
-    any_of = lambda patterns, words: s.rlike("(?i)" + "|".join(patterns)) | s.rlike("|".join(words))
+    any_of = lambda patterns, words: s.rlike("(?i)" + "|".join(patterns).replace(r"\s", f"[{WHITE}]")) | s.rlike("|".join(words))
     return (
         F.when(s == "", "none")
         .when(any_of(COMPARISONS, COMPARISONS_CN) | is_short_query(s), "multi_query")
@@ -86,7 +87,7 @@ def transcript_line(role, content) -> Column:
 def numbered_lines(c) -> Column:
     """The texts of lines like "1. text" or "2) text", in order."""
     lines = F.transform(F.split(_col(c), "\n"), strip)
-    return F.transform(F.filter(lines, lambda x: x.rlike(r"^\d+[.)]\s*(.+)$")), lambda x: strip(F.regexp_extract(x, r"^\d+[.)]\s*(.+)$", 1)))
+    return F.transform(F.filter(lines, lambda x: x.rlike(NUMBERED)), lambda x: strip(F.regexp_extract(x, NUMBERED, 1)))
 
 
 def with_original(variants, question) -> Column:

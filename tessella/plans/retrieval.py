@@ -157,7 +157,7 @@ _SCORES = f"""WITH {_HITS}, s AS (
   FROM h WHERE key <> query_id GROUP BY query_id)"""
 _CONTEXT = f"{_HITS}, c AS (SELECT query_id, string_agg('[Source: pack/' || label || ']' || chr(10) || 'chunk ' || key, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY query_id)"
 _SPACE = r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]"
-_quoted = lambda words: "|".join(words)
+_quoted = lambda words: "|".join(words).replace(r"\s", _SPACE)
 
 
 def _strategy_sql() -> str:

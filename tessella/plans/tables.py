@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as t
 from tessella.operators import catalog, chunks, memory, review, summaries, sync, tasks
 from tessella.schemas import DOCUMENTS, conform
-from tessella.sources import buckets
+from tessella.sources import buckets, pdf
 from tessella.sources.files import is_ingestable, is_safe
 from tessella.sources.workspace import fresh
 
@@ -90,6 +90,30 @@ def chunk_counts(spark, sf_dir):
     return chunks.chunk_counts(chunks_fixed(spark, sf_dir))
 
 
+#: Lines on a page of the PDF files that are made of documents.
+PAGE_LINES = 40
+
+
+def pdf_texts(spark, sf_dir):
+    """Each document made into a PDF of pages of PAGE_LINES lines, with a font whose map has all codes, and read back."""
+    lines = F.split("text", "\n", -1)
+    d = _documents(spark, sf_dir).select("doc_id", lines.alias("l"), F.ceil(F.size(lines) / PAGE_LINES).cast("int").alias("n"))
+    shown = F.expr(f"transform(sequence(0, n - 1), p -> array_join(transform(slice(l, p * {PAGE_LINES} + 1, {PAGE_LINES}), x -> concat('<', hex(encode(x, 'UTF-16BE')), '> Tj T*\\n')), ''))")
+    body = F.expr("""concat('%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [',
+        array_join(transform(sequence(0, n - 1), p -> concat(5 + 2 * p, ' 0 R')), ' '), '] /Resources << /Font << /F 3 0 R >> >> >> endobj\n3 0 obj << /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >> endobj\n',
+        '4 0 obj << /Length 56 >> stream\n1 beginbfrange\n<0000> <FFFF> <0000>\nendbfrange\n           \nendstream endobj\n',
+        array_join(transform(shown, (x, p) -> concat(5 + 2 * p, ' 0 obj << /Type /Page /Contents ', 6 + 2 * p, ' 0 R >> endobj\n', 6 + 2 * p, ' 0 obj << /Length ', length(x) + 17, ' >> stream\nBT /F 9 Tf 9 TL\n', x, 'ET\nendstream endobj\n')), ''), '%%EOF')""")
+    made = d.withColumn("shown", shown).select(F.concat(F.lit("doc/"), "doc_id", F.lit(".pdf")).alias("file_path"), F.encode(body, "UTF-8").alias("content"))
+    return pdf.texts(made)
+
+
+def section_spaces(spark, sf_dir):
+    """Headings whose spaces are wide or don't break, and numbers in other digits before lines."""
+    d = _documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n##\u3000Next\u00a0part\n#\u00a0Other\n####\u2003\u3000deep\n#no\n")))
+    s = d.select("doc_id", t.sections("text").alias("s"), t.numbered_lines(F.concat(F.lit("1.\u3000one\n\u0662) two\n"), "text")).alias("v"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sections"), F.array_join(F.transform("s", lambda x: x["heading"]), "|").alias("headings"), F.sha2(F.array_join(F.transform("s", lambda x: x["body"]), "|"), 256).alias("bodies_sha256"), F.array_join("v", "|").alias("numbered"))
+
+
 def numbered_variants(spark, sf_dir):
     """Numbered lines of each document, with its source before them."""
     d = _documents(spark, sf_dir).withColumn("text", F.concat(F.lit("intro\n1. "), F.replace("text", F.lit("\n"), F.lit("\n  2) "))))
@@ -330,7 +354,7 @@ def document_summaries(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     content_hash, text_measures, frontmatter_split, frontmatter_fields, section_split, sections_merged, chunks_fixed, chunks_by_heading, chunks_with_metadata, chunk_counts, numbered_variants, path_parts,
-    snapshot_diff, sync_counters, ingest_status, document_upsert, document_versions, document_errors, document_delete, document_rename, rename_conflicts, migrate_candidates,
+    snapshot_diff, sync_counters, ingest_status, document_upsert, document_versions, pdf_texts, section_spaces, document_errors, document_delete, document_rename, rename_conflicts, migrate_candidates,
     history_page, last_messages, unsummarised, compress_messages, rewrite_prompts, export_chat, review_step, review_replay, review_apply, review_due, review_stats,
     knowledge_tree, tree_files, catalog_search, catalog_imported, catalog_import, task_rollup, summary_cached, summary_missing, summary_upsert, document_summaries,
 )}

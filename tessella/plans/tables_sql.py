@@ -56,7 +56,8 @@ _TREE = f"""{_PATHS}, parts AS (SELECT list_filter(string_split(file_path, '/'),
 nodes AS (SELECT p[:i] AS way, i < len(p) AS inside FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
 tree AS (SELECT array_to_string(way, '/') AS node_path, array_to_string(way[:-2], '/') AS parent, way[-1] AS name, len(way) AS depth, CASE WHEN bool_or(inside) THEN 'directory' ELSE 'file' END AS type FROM nodes GROUP BY way)"""
 _SUMMARIES = f"{_DOCS}, sums AS (SELECT file_path, 'about ' || source AS summary, {_THEN} AS created_at, {_THEN} AS updated_at FROM docs JOIN labels USING (doc_id))"
-_HEAD = "'(?m)^(#{1,6})\\s+(.+)$'"
+_HEAD = f"'(?m)^(#{{1,6}}){_SPACE}+(.+)$'"
+_NUMBERED = f"'^\\p{{Nd}}+[.)]{_SPACE}*(.+)$'"
 _FRONT = "'(?s)\\A---[ \\t]*\\r?\\n(.*?)---[ \\t]*\\r?\\n?'"
 
 _REWRITE = REWRITE_TASK.replace("\n", "' || chr(10) || '")
@@ -77,6 +78,18 @@ WITH {_MD}, s AS (SELECT doc_id, regexp_split_to_array(text, {_HEAD}) AS p, list
 k AS (SELECT doc_id, p, h, {_strip('p[1]')} <> '' AS before FROM s)
 SELECT doc_id, (len(h) + before::INTEGER)::BIGINT AS n_sections, CASE WHEN before THEN '|' ELSE '' END || array_to_string(h, '|') AS headings,
   sha256(array_to_string(CASE WHEN before THEN p ELSE p[2:] END, '|')) AS bodies_sha256 FROM k""",
+    "section_spaces": f"""
+WITH {_DOCS}, w AS (SELECT doc_id, replace(text, {_NL}, {_NL} || '##' || chr(12288) || 'Next' || chr(160) || 'part' || {_NL} || '#' || chr(160) || 'Other' || {_NL} || '####' || chr(8195) || chr(12288) || 'deep' || {_NL} || '#no' || {_NL}) AS text FROM docs),
+s AS (SELECT doc_id, text, regexp_split_to_array(text, {_HEAD}) AS p, list_transform(regexp_extract_all(text, {_HEAD}, 2), lambda x: {_strip('x')}) AS h FROM w),
+k AS (SELECT *, {_strip('p[1]')} <> '' OR len(h) = 0 AS before FROM s),
+n AS (SELECT *, list_transform(string_split('1.' || chr(12288) || 'one' || {_NL} || chr(1634) || ') two' || {_NL} || text, {_NL}), lambda x: {_strip('x')}) AS l FROM k)
+SELECT doc_id, (len(h) + before::INTEGER)::BIGINT AS n_sections, array_to_string(CASE WHEN before THEN list_prepend('', h) ELSE h END, '|') AS headings,
+  sha256(array_to_string(CASE WHEN before THEN p ELSE p[2:] END, '|')) AS bodies_sha256,
+  array_to_string(list_transform(list_filter(l, lambda x: regexp_matches(x, {_NUMBERED})), lambda x: {_strip(f"regexp_extract(x, {_NUMBERED}, 1)")}), '|') AS numbered FROM n""",
+    "pdf_texts": f"""
+WITH {_DOCS}, l AS (SELECT doc_id, unnest(range(len(l))) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, {_NL}) AS l FROM docs)),
+p AS (SELECT doc_id, no // 40 AS page, string_agg(line || {_NL}, '' ORDER BY no) FILTER (line <> '') AS t FROM l GROUP BY ALL)
+SELECT 'doc/' || doc_id || '.pdf' AS file_path, coalesce(string_agg(t, {_NL} ORDER BY page) FILTER (t IS NOT NULL), '') AS text, NULL::VARCHAR AS error FROM p GROUP BY doc_id""",
     "sections_merged": f"""
 WITH RECURSIVE {_MD}, k AS (SELECT doc_id, regexp_split_to_array(text, {_HEAD}) AS p, list_transform(regexp_extract_all(text, {_HEAD}, 2), lambda x: {_strip('x')}) AS h FROM md),
 l AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS body, unnest(list_prepend('', h)) AS heading FROM k),
@@ -93,7 +106,7 @@ SELECT doc_id, no::INTEGER AS no, heading, CASE WHEN no = n - 1 AND wait <> '' T
 UNION ALL SELECT doc_id, 0, wait_heading, wait FROM w WHERE wait <> '' AND doc_id NOT IN (SELECT doc_id FROM d)""",
     "numbered_variants": f"""
 WITH {_DOCS}, l AS (SELECT doc_id, source, list_transform(string_split('intro' || {_NL} || '1. ' || replace(text, {_NL}, {_NL} || '  2) '), {_NL}), lambda x: {_strip('x')}) AS l FROM docs),
-v AS (SELECT doc_id, source, list_transform(list_filter(l, lambda x: regexp_matches(x, '^\\d+[.)]\\s*(.+)$')), lambda x: {_strip("regexp_extract(x, '^\\d+[.)]\\s*(.+)$', 1)")}) AS v FROM l),
+v AS (SELECT doc_id, source, list_transform(list_filter(l, lambda x: regexp_matches(x, {_NUMBERED})), lambda x: {_strip(f"regexp_extract(x, {_NUMBERED}, 1)")}) AS v FROM l),
 w AS (SELECT doc_id, CASE WHEN list_contains(v, source) THEN v ELSE list_prepend(source, v) END AS v FROM v)
 SELECT doc_id, len(v)::BIGINT AS n, sha256(array_to_string(v, '|')) AS variants_sha256 FROM w""",
     "path_parts": f"""

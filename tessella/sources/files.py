@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tessella.functions.text import basename, extension
+from tessella.sources.pdf import texts as pdf_texts
 
 MARKDOWN, INGESTABLE = ("md",), ("md", "pdf")
 
@@ -36,28 +36,24 @@ def _plain(path: str) -> str:
     return "/" + rest.lstrip("/") if sep and scheme.isalpha() else path
 
 
-def pdf_texts(contents: pd.Series) -> list[tuple[str | None, str | None]]:
-    """(text, error) of PDF files. No PDF reader is at hand here, so all are errors; give discover_texts() another one."""
-    return [(None, "no PDF reader is configured")] * len(contents)
-
-
-def read_texts(files: DataFrame, pdf: Callable[[pd.Series], list] = pdf_texts) -> DataFrame:
+def read_texts(files: DataFrame, pdf: Callable[[pd.Series], list] | None = None) -> DataFrame:
     """files with file_hash (of the raw bytes), text and error: bytes that aren't UTF-8, or a PDF that can't be read.
 
-    pdf: contents to (text, error) each; it joins the page texts that aren't empty by line breaks.
+    pdf: another reader of PDF files than that of sources.pdf, contents to (text, error) each.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf_rows in batches:
-            found = pdf(pdf_rows["content"])
-            yield pdf_rows.assign(text=[t for t, _ in found], error=[e for _, e in found])
+        for rows in batches:
+            found = pdf(rows["content"])
+            yield pd.DataFrame({"file_path": rows["file_path"], "text": [t for t, _ in found], "error": [e for _, e in found]})
 
     hashed = files.withColumn("file_hash", F.sha2("content", 256))
     text = hashed.filter(extension("file_path") != ".pdf")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = text.withColumns({"text": F.when(valid, F.col("content").cast("string")), "error": F.when(~valid, "the file isn't UTF-8")})
+    text = text.withColumns({"text": F.when(valid, F.col("content").cast("string")), "error": F.when(~valid, "the file isn't UTF-8")}).drop("content")
     pages = hashed.filter(extension("file_path") == ".pdf")
-    schema = StructType([*pages.schema, StructField("text", StringType()), StructField("error", StringType())])
-    return text.unionByName(pages.mapInPandas(run, schema)).drop("content")
+    contents = pages.select("file_path", "content")
+    told = contents.mapInPandas(run, "file_path string, text string, error string") if pdf else pdf_texts(contents)
+    return text.unionByName(pages.drop("content").join(told, "file_path").select(*text.columns))
 
 
 def is_ingestable(path: Column) -> Column:
