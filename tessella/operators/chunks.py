@@ -49,7 +49,10 @@ def parsed(docs: DataFrame, path: str = "file_path", text: str = "text") -> Data
     markdown = F.lower(F.col(path)).endswith(".md") & (strip("_body") != "")
     fixed = F.transform(split_column(F.when(~F.coalesce(markdown, F.lit(False)), F.coalesce("_body", F.lit("")))), lambda x: F.struct(F.lit(None).cast("string").alias("section_heading"), x.alias("content")))
     tags = F.when(F.size("_meta.tags") > 0, F.concat_ws(",", "_meta.tags"))
-    named = rows.withColumns({"_bare": bare_sections(F.when(markdown, F.col("_body"))), "_fixed": fixed}).withColumn("_headed", cut_sections(F.col("_bare")))
+    # An explode keeps what is below it from being put, and computed, wherever it is used above.
+    once = rows.select(path, "_meta", F.explode(F.array(F.struct(bare_sections(F.when(markdown, F.col("_body"))).alias("bare"), fixed.alias("fixed")))).alias("_s"))
+    cut = once.select(path, "_meta", F.explode(F.array(F.struct(cut_sections(F.col("_s.bare")).alias("headed"), F.col("_s.fixed").alias("fixed")))).alias("_s"))
+    named = cut.select(path, "_meta", F.col("_s.headed").alias("_headed"), F.col("_s.fixed").alias("_fixed"))
     # A Markdown text whose sections are all empty falls back to the fixed split, which finds nothing in it either.
     strategy = F.when(F.size("_headed") > 0, "heading-aware").otherwise("fixed-split")
     return named.select(path, strategy.alias("chunk_strategy"), F.col("_meta.title").alias("title"), F.col("_meta.category").alias("category"), tags.alias("tags"), F.col("_meta.difficulty").alias("difficulty"), F.col("_meta.pack_id").alias("pack_id"), F.when(F.size("_headed") > 0, F.col("_headed")).otherwise(F.coalesce("_fixed", F.array().cast(CHUNK_ARRAY))).alias("_chunks"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import positions
+
 ACCEPTED = 0.8
 
 
@@ -37,5 +39,5 @@ def evaluate(questions: DataFrame, results: DataFrame, judges: dict[str, Callabl
 
 
 def numbered(questions: DataFrame, order: list[str]) -> DataFrame:
-    """questions with no, their position from 0. An evaluation set is small; its order is total."""
-    return questions.withColumn("no", F.row_number().over(Window.orderBy(*order)) - 1)
+    """questions with no, their position from 0."""
+    return positions.numbered(questions, order)

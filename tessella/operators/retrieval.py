@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import models
-from tessella.functions.text import checked_strategy, classify_strategy, with_original
+from tessella.functions.text import checked_strategy, classify_strategy, strip, with_original
 from tessella.operators.memory import rewrite
 from tessella.operators.vectors import knn
+from tessella.sources.workspace import written
 
 K = 5
 # The prompt's wording.
@@ -82,6 +83,7 @@ def answer_prompts(questions: DataFrame, chunks: DataFrame, k: int = K, conditio
     if rerank_hits:
         hits = hits.join(questions.select("query_id", "question"), "query_id")
         hits = rerank(hits, score(F.col("question"), F.col("content"))).drop("question")
+    hits = written(hits, "hits")  # sources and prompts come from them
     return {"variants": texts, "hits": hits, "sources": sources(hits), "prompts": prompts(questions, hits, custom)}
 
 
@@ -90,12 +92,16 @@ def answers(questions: DataFrame, chunks: DataFrame, model: Callable[[Column], C
 
     questions: query_id, question and the columns of by; model: the messages (array of role and content) to an answer.
     Gives query_id, question (as rewritten), strategy, sources (array of paths), answer, error: a null or blank answer is
-    an error. With turns > 0 the question is rewritten by the conversation's summaries and last messages.
+    an error, and so is a null or blank question, which isn't searched for. With turns > 0 the question is rewritten by the conversation's summaries and last messages.
     """
+    blank = strip(F.coalesce("question", F.lit(""))) == ""
+    refused = questions.filter(blank).select("query_id", "question", F.lit(None).cast("string").alias("strategy"), F.array().cast("array<string>").alias("sources"), F.lit(None).cast("string").alias("answer"), F.lit("the question is blank").alias("error"))
+    questions = questions.filter(~blank)
     asked = rewrite(questions, messages, summaries, turns, by or [], rewriter) if turns > 0 else questions
     out = answer_prompts(asked.select("query_id", "question"), chunks, **how)
     found = out["sources"].groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "file_path"))).alias("s")).select("query_id", F.col("s.file_path").alias("sources"))
     routed = out["variants"].filter("variant_no = 0").select("query_id", "question", "strategy")
     told = out["prompts"].select("query_id", models.or_else(model, F.col("messages"), F.lit(None).cast("string")).alias("answer"))
     both = routed.join(found, "query_id", "left").join(told, "query_id")
-    return both.select("query_id", "question", "strategy", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "answer", F.when(F.col("answer").isNull(), "the model gave no answer").alias("error"))
+    out = both.select("query_id", "question", "strategy", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "answer", F.when(F.col("answer").isNull(), "the model gave no answer").alias("error"))
+    return out.unionByName(refused)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.models import or_else
 from tessella.functions.text import classify_strategy
-from tessella.operators import evaluation, retrieval, vector_index
+from tessella.operators import evaluation, lexical, retrieval, vector_index
 from tessella.operators.vectors import knn
 from tessella.sources.workspace import fresh
 
@@ -59,6 +59,23 @@ def vector_topk_indexed(spark, sf_dir):
     return _rounded(vector_index.search(index, _asked(v), share=1.0))
 
 
+def _lexical(spark, sf_dir):
+    return lexical.build(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), fresh(spark, "lexical"), "doc_id", "text")
+
+
+def bm25_topk(spark, sf_dir):
+    """The benchmark's items as questions to all documents."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return lexical.search(_lexical(spark, sf_dir), items).select("query_id", "key", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def bm25_rerank(spark, sf_dir):
+    """Twenty hits reranked by the words that they share with the question: vectors stand for the documents of their id."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    pairs = _hits(spark, sf_dir, 20).select("query_id", "key", F.col("rank").alias("ordinal")).join(texts, "query_id")
+    return retrieval.rerank(lexical.scores(_lexical(spark, sf_dir), pairs), F.col("score")).select("query_id", "key", "score", F.col("ordinal").cast("long").alias("ordinal"))
+
+
 def multi_query_fusion(spark, sf_dir):
     """Three variants of a question (its vector, reversed, negated), pooled; a chunk counts once, where it came first."""
     v = _vectors(spark, sf_dir)
@@ -132,7 +149,7 @@ def eval_accepted(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_cosine, vector_topk_ip, vector_topk_same_pack, vector_topk_where, vector_topk_indexed, multi_query_fusion, rerank_topk, retrieval_sources, retrieval_context,
+    vector_topk, vector_topk_cosine, vector_topk_ip, vector_topk_same_pack, vector_topk_where, vector_topk_indexed, bm25_topk, bm25_rerank, multi_query_fusion, rerank_topk, retrieval_sources, retrieval_context,
     retrieval_prompts, query_strategy, model_fallback, eval_questions, eval_report, eval_accepted,
 )}
 
@@ -177,7 +194,19 @@ SELECT id, CASE WHEN s = '' THEN 'none'
 FROM c"""
 
 
+_BM25 = f"""
+w AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents), c AS (SELECT key, term, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT key, sum(tf) AS length FROM c GROUP BY key), a AS (SELECT count(*) AS n, avg(length) AS mean FROM l), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+p AS (SELECT term, key, floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * {lexical.K1 + 1}::DOUBLE / (tf + {lexical.K1}::DOUBLE * (1 - {lexical.B}::DOUBLE + {lexical.B}::DOUBLE * length / mean))) * {lexical.UNIT} + 0.5)::BIGINT AS score FROM c JOIN l USING (key) JOIN f USING (term), a),
+bq AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
+s AS (SELECT query_id, key, sum(score)::BIGINT AS score FROM bq JOIN p USING (term) GROUP BY ALL)"""
+
 ORACLES = {
+    "bm25_topk": f"WITH {_BM25} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 5",
+    "bm25_rerank": f"""
+WITH {_topk(_L2, 20)}, {_BM25.replace("FROM benchmark", "FROM documents WHERE doc_id IN (SELECT query_id FROM h)").replace("item_id", "doc_id")},
+e AS (SELECT query_id, key, rank, coalesce(score, 0) AS score FROM h LEFT JOIN s USING (query_id, key) WHERE query_id IN (SELECT doc_id FROM documents))
+SELECT query_id, key, score, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS ordinal FROM e) WHERE ordinal <= 5""",
     "vector_topk": _ranked(_L2),
     "vector_topk_indexed": _ranked(_L2),
     "vector_topk_cosine": _ranked(f"1 - {_DOT.format('a', 'b')} / sqrt({_DOT.format('a', 'a')} * {_DOT.format('b', 'b')})"),

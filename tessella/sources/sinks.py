@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.memory import export_rows, ordered_text
@@ -71,14 +71,27 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def highest_id(spark: SparkSession, path: str) -> int | None:
+    """The highest id that is stored there; None where nothing is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema(TABLES["chat_messages"]).parquet(path).agg(F.max("id")).first()[0]
+
+
 def write_answers(answers: DataFrame, path: str, now: Column) -> None:
-    """Answers (query_id, question, answer, sources, error) as two messages each; one that failed keeps what was said before."""
+    """Answers (query_id, question, answer, sources, error) as two messages each; one that failed keeps what was said before.
+
+    Ids rise with query_id and turn, and from what is stored: they are moved up where they would not lie above it.
+    """
     turns = F.array(
         F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("array<string>").alias("sources")),
         F.struct(F.lit("assistant").alias("role"), F.coalesce("answer", F.lit("")).alias("content"), F.col("sources").alias("sources")),
     )
     each = answers.select("query_id", F.posexplode(turns).alias("turn", "m")).filter("turn = 0 or m.content <> ''")
-    append_messages(each.select((F.col("query_id") * 2 + F.col("turn")).alias("id"), "m.*", now.alias("created_at")), path)
+    have, least = highest_id(answers.sparkSession, path), answers.agg(F.min("query_id")).first()[0]
+    up = max(0, have + 1 - 2 * least) if have is not None and least is not None else 0
+    append_messages(each.select((F.col("query_id") * 2 + F.col("turn") + up).alias("id"), "m.*", now.alias("created_at")), path)
 
 
 def full_export(files: DataFrame, messages: DataFrame, settings: str) -> DataFrame:
