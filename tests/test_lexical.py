@@ -53,7 +53,7 @@ def test_blocks_are_skipped(tables):
 
 def test_scores_for_reranking(spark, tables):
     docs, questions, index, asked = tables
-    pairs = asked.filter("query_id < 10").select("query_id", "question", F.explode(F.array(*map(F.lit, (1, 2, 3, 600, 900)))).cast("long").alias("key"))
+    pairs = asked.filter("query_id < 10").select("query_id", "question", F.explode(F.array(*map(F.lit, (1, 2, 3, 600, 900))).cast("array<long>")).alias("key"))
     got = {(r.query_id, r.key): r.score for r in lexical.scores(index, pairs).collect()}
     want = by_hand(docs, questions)
     assert len(got) == 50 and all(s == want[q].get(k, 0) for (q, k), s in got.items())
