@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.models import or_else
 from tessella.functions.text import classify_strategy
-from tessella.operators import evaluation, lexical, retrieval, vector_index
+from tessella.operators import embedder, evaluation, lexical, retrieval, vector_index
 from tessella.operators.vectors import knn
 from tessella.sources.workspace import fresh
 
@@ -76,6 +76,15 @@ def bm25_rerank(spark, sf_dir):
     return retrieval.rerank(lexical.scores(_lexical(spark, sf_dir), pairs), F.col("score")).select("query_id", "key", "score", F.col("ordinal").cast("long").alias("ordinal"))
 
 
+def embedded_topk(spark, sf_dir):
+    """All documents with vectors fitted to them; every hundredth is asked."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    embed = embedder.embed_column(spark, embedder.fit(docs, "text"))
+    placed = docs.select("doc_id", embed(F.col("text")).alias("vector"))
+    asked = placed.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "vector")
+    return _rounded(knn(asked, placed, key="doc_id"))
+
+
 def multi_query_fusion(spark, sf_dir):
     """Three variants of a question (its vector, reversed, negated), pooled; a chunk counts once, where it came first."""
     v = _vectors(spark, sf_dir)
@@ -149,7 +158,7 @@ def eval_accepted(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_cosine, vector_topk_ip, vector_topk_same_pack, vector_topk_where, vector_topk_indexed, bm25_topk, bm25_rerank, multi_query_fusion, rerank_topk, retrieval_sources, retrieval_context,
+    vector_topk, vector_topk_cosine, vector_topk_ip, vector_topk_same_pack, vector_topk_where, vector_topk_indexed, bm25_topk, bm25_rerank, embedded_topk, multi_query_fusion, rerank_topk, retrieval_sources, retrieval_context,
     retrieval_prompts, query_strategy, model_fallback, eval_questions, eval_report, eval_accepted,
 )}
 
