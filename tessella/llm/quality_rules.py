@@ -75,13 +75,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with METRICS, n_lines and n_stop_words."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-    kept = [c for c in docs.columns if c.lower() not in {*METRICS, "n_lines", "n_stop_words", "_words", "_lines", "_bits", "_sorted", "_same"}]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_words"), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"), (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("long").alias("n_symbols"))
+    kept = [c for c in docs.columns if c.lower() not in {*METRICS, "n_lines", "n_stop_words"}]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_words"), F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"), (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("long").alias("n_symbols"))
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct(F.transform("_lines", lambda x: F.xxhash64(x))))).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_stop_words": F.size(F.array_intersect("_words", stop)).cast("long"),
         "_bits": F.expr("cast(ceil(log2(greatest(size(_words), 2))) as int)"),
     })
@@ -90,7 +90,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_same", F.expr(_EXACT)).withColumn("n_repeat_words", repeat_words())
     # Generate keeps a filter on the metrics above them; pushed below, it would compute the arrays anew for each element.
     metrics = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(metrics)).alias("_metrics")).select(*[F.col(f"`{c}`") for c in kept], "_metrics.*")
+    return out.select("_row", F.explode(F.array(metrics)).alias("_metrics")).select(*[F.col(f"_row.`{c}`") for c in kept], "_metrics.*")
 
 
 def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
