@@ -122,10 +122,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[tuple, float]]]
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[float, list]:
-    """The model, from at most SAMPLE labelled rows that aren't held out."""
+    """The model, from at most SAMPLE labelled ids that aren't held out; of rows of one id the least statistics count."""
     some = labels.filter(F.col("quality").isNotNull() & ~held_out(key)).groupBy(key).agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(SAMPLE)  # so the broadcast is bounded
-    rows = statistics(docs.select(F.col(key), F.col(text)).join(F.broadcast(some), key), text).select(*STATISTICS, "quality").collect()
+    told = statistics(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(some.withColumnsRenamed({key: "_key", "quality": "_quality"})), "_key"), "_text")
+    rows = told.groupBy("_key").agg(F.min(F.struct(*STATISTICS, "_quality")).alias("s")).select("s.*").collect()
     table = np.array(sorted(tuple(r) for r in rows), np.float64).reshape(-1, len(STATISTICS) + 1)
     return fit(table[:, :-1], (table[:, -1] > 0).astype(float))
 
