@@ -15,6 +15,44 @@ from tessella.operators.sync import sync
 from tessella.sources.files import discover, is_ingestable, read_texts
 
 
+#: Quiet milliseconds after which a path's changes count as one.
+DEBOUNCE = 1000
+
+
+def touched_paths(events: DataFrame) -> DataFrame:
+    """path of each file of interest that events (path, and destination of a move) name."""
+    paths = F.array_compact(F.array("path", "destination")) if "destination" in events.columns else F.array("path")
+    return events.select(F.explode(paths).alias("path")).filter(is_ingestable(F.col("path")))
+
+
+def debounced(events: DataFrame, quiet: int = DEBOUNCE) -> DataFrame:
+    """path and n_events, once a path had no event for so many milliseconds: each event puts its path's timer off anew.
+
+    The state is a count a path that waits; it and its timer outlive a restart. Timers are looked at in every batch, so
+    the trigger's interval is how late they may fire; a batch without events looks at them too.
+    """
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield pd.DataFrame({"path": [key[0]], "n_events": [state.get[0]]})
+            state.remove()
+        else:
+            state.update(((state.get[0] if state.exists else 0) + sum(map(len, batches)),))
+            state.setTimeoutDuration(quiet)
+
+    return touched_paths(events).groupBy("path").applyInPandasWithState(run, "path string, n_events long", "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def on_quiet(events: DataFrame, resync: Callable[[SparkSession, DataFrame], None], checkpoint: str, quiet: int = DEBOUNCE, every: str = "500 milliseconds") -> StreamingQuery:
+    """Runs resync with the paths (path, n_events) that have become quiet; paths that are still being written wait."""
+    def batch(df: DataFrame, number: int) -> None:
+        rows = df.persist()
+        if not rows.isEmpty():
+            resync(df.sparkSession, rows)
+        rows.unpersist()
+
+    return debounced(events, quiet).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def on_changes(events: DataFrame, resync: Callable[[SparkSession, DataFrame], None], checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
     """Runs resync after each batch of change events that has a file of interest (path, and destination of a move).
 
@@ -22,8 +60,7 @@ def on_changes(events: DataFrame, resync: Callable[[SparkSession, DataFrame], No
     anew: a file stream would see new files but neither edits nor deletions.
     """
     def batch(df: DataFrame, number: int) -> None:
-        paths = F.array_compact(F.array("path", "destination")) if "destination" in df.columns else F.array("path")
-        touched = df.select(F.explode(paths).alias("path")).filter(is_ingestable(F.col("path"))).distinct()
+        touched = touched_paths(df).distinct()
         if not touched.isEmpty():
             resync(df.sparkSession, touched)
 
