@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Up to so many queries are broadcast; more travel in blocks of about so many, as do the vectors then.
+from tessella.sources.workspace import written
+
+#: About so many queries are broadcast at a time.
 QUERY_BLOCK = 4096
 #: Numbers that a step of the search holds at once.
 PAIRS = 1 << 22
@@ -67,60 +69,45 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2", con
     queries: query_id, vector and, for match, a column of that name; only vectors with an equal value are near, and a
     null one equals none. A query or a row without a vector finds and is nothing. The filters come before the distances.
     Each batch of vectors keeps its best k a query by (distance, key), so a query shuffles k rows a batch: rounded
-    distances only leave out vectors that their error can't bring among the k. Up to QUERY_BLOCK queries are broadcast;
-    more are dealt into blocks, and each block of vectors meets each of them on the executors.
+    distances only leave out vectors that their error can't bring among the k. QUERY_BLOCK queries are broadcast at a time,
+    and the vectors, which never move, are read once for each such block.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     columns = lambda df, name, v: df.filter(F.col(v).isNotNull() & (F.col(match).isNotNull() if match else F.lit(True))).select(F.col(name), F.col(v).cast("array<float>").alias("vector"), *([F.col(match).cast("string").alias("m")] if match else []))
     asked, rows = columns(queries, "query_id", "vector"), columns(base.filter(where(condition)), key, vector).withColumnRenamed(key, "key")
     schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("key", rows.schema["key"].dataType), T.StructField("distance", T.DoubleType())])
-    kind = to_arrow_type(schema["query_id"].dataType)
-    some = asked.limit(QUERY_BLOCK + 1).collect()
-    if len(some) <= QUERY_BLOCK:
-        ids, vectors, marks = ([r[i] for r in some] for i in range(3)) if match else ([r[0] for r in some], [r[1] for r in some], None)
-        held = base.sparkSession.sparkContext.broadcast((ids, np.array(vectors, np.float64), marks))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, marks = held.value
-            for b in batches:
-                if b.num_rows and len(ids):
-                    yield from _nearest(pa.array(ids, kind), q, marks, b.column(0), _matrix(b.column(1)), b.column(2).to_pylist() if match else None, k, metric)
-
-        found = rows.mapInArrow(near, schema)
-    else:
-        found = _by_blocks(asked, rows).mapInArrow(_near_blocks(k, metric, match), schema)
+    found = None
+    for some in _blocks(asked):
+        part = rows.mapInArrow(_searching(base.sparkSession, some, to_arrow_type(schema["query_id"].dataType), k, metric, match), schema)
+        found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "key"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _by_blocks(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """q and x: each block of queries beside each block of vectors, joined by the number of the block of queries."""
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    dealt = asked.groupBy(F.pmod(F.xxhash64(*asked.columns), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("q"))
-    packed = T.StructType([T.StructField("x", T.ArrayType(rows.schema))])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, QUERY_BLOCK):
-                part = b.slice(at, QUERY_BLOCK)
-                whole = pa.StructArray.from_arrays(part.columns, part.schema.names)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)], ["x"])
+def _blocks(asked: DataFrame) -> Iterator[list]:
+    """The queries, about QUERY_BLOCK at a time: one block at least."""
+    some = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(some) <= QUERY_BLOCK:
+        yield some
+        return
+    kept = written(asked.withColumn("_hash", F.xxhash64(*asked.columns)), "queries")
+    blocks = -(-kept.count() // QUERY_BLOCK)
+    for n in range(blocks):
+        yield kept.filter(F.pmod(F.col("_hash"), F.lit(blocks)) == n).drop("_hash").collect()
 
-    each = rows.mapInArrow(pack, packed).select("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return each.join(dealt, "block").select("q", "x")
 
+def _searching(spark: SparkSession, some: list, kind: pa.DataType, k: int, metric: str, match: str | None):
+    ids, vectors, marks = ([r[i] for r in some] for i in range(3)) if match else ([r[0] for r in some], [r[1] for r in some], None)
+    held = spark.sparkContext.broadcast((ids, np.array(vectors, np.float64), marks))
 
-def _near_blocks(k: int, metric: str, match: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, marks = held.value
         for b in batches:
-            for i in range(b.num_rows):
-                q, x = (b.column(c).slice(i, 1).flatten() for c in (0, 1))
-                part = lambda s, n: s.flatten()[n]
-                marks = [part(s, 2).to_pylist() for s in (q, x)] if match else (None, None)
-                yield from _nearest(part(q, 0), _matrix(part(q, 1)), marks[0], part(x, 0), _matrix(part(x, 1)), marks[1], k, metric)
+            if b.num_rows and len(ids):
+                yield from _nearest(pa.array(ids, kind), q, marks, b.column(0), _matrix(b.column(1)), b.column(2).to_pylist() if match else None, k, metric)
 
-    return run
+    return near
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
