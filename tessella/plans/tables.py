@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as t
-from tessella.operators import catalog, chunks, memory, review, summaries, sync, tasks
+from tessella.operators import catalog, chunks, folders, memory, review, summaries, sync, tasks
 from tessella.schemas import DOCUMENTS, conform
 from tessella.sources import buckets, pdf
 from tessella.sources.files import is_ingestable, is_safe
@@ -152,6 +152,11 @@ def snapshot_diff(spark, sf_dir):
     return sync.snapshot_diff(_disk(spark, sf_dir), _stored(spark, sf_dir))
 
 
+def snapshot_diff_by_folder(spark, sf_dir):
+    """The same, by folders."""
+    return folders.diff_by_folder(_disk(spark, sf_dir), _stored(spark, sf_dir))
+
+
 def sync_counters(spark, sf_dir):
     return sync.sync_counters(snapshot_diff(spark, sf_dir))
 
@@ -354,7 +359,7 @@ def document_summaries(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     content_hash, text_measures, frontmatter_split, frontmatter_fields, section_split, sections_merged, chunks_fixed, chunks_by_heading, chunks_with_metadata, chunk_counts, numbered_variants, path_parts,
-    snapshot_diff, sync_counters, ingest_status, document_upsert, document_versions, pdf_texts, section_spaces, document_errors, document_delete, document_rename, rename_conflicts, migrate_candidates,
+    snapshot_diff, snapshot_diff_by_folder, sync_counters, ingest_status, document_upsert, document_versions, pdf_texts, section_spaces, document_errors, document_delete, document_rename, rename_conflicts, migrate_candidates,
     history_page, last_messages, unsummarised, compress_messages, rewrite_prompts, export_chat, review_step, review_replay, review_apply, review_due, review_stats,
     knowledge_tree, tree_files, catalog_search, catalog_imported, catalog_import, task_rollup, summary_cached, summary_missing, summary_upsert, document_summaries,
 )}

@@ -113,6 +113,7 @@ SELECT doc_id, len(v)::BIGINT AS n, sha256(array_to_string(v, '|')) AS variants_
 WITH {_PATHS}, e AS (SELECT *, lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) AS extension FROM paths)
 SELECT page_id, split_part(file_path, '/', -1) AS base, regexp_replace(file_path, '/?[^/]*$', '') AS parent, extension, extension IN ('.md', '.pdf') AS ingestable, file_path <> '' AND NOT starts_with(file_path, '/') AS safe FROM e""",
     "snapshot_diff": f"WITH {_STORED} SELECT * FROM diff",
+    "snapshot_diff_by_folder": f"WITH {_STORED} SELECT * FROM diff",
     "sync_counters": f"WITH {_STORED} SELECT count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'deleted') AS deleted FROM diff",
     "ingest_status": f"WITH {_STORED} SELECT file_path, CASE WHEN change = 'unchanged' THEN 'skipped' ELSE 'indexed' END AS status FROM diff WHERE change <> 'deleted'",
     "document_upsert": f"""
