@@ -8,7 +8,7 @@ much, is a chunk, and then starts at the first piece that leaves few enough char
 from __future__ import annotations
 
 from tessella.functions.splitter import OVERLAP, SEPARATORS, SIZE
-from tessella.plans.tables_sql import _DOCS, _FRONT, _MD, ORACLES, _strip
+from tessella.plans.tables_sql import _DOCS, _FRONT, _MD, _STORED, ORACLES, _strip
 
 _LAST = len(SEPARATORS) - 1
 _SEPARATORS = "[" + ", ".join("'" + "' || chr(10) || '".join(s.split("\n")) + "'" for s in SEPARATORS) + "]"
@@ -56,7 +56,18 @@ _HEADED = f"""headed AS (
 
 _FIXED = f"WITH RECURSIVE {_DOCS}, src AS (SELECT file_path AS id, text FROM docs), {split('src')}"
 
+_SYNCED = f"""
+WITH RECURSIVE {_STORED}, t AS (SELECT doc_id, file_path, text FROM docs JOIN diff USING (file_path) WHERE change IN ('new', 'modified')),
+body AS (SELECT doc_id, substr(text, 1 + length(regexp_extract(text, {_FRONT}, 0))) AS text FROM t), {_SECTIONS("body")}, {_BARE}, {split("lengthy")}, {_HEADED}"""
+
 CHUNK_ORACLES = {
+    "sync_text_chunks": f"""{_SYNCED}
+SELECT 'doc/' || doc_id || '.md' AS file_path, no AS chunk_index, heading AS section_heading, content, 'heading-aware' AS chunk_strategy FROM headed
+UNION ALL SELECT file_path, 0, NULL, 'old ' || file_path, NULL FROM diff WHERE change = 'unchanged'""",
+    "sync_text_documents": f"""{_SYNCED}
+SELECT file_path, sha256(text) AS file_hash, coalesce(n, 0) AS chunk_count, CASE WHEN n > 0 THEN 'heading-aware' ELSE 'fixed-split' END AS chunk_strategy, 'indexed' AS status, '2024-02-01 00:00:00' AS indexed_at
+FROM t LEFT JOIN (SELECT doc_id, count(*) AS n FROM headed GROUP BY doc_id) USING (doc_id)
+UNION ALL SELECT file_path, file_hash, chunk_count, chunk_strategy, status, strftime(indexed_at, '%Y-%m-%d %H:%M:%S') FROM stored JOIN diff USING (file_path) WHERE change = 'unchanged'""",
     "chunks_fixed": f"{_FIXED} SELECT id AS file_path, no::INTEGER AS chunk_index, content FROM cut",
     "chunk_counts": f"{_FIXED} SELECT id AS file_path, count(*) AS chunk_count FROM cut GROUP BY id",
     "chunks_by_heading": f"""

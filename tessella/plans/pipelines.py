@@ -57,6 +57,21 @@ def sync_chunks(spark, sf_dir):
     return _numbers(_synced(spark, sf_dir)["chunks"])
 
 
+def _synced_texts(spark, sf_dir) -> dict:
+    """A pass over the documents' whole texts as files, beside the stored ones."""
+    d = _documents(spark, sf_dir)
+    disk = d.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.octet_length("text").cast("long").alias("file_size"), F.sha2("text", 256).alias("file_hash"), _at(NOW).alias("modified_at"), "text", F.lit(None).cast("string").alias("error"))
+    return sync.sync(disk, _stored(spark, sf_dir), _old_chunks(spark, sf_dir), _at(NOW), embed=None)
+
+
+def sync_text_chunks(spark, sf_dir):
+    return _synced_texts(spark, sf_dir)["chunks"].select("file_path", F.col("chunk_index").cast("long").alias("chunk_index"), "section_heading", "content", "chunk_strategy")
+
+
+def sync_text_documents(spark, sf_dir):
+    return conform(_synced_texts(spark, sf_dir)["documents"], DOCUMENTS).select("file_path", "file_hash", "chunk_count", "chunk_strategy", "status", _time("indexed_at"))
+
+
 def reembed_chunks(spark, sf_dir):
     return _numbers(sync.reembed(_old_chunks(spark, sf_dir), _vector))
 
@@ -131,7 +146,7 @@ def eval_answers(spark, sf_dir):
     return evaluation.report(scored, ["answered", "n_sources", "sourced"])
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_ties, sync_documents, sync_chunks, reembed_chunks, migrate_documents, rename_allowed, review_series, task_advance, rewrite_route, answer_pipeline, eval_answers)}
+QUERIES = {f.__name__: f for f in (vector_topk_ties, sync_documents, sync_chunks, sync_text_chunks, sync_text_documents, reembed_chunks, migrate_documents, rename_allowed, review_series, task_advance, rewrite_route, answer_pipeline, eval_answers)}
 
 _FILES = f"""{_STORED}, files AS (
   SELECT doc_id, file_path, source, lang, doc_id % 17 = 0 AS bad, CASE WHEN lang = 'en' THEN '' ELSE '---' || {_NL} || 'title: Of ' || source || {_NL} || 'tags: [a, b]' || {_NL} || '---' || {_NL} END
