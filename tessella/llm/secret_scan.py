@@ -1,12 +1,12 @@
 """Secret scan over a trigram inverted index.
 
 Each rule's regex is walked for literal strings that every match must hold; their trigrams make a Boolean query
-(an AND of ORs of ANDs). The index has a posting for each document and each trigram that some query names, taken
-from the lower-cased text. A document is a candidate of a rule when its postings satisfy the query; candidates are
-verified with the regex, and rules without mandatory trigrams scan every document.
+(an AND of ORs of ANDs). The index has posting lists, by blocks of documents, of the trigrams that some query names, taken
+from the lower-cased texts. A rule's query intersects and unites the lists of each block; the documents that are left are
+its candidates and verified with the regex, and rules without mandatory trigrams scan every document.
 
 Spans are code points, end exclusive, leftmost and without overlap within a kind. Defined results: a null or empty
-text has none; postings go by id and text, so null and repeated ids do no harm; repeated rows are scanned alike; a text
+text has none; postings go by a hash of id and text (equal hashes only add candidates), so null and repeated ids do no harm; repeated rows are scanned alike; a text
 of any length is scanned whole; an empty table gives none; other columns pass through, and secrets replaces a column of
 that name.
 """
@@ -23,6 +23,8 @@ from tessella.llm.shared import written
 
 #: Up to so many candidates (some tens of bytes each) are broadcast to their texts; beyond, the two are joined.
 BROADCAST_IDS = 500_000
+#: Documents of a block of the index, about, and matches that one fold takes.
+BLOCK, FOLD = 1 << 14, 256
 #: (kind, regex, group, least code points of that group). The first three are the base kinds, in order.
 RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -110,29 +112,43 @@ def _quote(text: str) -> str:
 
 
 def index(docs: DataFrame, key: str, text: str, trigrams: list[str]) -> DataFrame:
-    """The inverted index: a row (trigram, _key, _same) for each of the trigrams that a lower-cased text holds; _same is the text's hash."""
-    low = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).select("_key", F.xxhash64("_text").alias("_same"), F.lower("_text").alias("_low"))
-    return low.select("_key", "_same", F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda x: F.contains(F.col("_low"), x))).alias("trigram"))
+    """The inverted index: block, trigram and docs, its posting list: the hashes of id and text of the block's documents whose
+    lower-cased text holds the trigram."""
+    blocks = max(1, docs.count() // BLOCK)
+    low = docs.select(_number(key, text), F.lower(F.col(f"`{text}`").cast("string")).alias("_low"))
+    held = F.filter(F.array(*map(F.lit, trigrams)), lambda x: F.contains(F.col("_low"), x))
+    each = low.select("_doc", F.explode(held).alias("trigram"))
+    return each.groupBy(F.pmod("_doc", F.lit(blocks)).alias("block"), "trigram").agg(F.collect_set("_doc").alias("docs"))
+
+
+def _number(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string")).alias("_doc")
 
 
 def candidates(postings: DataFrame, queries: dict[str, list]) -> DataFrame:
-    """_key, _same and _rules: the rules whose query its postings satisfy."""
-    held = postings.groupBy("_key", "_same").agg(F.collect_set("trigram").alias("_held"))
-    has = lambda ts: " and ".join(f"array_contains(_held, {_quote(t)})" for t in ts)
-    tests = [F.when(F.expr(" and ".join("(" + " or ".join(f"({has(ts)})" for ts in clause) + ")" for clause in q)), F.lit(kind)) for kind, q in queries.items()]
-    return held.select("_key", "_same", F.filter(F.array(*tests), lambda x: x.isNotNull()).alias("_rules")).filter("size(_rules) > 0")
+    """_doc and _rules: the rules whose query the document satisfies, by intersecting and uniting each block's posting lists."""
+    by = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("_lists"))  # a list for each of the rules' trigrams
+    folded = lambda parts, how: parts[0] if len(parts) == 1 else f"{how}({folded(parts[:-1], how)}, {parts[-1]})"
+    of = lambda t: f"coalesce(_lists[{_quote(t)}], array())"
+    found = {kind: folded([folded([folded([of(t) for t in ts], "array_intersect") for ts in clause], "array_union") for clause in q], "array_intersect") for kind, q in queries.items()}
+    each = by.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.expr(x).alias("docs")) for kind, x in found.items()])).alias("f"))
+    return each.select("f.kind", F.explode("f.docs").alias("_doc")).groupBy("_doc").agg(F.collect_set("kind").alias("_rules"))
 
 
 def spans(text: str, number: int, pattern: str, group: int, least: int) -> Column:
-    """All spans of a regex as array<struct<start, kind, end>>, from the pieces between its matches."""
+    """All spans of a regex as array<struct<start, kind, end>>, from the pieces between its matches.
+
+    A fold adds up to FOLD matches and then the folds' lengths are added up, so the cost follows the number of matches."""
     p = _quote(pattern)
+    span = "array<struct<start: int, kind: int, end: int>>"
     return F.expr(f"""
-        transform(array(struct(regexp_extract_all({text}, {p}, 0) as m, regexp_extract_all({text}, {p}, {group}) as g, split({text}, {p}, -1) as p)), x ->
-            aggregate(
-                transform(x.m, (m, i) -> struct(length(x.p[i]) as gap, length(m) as n, length(x.g[i]) >= {least} as ok)),
-                struct(0 as at, cast(array() as array<struct<start: int, kind: int, end: int>>) as spans),
-                (s, y) -> struct(s.at + y.gap + y.n as at, if(y.ok, array_append(s.spans, struct(s.at + y.gap as start, {number} as kind, s.at + y.gap + y.n as end)), s.spans) as spans),
-                s -> s.spans))[0]""")
+        transform(transform(array(struct(regexp_extract_all({text}, {p}, 0) as m, regexp_extract_all({text}, {p}, {group}) as g, split({text}, {p}, -1) as p)), x ->
+            transform(sequence(0, (size(x.m) - 1) div {FOLD}), f -> aggregate(
+                transform(slice(x.m, f * {FOLD} + 1, {FOLD}), (m, i) -> struct(length(x.p[f * {FOLD} + i]) as gap, length(m) as n, length(x.g[f * {FOLD} + i]) >= {least} as ok)),
+                struct(0 as at, cast(array() as {span}) as spans),
+                (s, y) -> struct(s.at + y.gap + y.n as at, if(y.ok, array_append(s.spans, struct(s.at + y.gap as start, {number} as kind, s.at + y.gap + y.n as end)), s.spans) as spans)))),
+            x -> flatten(zip_with(x, aggregate(x, struct(0 as at, cast(array() as array<int>) as starts), (s, y) -> struct(s.at + y.at as at, array_append(s.starts, s.at) as starts), s -> s.starts),
+                (y, start) -> transform(y.spans, z -> struct(z.start + start as start, z.kind as kind, z.end + start as end)))))[0]""")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
@@ -140,11 +156,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES)
     queries = {k: q for k, p, _, _ in rules if (q := trigram_query(p))}
     trigrams = sorted({t for q in queries.values() for clause in q for ts in clause for t in ts})
     found = candidates(index(docs, key, text, trigrams), queries)
-    found = written(found.withColumnsRenamed({"_key": "_of", "_same": "_like"}), "candidates")
+    found = written(found.withColumnRenamed("_doc", "_of"), "candidates")
     if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # then no text is shuffled
         found = F.broadcast(found)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_body"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("_same"))
-    joined = row.join(found, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_same") == F.col("_like")), "left")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_body"), _number(key, text))
+    joined = row.join(found, F.col("_doc") == F.col("_of"), "left")
     none = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
     each = []
     for i, (kind, pattern, group, least) in enumerate(rules):
