@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.shared import components, written
-from tessella.llm.text_arrays import mix, shingle_sets
+from tessella.llm.text_arrays import mix, ranges, shingle_sets
 
 SIZE = 5
 #: Segment content of more sets than this is frequent.
@@ -42,6 +42,8 @@ FREQUENT = 32
 BLOCK, BLOCK_SETS, CELLS = 1 << 16, 2048, 1 << 22
 #: Bytes of texts whose signatures meet in one group.
 MEET_BYTES = 12 << 20
+#: Nodes whose signatures a task remembers to have sent.
+SEEN = 1 << 19
 SALT = 16
 #: Up to so many nodes and text hashes (16 bytes each) are broadcast to pick their documents; beyond, the documents are joined.
 BROADCAST_IDS = 500_000
@@ -134,11 +136,18 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shared_segments(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """sig, node, n, step, spare, freq for the segment contents of two nodes or more. Signatures travel packed, by bucket."""
+    """sig, node, n, step, spare, freq for the segment contents of two nodes or more. Signatures travel packed, by bucket,
+    and a task sends those of a node once, however many copies of it there are (of the last SEEN nodes or so)."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for _, _, h, bounds in shingle_sets(b.column(0), SIZE):
                 n, ids = set_ids(h, bounds)
+                fresh = [i for i, x in enumerate(ids.tolist()) if n[i] and not (x in seen or seen.add(x))]
+                if len(seen) > SEEN:
+                    seen.clear()
+                h, n, ids = h[ranges(bounds[:-1][fresh], n[fresh])], n[fresh], ids[fresh]
+                bounds = np.r_[0, np.cumsum(n)]
                 sig, who, step, left = signatures(h, bounds)
                 sizes = np.column_stack((n.astype(np.uint32), left))
                 bucket = (sig >> np.uint64(40)) % np.uint64(buckets)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessella.llm import quality_classifier, quality_rules
+from tessella.llm import ngram_join, quality_classifier, quality_rules
 
 
 def test_quality_rules_keep_columns_of_any_name(spark):
@@ -34,3 +34,15 @@ def test_fit_finds_rules_that_hold():
     score = b + sum(w * quality_classifier.holds(x, r) for r, w in rules)
     assert ((score > 0) == (y > 0)).mean() > 0.97 and len(rules) < 100
     assert {f for f, *_ in max(rules, key=lambda x: abs(x[1]))[0]} & {1, 3}  # the heaviest rule is on what decides
+
+
+def test_copies_send_their_signatures_once_a_task(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    near = text.replace("w7 ", "x7 ")
+    copies = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).coalesce(2)
+    df = copies.unionByName(spark.createDataFrame([(1000, near), (1001, "nothing like it at all here"), (1002, None)], "doc_id long, text string"))
+    found = ngram_join.shared_segments(df, "text", 8)
+    plan = [n for n in str(found._jdf.queryExecution().optimizedPlan().toString()).splitlines() if "MapInArrow" in n]
+    assert plan and found.select("node").distinct().count() == 2  # the text and its near copy
+    by = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df).collect()}
+    assert {by[i] for i in [*range(400), 1000]} == {0} and by[1001] == 1001 and by[1002] == 1002
