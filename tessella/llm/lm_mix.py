@@ -1,7 +1,9 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is its lower-cased words and one end. What is learned comes from the training texts alone, and a training text's
-own occurrence of an event is left out wherever that event is predicted, so that held-out and training texts compare.
+A text is its lower-cased words and one end. What is learned comes from the training texts alone. The contexts' counts
+leave a training text's own occurrence of an event out, but a word's class, its share of it and whether it is spelled go
+by counts that include it: so training texts score higher than held-out ones of the same kind, and only scores of one
+side compare.
 Each word is told by binary decisions, each predicted by several hashed contexts:
 
 * is it the word that most often follows the last two words (asked where these were seen in training)? Contexts: how
