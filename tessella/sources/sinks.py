@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.operators.memory import export_rows, ordered_text
 from tessella.schemas import TABLES, conform
 from tessella.sources.files import is_safe
+from tessella.sources.zipped import one_archive
 
 #: Bytes of files that go to one archive.
 ARCHIVE_BYTES = 64 << 20
@@ -94,11 +95,21 @@ def write_answers(answers: DataFrame, path: str, now: Column) -> None:
     append_messages(each.select((F.col("query_id") * 2 + F.col("turn") + up).alias("id"), "m.*", now.alias("created_at")), path)
 
 
-def full_export(files: DataFrame, messages: DataFrame, settings: str) -> DataFrame:
-    """Archives of the files below knowledge/, of the settings, and of the chat: files of JSON lines of CHAT_LINES ids each, named so that they sort by id."""
+def export_members(files: DataFrame, messages: DataFrame, settings: str) -> DataFrame:
+    """file_path and content of an export: the files below knowledge/, of the settings, and of the chat: files of JSON lines of CHAT_LINES ids each, named so that they sort by id."""
     line = F.to_json(F.struct("role", "content", "sources", "created_at"))
     part = F.concat(F.lit("chat/"), F.lpad(F.floor(F.col("id") / CHAT_LINES).cast("string"), 12, "0"), F.lit(".jsonl"))
     chat = messages.groupBy(part.alias("file_path")).agg(ordered_text("id", line).cast("binary").alias("content"))
     config = files.sparkSession.range(1).select(F.lit("config.yaml").alias("file_path"), F.lit(settings).cast("binary").alias("content"))
     below = files.select(F.concat(F.lit("knowledge/"), "file_path").alias("file_path"), F.col("content").cast("binary").alias("content"))
-    return archives(below.unionByName(config).unionByName(chat))
+    return below.unionByName(config).unionByName(chat)
+
+
+def full_export(files: DataFrame, messages: DataFrame, settings: str) -> DataFrame:
+    """Archives of an export, each of about ARCHIVE_BYTES."""
+    return archives(export_members(files, messages, settings))
+
+
+def whole_export(files: DataFrame, messages: DataFrame, settings: str) -> DataFrame:
+    """One archive of an export, as pieces in order (section, place, piece): see zipped.one_archive()."""
+    return one_archive(export_members(files, messages, settings))
