@@ -8,7 +8,8 @@ much, is a chunk, and then starts at the first piece that leaves few enough char
 from __future__ import annotations
 
 from tessella.functions.splitter import OVERLAP, SEPARATORS, SIZE
-from tessella.plans.tables_sql import _DOCS, _FRONT, _MD, _STORED, ORACLES, _strip
+from tessella.plans.retrieval import _BM25
+from tessella.plans.tables_sql import _DOCS, _FRONT, _MD, _NL, _STORED, ORACLES, _strip
 
 _LAST = len(SEPARATORS) - 1
 _SEPARATORS = "[" + ", ".join("'" + "' || chr(10) || '".join(s.split("\n")) + "'" for s in SEPARATORS) + "]"
@@ -60,7 +61,14 @@ _SYNCED = f"""
 WITH RECURSIVE {_STORED}, t AS (SELECT doc_id, file_path, text FROM docs JOIN diff USING (file_path) WHERE change IN ('new', 'modified')),
 body AS (SELECT doc_id, substr(text, 1 + length(regexp_extract(text, {_FRONT}, 0))) AS text FROM t), {_SECTIONS("body")}, {_BARE}, {split("lengthy")}, {_HEADED}"""
 
+_RANKED = _BM25.replace("doc_id AS key", "key").replace("coalesce(text, '')", "content", 1).replace("FROM documents", "FROM keyed")
+
 CHUNK_ORACLES = {
+    "bm25_prompts": f"""{_FIXED}, keyed AS (SELECT id || '#' || no AS key, id AS file_path, content FROM cut), {_RANKED},
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 5),
+x AS (SELECT query_id, string_agg('[Source: ' || file_path || ']' || {_NL} || content, {_NL} || {_NL} ORDER BY rank) AS context FROM h JOIN keyed USING (key) GROUP BY query_id)
+SELECT item_id AS query_id, coalesce('Context from knowledge base:' || {_NL} || {_NL} || context, 'No relevant context was found in the knowledge base.') || {_NL} || {_NL} || 'Question: ' || text AS "user"
+FROM benchmark LEFT JOIN x ON item_id = query_id""",
     "sync_text_chunks": f"""{_SYNCED}
 SELECT 'doc/' || doc_id || '.md' AS file_path, no AS chunk_index, heading AS section_heading, content, 'heading-aware' AS chunk_strategy FROM headed
 UNION ALL SELECT file_path, 0, NULL, 'old ' || file_path, NULL FROM diff WHERE change = 'unchanged'""",

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import evaluation, memory, retrieval, review, sync, tasks
+from tessella.operators import chunks, evaluation, lexical, memory, retrieval, review, sync, tasks
 from tessella.operators.vectors import knn
 from tessella.plans.tables import NOW, THEN, _at, _documents, _grades, _items, _messages, _read, _shown, _stored, _time, _today, _told
 from tessella.plans.tables_sql import _GRADE, _ITEMS, _LINE, _MESSAGES, _NEXT, _NL, _STORED, _TIMES
 from tessella.schemas import CHUNKS, DOCUMENTS, TASKS, conform
+from tessella.sources.workspace import fresh
 
 
 def vector_topk_ties(spark, sf_dir):
@@ -138,6 +139,14 @@ def answer_pipeline(spark, sf_dir):
     return _answers(spark, sf_dir).select("query_id", "question", "strategy", F.array_join("sources", "|").alias("sources"), "answer", "error")
 
 
+def bm25_prompts(spark, sf_dir):
+    """The benchmark's items as questions: the documents' whole texts cut into chunks, ranked by words, put into prompts."""
+    cut = chunks.fixed_chunks(_documents(spark, sf_dir)).withColumn("key", F.concat_ws("#", "file_path", "chunk_index"))
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    hits = lexical.search(lexical.build(cut, fresh(spark, "lexical"), "key", "content"), items).join(cut.select("key", "file_path", "content"), "key")
+    return retrieval.prompts(items, hits.withColumn("ordinal", F.col("rank"))).select("query_id", F.col("messages")[1]["content"].alias("user"))
+
+
 def eval_answers(spark, sf_dir):
     """The questions of an evaluation, matched with the answers by position, and the report."""
     q = evaluation.numbered(_questions(spark, sf_dir).select("query_id", "question", F.lit("yes").alias("ground_truth")), ["query_id"])
@@ -146,7 +155,7 @@ def eval_answers(spark, sf_dir):
     return evaluation.report(scored, ["answered", "n_sources", "sourced"])
 
 
-QUERIES = {f.__name__: f for f in (vector_topk_ties, sync_documents, sync_chunks, sync_text_chunks, sync_text_documents, reembed_chunks, migrate_documents, rename_allowed, review_series, task_advance, rewrite_route, answer_pipeline, eval_answers)}
+QUERIES = {f.__name__: f for f in (vector_topk_ties, sync_documents, sync_chunks, sync_text_chunks, sync_text_documents, reembed_chunks, migrate_documents, rename_allowed, review_series, task_advance, rewrite_route, answer_pipeline, bm25_prompts, eval_answers)}
 
 _FILES = f"""{_STORED}, files AS (
   SELECT doc_id, file_path, source, lang, doc_id % 17 = 0 AS bad, CASE WHEN lang = 'en' THEN '' ELSE '---' || {_NL} || 'title: Of ' || source || {_NL} || 'tags: [a, b]' || {_NL} || '---' || {_NL} END
