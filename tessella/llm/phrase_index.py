@@ -9,7 +9,8 @@ around each place of the rarest word the others are looked up as the next place
 is the narrowest stretch through that place.
 
 The items are a stated query set: they are searched in blocks of about BLOCK_BYTES (a window at least), each broadcast,
-so the size of what is broadcast doesn't follow the items. Words are looked up by 64-bit hashes and then compared.
+so the size of what is broadcast doesn't follow the items. Item words are looked up by 64-bit hashes and then compared
+with the term's word (two words of one segment with one hash would count as the first).
 
 Defined results: words are runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]`, A-Z lower-cased; a null or empty text has none, and an
 item without words is never found; an item of fewer words than a window is one window; rows of the index are told apart
