@@ -103,12 +103,10 @@ def objects(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["file_path"], pdf["content"], strict=True):
-                rows = list(_cut(bytes(content))) if content else []
-                yield pd.DataFrame([(path, *r) for r in rows], columns=["file_path", "number", "at", "place", "head", "data"])
+                last = {number: (path, number, head, data) for number, _, _, head, data in sorted(_cut(bytes(content)), key=lambda r: r[1:3])} if content else {}
+                yield pd.DataFrame(list(last.values()), columns=["file_path", "number", "head", "data"])
 
-    cut = files.select("file_path", "content").mapInPandas(run, "file_path string, number long, at long, place int, head string, data binary")
-    last = cut.groupBy("file_path", "number").agg(F.max_by(F.struct("head", "data"), F.struct("at", "place")).alias("_o"))
-    return last.select("file_path", "number", "_o.head", "_o.data")
+    return files.select("file_path", "content").mapInPandas(run, "file_path string, number long, head string, data binary")
 
 
 def _reference(name: str, head: str = "head") -> Column:
