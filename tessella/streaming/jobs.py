@@ -21,7 +21,7 @@ DEBOUNCE = 1000
 
 def touched_paths(events: DataFrame) -> DataFrame:
     """path of each file of interest that events (path, and destination of a move) name."""
-    paths = F.array_compact(F.array("path", "destination")) if "destination" in events.columns else F.array("path")
+    paths = F.array_compact(F.array("path", "destination") if "destination" in events.columns else F.array("path"))
     return events.select(F.explode(paths).alias("path")).filter(is_ingestable(F.col("path")))
 
 
@@ -29,7 +29,7 @@ def debounced(events: DataFrame, quiet: int = DEBOUNCE) -> DataFrame:
     """path and n_events, once a path had no event for so many milliseconds: each event puts its path's timer off anew.
 
     The state is a count a path that waits; it and its timer outlive a restart. Timers are looked at in every batch, so
-    the trigger's interval is how late they may fire; a batch without events looks at them too.
+    the trigger's interval is how late they may fire; a batch without events looks at them too. Null paths are nothing.
     """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,14 +43,19 @@ def debounced(events: DataFrame, quiet: int = DEBOUNCE) -> DataFrame:
 
 
 def on_quiet(events: DataFrame, resync: Callable[[SparkSession, DataFrame], None], checkpoint: str, quiet: int = DEBOUNCE, every: str = "500 milliseconds") -> StreamingQuery:
-    """Runs resync with the paths (path, n_events) that have become quiet; paths that are still being written wait."""
+    """Runs resync with the paths (path, n_events) that have become quiet; paths that are still being written wait.
+
+    A restarted query runs no batch before something comes in, so a beat without paths keeps batches, and timers, going.
+    """
+    spark = events.sparkSession
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
     def batch(df: DataFrame, number: int) -> None:
         rows = df.persist()
         if not rows.isEmpty():
             resync(df.sparkSession, rows)
         rows.unpersist()
 
-    return debounced(events, quiet).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return debounced(events.unionByName(beat), quiet).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def on_changes(events: DataFrame, resync: Callable[[SparkSession, DataFrame], None], checkpoint: str, every: str | None = "1 second") -> StreamingQuery:

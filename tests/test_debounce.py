@@ -32,7 +32,7 @@ def test_bursts_moves_and_restarts(spark, tmp_path):
         assert until(lambda: len(fired) >= 2)
         assert sorted(fired) == [("a.md", 3), ("b.PDF", 1)]
         put(spark, src, ("a.md", "c.md"))
-        assert until(lambda: sum(p["numInputRows"] for p in query.recentProgress) >= 7)
+        assert until(lambda: query.lastProgress and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2)
     finally:
         query.stop()
     assert len(fired) == 2  # the timer still runs
