@@ -136,8 +136,9 @@ def _disk(spark, sf_dir) -> DataFrame:
 
 def _stored(spark, sf_dir) -> DataFrame:
     """Labelled documents, with their hash (quality 1), without one (toxic) or with another; and pages that are gone."""
-    d = _documents(spark, sf_dir).join(_read(spark, sf_dir, "labels"), "doc_id")
-    known = F.when(F.col("quality") == 1, F.sha2("text", 256)).when(F.col("toxic") == 0, F.sha2("source", 256))
+    hashed = _documents(spark, sf_dir).select("doc_id", "file_path", "lang", F.sha2("text", 256).alias("_text"), F.sha2("source", 256).alias("_source"))  # no text is joined
+    d = hashed.join(_read(spark, sf_dir, "labels"), "doc_id")
+    known = F.when(F.col("quality") == 1, F.col("_text")).when(F.col("toxic") == 0, F.col("_source"))
     d = d.select("file_path", known.alias("file_hash"), F.when(F.col("toxic") == 1, "error").otherwise("indexed").alias("status"), F.when(F.col("toxic") == 1, "bad file").alias("error_message"), F.when(F.col("lang") == "en", "heading-aware").alias("chunk_strategy"))
     p = _read(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), "page_id").alias("file_path"), F.sha2("url", 256).alias("file_hash"), F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit("fixed-split").alias("chunk_strategy"))
     both = d.unionByName(p).withColumns({"file_name": t.basename("file_path"), "file_size": F.lit(7), "chunk_count": F.lit(3), "modified_at": _at(THEN), "indexed_at": _at(THEN), "created_at": _at(THEN), "updated_at": _at(THEN)})
