@@ -14,7 +14,7 @@ from tessella.operators.vectors import knn
 from tessella.plans.tables import NOW, THEN, _at, _documents, _grades, _items, _messages, _read, _shown, _stored, _time, _today, _told
 from tessella.plans.tables_sql import _GRADE, _ITEMS, _LINE, _MESSAGES, _NEXT, _NL, _STORED, _TIMES
 from tessella.schemas import CHUNKS, DOCUMENTS, TASKS, conform
-from tessella.sources.workspace import fresh
+from tessella.sources.workspace import fresh, written
 
 
 def vector_topk_ties(spark, sf_dir):
@@ -141,9 +141,9 @@ def answer_pipeline(spark, sf_dir):
 
 def bm25_prompts(spark, sf_dir):
     """The benchmark's items as questions: the documents' whole texts cut into chunks, ranked by words, put into prompts."""
-    cut = chunks.fixed_chunks(_documents(spark, sf_dir)).withColumn("key", F.concat_ws("#", "file_path", "chunk_index"))
+    cut = written(chunks.fixed_chunks(_documents(spark, sf_dir)).withColumn("key", F.concat_ws("#", "file_path", "chunk_index")), "chunks")
     items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    hits = lexical.search(lexical.build(cut, fresh(spark, "lexical"), "key", "content"), items).join(cut.select("key", "file_path", "content"), "key")
+    hits = written(lexical.search(lexical.build(cut, fresh(spark, "lexical"), "key", "content"), items), "hits").join(cut.select("key", "file_path", "content"), "key")
     return retrieval.prompts(items, hits.withColumn("ordinal", F.col("rank"))).select("query_id", F.col("messages")[1]["content"].alias("user"))
 
 

@@ -64,3 +64,28 @@ def test_scores_for_reranking(spark, tables):
 def test_empty_index(spark, tmp_path, tables):
     none = lexical.build(spark.createDataFrame([], "key long, content string"), f"file://{tmp_path}/none")
     assert lexical.search(none, tables[3]).count() == 0
+
+
+@pytest.fixture
+def segmented(spark, tmp_path, monkeypatch):
+    """Documents in four partitions and segments of some 60 postings, with equal texts in many of them."""
+    monkeypatch.setattr(lexical, "SEGMENT", 60)
+    monkeypatch.setattr(lexical, "WORDS", 40)
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    rng = random.Random(7)
+    docs = [(f"doc#{i}", "w0 w1 w2" if i % 5 == 0 else " ".join(rng.choices([f"w{j}" for j in range(40)], k=rng.randint(0, 30)))) for i in range(300)]
+    questions = [(i, " ".join(rng.choices([f"w{j}" for j in range(40)], k=3))) for i in range(30)] + [(40, "w0 w1 w2")]
+    index = lexical.build(spark.createDataFrame(docs, "id string, body string").repartition(4), f"file://{tmp_path}/ix", "id", "body")
+    return docs, questions, index, spark.createDataFrame(questions, "query_id long, question string")
+
+
+def ranked(docs, questions, k):
+    return {(q, r, key, s) for q, found in by_hand(docs, questions).items() for r, (s, key) in enumerate(sorted(((s, key) for key, s in found.items()), key=lambda x: (-x[0], x[1]))[:k], 1)}
+
+
+def test_segments_hold_their_documents(segmented):
+    docs, questions, index, asked = segmented
+    held = index.documents.collect()
+    assert len(held) > 20 and sorted(key for r in held for key in r["keys"]) == sorted(key for key, text in docs if text)
+    assert index.blocks.filter("n > 4").count() == 0
+    assert {(r.query_id, r["rank"], r.key, r.score) for r in lexical.search(index, asked, 5).collect()} == ranked(docs, questions, 5)
