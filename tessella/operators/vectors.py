@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,47 +69,77 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2", con
     queries: query_id, vector and, for match, a column of that name; only vectors with an equal value are near, and a
     null one equals none. A query or a row without a vector finds and is nothing. The filters come before the distances.
     Each batch of vectors keeps its best k a query by (distance, key), so a query shuffles k rows a batch: rounded
-    distances only leave out vectors that their error can't bring among the k. QUERY_BLOCK queries are broadcast at a time,
-    and the vectors, which never move, are read once for each such block.
+    distances only leave out vectors that their error can't bring among the k. Of equal vectors of a batch only the k first
+    keys can be near. QUERY_BLOCK queries are broadcast at a time, and the vectors, which never move, are read once for each
+    such block. Where there are more, equal queries are searched for once and get their rows by a join.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
     columns = lambda df, name, v: df.filter(F.col(v).isNotNull() & (F.col(match).isNotNull() if match else F.lit(True))).select(F.col(name), F.col(v).cast("array<float>").alias("vector"), *([F.col(match).cast("string").alias("m")] if match else []))
     asked, rows = columns(queries, "query_id", "vector"), columns(base.filter(where(condition)), key, vector).withColumnRenamed(key, "key")
+    some = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(some) <= QUERY_BLOCK:
+        return _ranked(asked, [some], rows, k, metric, match)
+    kept, by = written(asked, "queries"), ["vector", "m"] if match else ["vector"]
+    once = written(kept.select(by).distinct().select(F.monotonically_increasing_id().alias("query_id"), *by), "vectors")
+    near = _ranked(once, _blocks(once), rows, k, metric, match)
+    listed = near.groupBy("query_id").agg(F.collect_list(F.struct("key", "distance", "rank")).alias("near"))  # k rows a query
+    return kept.join(once.withColumnRenamed("query_id", "_no").join(listed.withColumnRenamed("query_id", "_no"), "_no"), by).select("query_id", F.explode("near").alias("n")).select("query_id", "n.*")
+
+
+def _ranked(asked: DataFrame, blocks: Iterable[list], rows: DataFrame, k: int, metric: str, match: str | None) -> DataFrame:
     schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("key", rows.schema["key"].dataType), T.StructField("distance", T.DoubleType())])
     found = None
-    for some in _blocks(asked):
-        part = rows.mapInArrow(_searching(base.sparkSession, some, to_arrow_type(schema["query_id"].dataType), k, metric, match), schema)
+    for some in blocks:
+        part = rows.mapInArrow(_searching(rows.sparkSession, some, to_arrow_type(schema["query_id"].dataType), k, metric, match), schema)
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "key"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _blocks(asked: DataFrame) -> Iterator[list]:
-    """The queries, about QUERY_BLOCK at a time: one block at least."""
-    some = asked.limit(QUERY_BLOCK + 1).collect()
-    if len(some) <= QUERY_BLOCK:
-        yield some
-        return
-    kept = written(asked.withColumn("_hash", F.xxhash64(*asked.columns)), "queries")
+def _blocks(kept: DataFrame) -> Iterator[list]:
+    """The queries, about QUERY_BLOCK at a time."""
     blocks = -(-kept.count() // QUERY_BLOCK)
     for n in range(blocks):
-        yield kept.filter(F.pmod(F.col("_hash"), F.lit(blocks)) == n).drop("_hash").collect()
+        yield (kept if blocks == 1 else kept.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).collect()
 
 
 def _searching(spark: SparkSession, some: list, kind: pa.DataType, k: int, metric: str, match: str | None):
-    ids, vectors, marks = ([r[i] for r in some] for i in range(3)) if match else ([r[0] for r in some], [r[1] for r in some], None)
-    held = spark.sparkContext.broadcast((ids, np.array(vectors, np.float64), marks))
+    same = {}
+    for r in some:
+        same.setdefault((np.array(r[1], np.float64).tobytes(), r[2] if match else None), []).append(r[0])
+    held = spark.sparkContext.broadcast((list(same.values()), np.array([np.frombuffer(v) for v, _ in same]), [m for _, m in same] if match else None))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, marks = held.value
+        each, counts = pa.array([i for x in ids for i in x], kind), np.array([len(x) for x in ids], np.int64)
+        starts = np.cumsum(counts) - counts
         for b in batches:
             if b.num_rows and len(ids):
-                yield from _nearest(pa.array(ids, kind), q, marks, b.column(0), _matrix(b.column(1)), b.column(2).to_pylist() if match else None, k, metric)
+                names, x, own = _first_of_equal(b.column(0), _matrix(b.column(1)), b.column(2) if match else None, k)
+                for rows, at, d in _best(q, marks, names, x, own, k, metric):
+                    # The rows of a vector for each of its queries.
+                    copies = np.repeat(np.arange(len(rows)), counts[rows])
+                    place = np.arange(len(copies)) - np.repeat(np.cumsum(counts[rows]) - counts[rows], counts[rows])
+                    yield pa.RecordBatch.from_arrays([each.take(pa.array(starts[rows][copies] + place)), names.take(pa.array(at[copies])), pa.array(d[copies])], ["query_id", "key", "distance"])
 
     return near
 
 
+def _first_of_equal(names: pa.Array, x: np.ndarray, marks: pa.Array | None, k: int) -> tuple[pa.Array, np.ndarray, list | None]:
+    """Keys, vectors and marks without those behind the k first keys of equal vectors."""
+    codes = pa.Array.from_buffers(pa.binary(x.dtype.itemsize * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).dictionary_encode()
+    group = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if marks is not None:
+        told = marks.dictionary_encode()
+        group = group * len(told.dictionary) + told.indices.to_numpy(zero_copy_only=False)
+    if len(codes.dictionary) < len(x):
+        order = np.lexsort((_places(names), group))
+        kept = np.sort(order[np.arange(len(x)) - np.searchsorted(group[order], group[order]) < k])
+        names, x, marks = names.take(pa.array(kept)), x[kept], None if marks is None else marks.take(pa.array(kept))
+    return names, x, None if marks is None else marks.to_pylist()
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
@@ -133,8 +163,8 @@ def _places(keys: pa.Array) -> np.ndarray:
     return first[codes + 1]
 
 
-def _nearest(ids: pa.Array, q: np.ndarray, wanted: list | None, names: pa.Array, x: np.ndarray, marks: list | None, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """The best k by (distance, key) of these vectors for each of these queries."""
+def _best(q: np.ndarray, wanted: list | None, names: pa.Array, x: np.ndarray, marks: list | None, k: int, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, place and distance of the best k by (distance, key) of these vectors for each of these queries."""
     at_key, size = _places(names), (x * x).sum(1)
     slack = 8 * (x.shape[1] + 2) * np.finfo(float).eps
     step = max(1, PAIRS // len(x))
@@ -155,4 +185,10 @@ def _nearest(ids: pa.Array, q: np.ndarray, wanted: list | None, names: pa.Array,
         order = np.lexsort((at_key[at], d, rows))
         rows, at, d = rows[order], at[order], d[order]
         best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[best] + lo)), names.take(pa.array(at[best])), pa.array(d[best])], ["query_id", "key", "distance"])
+        yield rows[best] + lo, at[best], d[best]
+
+
+def _nearest(ids: pa.Array, q: np.ndarray, wanted: list | None, names: pa.Array, x: np.ndarray, marks: list | None, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """_best() with the queries' ids and the keys."""
+    for rows, at, d in _best(q, wanted, names, x, marks, k, metric):
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), names.take(pa.array(at)), pa.array(d)], ["query_id", "key", "distance"])

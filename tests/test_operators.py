@@ -2,6 +2,7 @@ import datetime
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,3 +388,16 @@ def test_model_registry(spark):
 
     files_ = spark.createDataFrame([("models--all-MiniLM-L6-v2/config.json",), ("models--all-MiniLM-L6-v2/w.bin",), ("other/x",)], "file_path string")
     assert {(r.language, r.downloaded) for r in models.registry(files_).collect()} == {("english", True), ("chinese", False), ("mixed", False)}
+
+
+def test_equal_queries_are_searched_for_once(spark, monkeypatch):
+    from tessella.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    base = spark.createDataFrame([(i, [float(i % 4), 0.5], i % 3) for i in range(60)], "key long, vector array<float>, m long")
+    asked = spark.createDataFrame([(i, [float(i % 2), 0.0], i % 3) for i in range(40)], "query_id long, vector array<float>, m long")
+    for match, parts in ((None, 1), ("m", 2)):
+        found = vectors.knn(asked, base, 4, match=match)
+        near = lambda q: sorted(((i % 4 - q % 2) ** 2 + 0.25, i) for i in range(60) if not match or i % 3 == q % 3)[:4]
+        assert sorted((r.query_id, r["rank"], r.key, r.distance) for r in found.collect()) == sorted((q, n, i, d) for q in range(40) for n, (d, i) in enumerate(near(q), 1))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == parts  # of 2 and of 6 different queries
