@@ -17,7 +17,7 @@ from tessella.sources.workspace import written
 #: About so many queries are broadcast at a time.
 QUERY_BLOCK = 4096
 #: Numbers that a step of the search holds at once.
-PAIRS = 1 << 22
+PAIRS = 1 << 19
 METRICS = ("l2", "cosine", "ip")
 
 

@@ -401,3 +401,18 @@ def test_equal_queries_are_searched_for_once(spark, monkeypatch):
         near = lambda q: sorted(((i % 4 - q % 2) ** 2 + 0.25, i) for i in range(60) if not match or i % 3 == q % 3)[:4]
         assert sorted((r.query_id, r["rank"], r.key, r.distance) for r in found.collect()) == sorted((q, n, i, d) for q in range(40) for n, (d, i) in enumerate(near(q), 1))
         assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == parts  # of 2 and of 6 different queries
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_search_holds_little(metric):
+    import tracemalloc
+
+    from tessella.operators import vectors
+
+    rng = np.random.default_rng(0)
+    x, q = rng.standard_normal((10_000, 64)), rng.standard_normal((1024, 64))
+    tracemalloc.start()
+    for _ in vectors._nearest(pa.array(range(1024)), q, None, pa.array(range(10_000)), x, None, 5, metric):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
