@@ -416,3 +416,18 @@ def test_search_holds_little(metric):
         pass
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
+
+
+def test_equal_vectors_hold_little():
+    import tracemalloc
+
+    from tessella.operators import vectors
+
+    x = np.array([[i % 3, i % 2] for i in range(10_000)], float)
+    tracemalloc.start()
+    names, kept, _ = vectors._first_of_equal(pa.array(range(10_000)), x, None, 9)
+    assert len(kept) == 54 and names.to_pylist()[:6] == [0, 1, 2, 3, 4, 5]
+    for _ in vectors._nearest(pa.array(range(1024)), x[:1024], None, names, kept, None, 9, "l2"):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
