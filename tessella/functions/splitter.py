@@ -1,15 +1,20 @@
-"""Recursive text splitting into overlapping chunks, as a pandas UDF."""
+"""Recursive text splitting into overlapping chunks, in Arrow batches."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 SIZE, OVERLAP = 1000, 200
 # Tried in this order.
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Characters of chunks that are Python strings at once.
+HELD = 1 << 20
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -50,17 +55,40 @@ def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, separ
     return out + _pack(small, size, overlap)
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def split_column(texts: pd.Series) -> pd.Series:
-    """The chunks of each text; none of a null."""
-    return texts.map(split_text)
+def _cut(texts: pa.Array) -> pa.Array:
+    """The chunks of each text, null for a null one. Texts become Python strings one at a time, their chunks about HELD
+    characters at a time, so that a worker holds little besides the Arrow batch."""
+    sizes, gone, some, held, parts = [0], [], [], 0, []
+    for t in texts:
+        found = split_text(t.as_py()) if t.is_valid else []
+        gone.append(not t.is_valid)
+        sizes.append(sizes[-1] + len(found))
+        some += found
+        held += sum(map(len, found))
+        if held > HELD:
+            parts.append(pa.array(some, pa.string()))
+            some, held = [], 0
+    parts.append(pa.array(some, pa.string()))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.concat_arrays(parts), mask=pa.array(gone, pa.bool_()))
 
 
-@pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def split_each(texts: pd.Series) -> pd.Series:
+@arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def split_each(texts: pa.Array) -> pa.Array:
     """The chunks of each text of an array; null for a null one, which needs no split."""
-    return texts.map(lambda row: None if row is None else [None if t is None else split_text(t) for t in row])
+    sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), _cut(texts.flatten()), mask=pc.is_null(texts))
 
 
-def split(c: Column) -> Column:
-    return split_column(c)
+def split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of a key and a text: the key, the chunks' numbers and the chunks; none of a null."""
+    for b in batches:
+        keys, at, some, held = [], [], [], 0
+        for row in range(b.num_rows):
+            found = split_text(b.column(1)[row].as_py())
+            keys += [row] * len(found)
+            at += range(len(found))
+            some += found
+            held += sum(map(len, found))
+            if some and (held > HELD or row + 1 == b.num_rows):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys)), pa.array(at, pa.int32()), pa.array(some, pa.string())], [b.schema.names[0], "chunk_index", "content"])
+                keys, at, some, held = [], [], [], 0

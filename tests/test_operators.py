@@ -431,3 +431,38 @@ def test_equal_vectors_hold_little():
         pass
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
+
+
+def test_splitter_holds_few_strings():
+    import tracemalloc
+
+    from tessella.functions import splitter
+
+    texts = pa.array([f"{i} " + "word and word " * 700 for i in range(2000)])
+    tracemalloc.start()
+    got = splitter._cut(texts)
+    assert tracemalloc.get_traced_memory()[1] < 10e6  # of 20 MB of texts
+    tracemalloc.stop()
+    assert got[7].as_py() == splitter.split_text(texts[7].as_py())
+    assert splitter.split_each.func(pa.array([["a", None], None, ["b" * 1500]])).to_pylist() == [[["a"], None], None, [splitter.split_text("b" * 1500)]]
+
+
+def test_fixed_chunks_come_a_few_texts_at_a_time():
+    from tessella.functions import splitter
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([None, "", *["word and word " * 700] * 998])], ["file_path", "text"])
+    got = list(splitter.split_rows([batch]))
+    assert len(got) > 5 and max(b.nbytes for b in got) < 3e6
+    want = splitter.split_text("word and word " * 700)
+    assert [r for b in got for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] == [(k, n, c) for k in range(2, 1000) for n, c in enumerate(want)]
+
+
+def test_one_worker_cuts_both_kinds_of_documents(spark):
+    docs = spark.createDataFrame([("a.md", "# H\n" + "word " * 900), ("b.txt", "short"), ("c.txt", None), ("d.md", "---\ntitle: x\n---\n"), ("e.txt", "many words " * 200), (None, "x")], "file_path string, text string")
+    found = chunks.parsed(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split_each") > 0 and plan.count("ArrowEvalPython") == 2  # frontmatter and cuts
+    got = {r.file_path: (r.chunk_strategy, [tuple(c) for c in r["_chunks"]]) for r in found.collect()}
+    assert got["a.md"] == ("heading-aware", [("H", c) for c in split_text(("word " * 900).strip())])
+    assert got["b.txt"] == ("fixed-split", [(None, "short")]) and got["e.txt"] == ("fixed-split", [(None, c) for c in split_text("many words " * 200)])
+    assert got["c.txt"] == got["d.md"] == ("fixed-split", []) and got[None] == ("fixed-split", [(None, "x")])
