@@ -18,21 +18,20 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from tessella.operators.lexical import words
+from tessella.operators.lexical import _slices, words
 from tessella.sources.workspace import written
 
 #: Hashed words, dimensions of a vector, spare columns of the random matrix, multiplications forth and back.
 FEATURES, DIMENSIONS, SPARE, ROUNDS = 1 << 14, 64, 16, 2
-#: Rows of the product that are added up in one group.
-PART = 1 << 10
+#: Rows of the product that are added up in one group; words and numbers that a step holds at once.
+PART, WORDS, NUMBERS = 1 << 6, 1 << 18, 1 << 20
 SEED = 5
 
 
@@ -64,7 +63,7 @@ def _weights(lists: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _multiplied(row: np.ndarray, feature: np.ndarray, value: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
     """n sparse rows (row: ascending) times the matrix."""
     out = np.zeros((n, matrix.shape[1]))
-    step = max(1, (1 << 22) // matrix.shape[1])
+    step = max(1, NUMBERS // matrix.shape[1])
     for lo in range(0, len(row), step):  # entries of a step
         r = row[lo : lo + step]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
@@ -79,9 +78,9 @@ def _product(held: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, matrix = sent.value
         total = np.zeros_like(matrix)
-        for b in batches:
-            row, feature, value = _weights(b.column(0), idf)
-            there = _multiplied(row, feature, value, matrix, b.num_rows)
+        for lists in (b.column(0).slice(lo, hi - lo) for b in batches for lo, hi in _slices(b.column(0), WORDS)):
+            row, feature, value = _weights(lists, idf)
+            there = _multiplied(row, feature, value, matrix, len(lists))
             order = np.argsort(feature, kind="stable")
             total += _multiplied(feature[order], row[order], value[order], there, len(idf))
         parts = range(0, len(idf), PART)
@@ -90,8 +89,8 @@ def _product(held: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray
     def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0.0
         for t in tables:
-            for x in t.column("numbers").to_pylist():
-                total = total + np.frombuffer(x)
+            for x in t.column("numbers"):
+                total = total + np.frombuffer(x.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "numbers"])
 
     shares = held.mapInArrow(share, "part int, numbers binary")
@@ -135,12 +134,14 @@ def embed_column(spark: SparkSession, embedder: Embedder) -> Callable[[Column],
     """A function from a text column to its vectors, for chunks, questions and sync()."""
     held = spark.sparkContext.broadcast((embedder.idf, embedder.projection))  # FEATURES x dimensions numbers
 
-    @pandas_udf(T.ArrayType(T.FloatType()))
-    def project(lists: pd.Series) -> pd.Series:
+    @arrow_udf(T.ArrayType(T.FloatType()))
+    def project(lists: pa.Array) -> pa.Array:
         idf, projection = held.value
-        arrow = pa.array(lists, pa.list_(pa.int32()), from_pandas=True)
-        out = _multiplied(*_weights(arrow, idf), projection, len(lists))
-        norm = np.sqrt((out * out).sum(1))
-        return pd.Series(list((out / np.where(norm > 1e-12, norm, 1)[:, None]).astype(np.float32)))
+        out = np.empty((len(lists), projection.shape[1]), np.float32)
+        for lo, hi in _slices(lists, WORDS):
+            some = _multiplied(*_weights(lists.slice(lo, hi - lo), idf), projection, hi - lo)
+            norm = np.sqrt((some * some).sum(1))
+            out[lo:hi] = some / np.where(norm > 1e-12, norm, 1)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
 
     return lambda c: project(features(c, len(embedder.idf)))

@@ -9,7 +9,7 @@ from tessella.functions.models import or_else
 from tessella.functions.text import classify_strategy
 from tessella.operators import embedder, evaluation, lexical, retrieval, vector_index
 from tessella.operators.vectors import knn
-from tessella.sources.workspace import fresh
+from tessella.sources.workspace import fresh, written
 
 EVERY = 100
 CONDITION = {"$and": [{"label": {"$in": [1, 2, 3, 4]}}, {"vec_id": {"$gte": 50}}]}
@@ -80,7 +80,7 @@ def embedded_topk(spark, sf_dir):
     """All documents with vectors fitted to them; every hundredth is asked."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     embed = embedder.embed_column(spark, embedder.fit(docs, "text"))
-    placed = docs.select("doc_id", embed(F.col("text")).alias("vector"))
+    placed = written(docs.select("doc_id", embed(F.col("text")).alias("vector")), "placed")  # read by each block of queries
     asked = placed.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "vector")
     return _rounded(knn(asked, placed, key="doc_id"))
 

@@ -67,3 +67,20 @@ def test_few_documents(spark):
     fitted = embedder.fit(spark.createDataFrame([("a b",), ("c",)], "content string"), dimensions=8, n=N)
     assert np.count_nonzero(np.abs(fitted.projection).sum(0) > 1e-6) == 2
     assert not embedder.fit(spark.createDataFrame([], "content string"), dimensions=4, n=N).projection.any()
+
+
+def test_products_hold_little():
+    import tracemalloc
+
+    import numpy as np
+
+    from tessella.operators import embedder
+
+    rng = np.random.default_rng(0)
+    matrix, row, feature, value = rng.standard_normal((4096, 80)), np.repeat(np.arange(2000), 100), rng.integers(0, 4096, 200_000), rng.standard_normal(200_000)
+    tracemalloc.start()
+    got = embedder._multiplied(row, feature, value, matrix, 2000)
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    assert np.allclose(got[7], value[700:800] @ matrix[feature[700:800]])
+    assert embedder.PART * 80 * 8 < 100_000  # bytes of a task's share that meet in one group
