@@ -232,7 +232,9 @@ def page_text(content: bytes, fonts_of: dict[str, tuple]) -> str:
 
 @pandas_udf(StringType())
 def _page_texts(contents: pd.Series, fonts_of: pd.Series) -> pd.Series:
-    def one(streams, fonts_) -> str:
+    def one(streams, fonts_) -> str | None:
+        if streams is None:
+            return None
         named = {f["name"]: (f["wide"], _map_of(f["map"])) for f in (fonts_ if fonts_ is not None else [])}
         return page_text(b"\n".join(bytes(s) for s in streams if s is not None), named)
 
@@ -243,10 +245,13 @@ def texts(files: DataFrame) -> DataFrame:
     """file_path, text and error of PDF files (file_path, content), each path once."""
     found = written(objects(files), "objects")
     leaves = written(pages(found), "pages")
-    each = leaves.select("file_path", "way", F.posexplode_outer("contents").alias("no", "number"))
+    # A page of one stream, as most are, is read where its stream meets it; only the streams of others go on to their page.
+    each = leaves.select("file_path", "way", F.size("contents").alias("n"), F.posexplode_outer("contents").alias("no", "number")).join(fonts(found, leaves), ["file_path", "way"], "left")
     streams = each.join(found.select("file_path", "number", "data"), ["file_path", "number"], "left")
-    whole = streams.groupBy("file_path", "way").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("no", F.lit(0)).alias("no"), "data"))).alias("s"))
-    told = whole.join(fonts(found, leaves), ["file_path", "way"], "left").select("file_path", "way", _page_texts(F.col("s.data"), "fonts").alias("text"))
+    alone, more = F.col("n") <= 1, F.col("n") > 1
+    read = streams.select("file_path", "way", "n", _page_texts(F.when(alone, F.array("data")), F.when(alone, F.col("fonts"))).alias("text"), F.when(more, F.struct("no", "data")).alias("s"), F.when(more, F.col("fonts")).alias("fonts"))
+    whole = read.groupBy("file_path", "way").agg(F.max("text").alias("text"), F.array_sort(F.collect_list("s")).alias("s"), F.first("fonts", ignorenulls=True).alias("fonts"))
+    told = whole.select("file_path", "way", F.coalesce("text", _page_texts(F.when(F.size("s") > 0, F.col("s.data")), "fonts")).alias("text"))
     of_file = told.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("way", "text"))).alias("p")).select("file_path", F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda x: x != ""), "\n").alias("text"))
     content = F.coalesce(F.col("content"), F.lit("").cast("binary")).cast("string")
     wrong = F.when(~F.coalesce(F.substring(content, 1, 1024), F.lit("")).contains("%PDF-"), "the file isn't a PDF").when(F.substring(content, -2048, 2048).contains("/Encrypt"), "the PDF is encrypted")
