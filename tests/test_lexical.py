@@ -89,3 +89,17 @@ def test_segments_hold_their_documents(segmented):
     assert len(held) > 20 and sorted(key for r in held for key in r["keys"]) == sorted(key for key, text in docs if text)
     assert index.blocks.filter("n > 4").count() == 0
     assert {(r.query_id, r["rank"], r.key, r.score) for r in lexical.search(index, asked, 5).collect()} == ranked(docs, questions, 5)
+
+
+def test_questions_are_searched_in_parts(segmented, monkeypatch):
+    docs, questions, index, asked = segmented
+    monkeypatch.setattr(lexical, "QUESTIONS", 12)
+    assert {(r.query_id, r["rank"], r.key, r.score) for r in lexical.search(index, asked, 3).collect()} == ranked(docs, questions, 3)
+
+
+def test_scores_over_segments(segmented):
+    docs, questions, index, asked = segmented
+    pairs = asked.select("query_id", "question", F.explode(F.array(*(F.lit(f"doc#{i}") for i in (0, 1, 2, 5, 299, 999)))).alias("key"))
+    scored, want = lexical.scores(index, pairs), by_hand(docs, questions)
+    got = {(r.query_id, r.key): r.score for r in scored.collect()}
+    assert len(got) == 6 * len(questions) and all(s == want[q].get(k, 0) for (q, k), s in got.items())
