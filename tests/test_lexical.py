@@ -120,3 +120,17 @@ def test_old_and_new_letters_are_found(spark, tmp_path):
     index = lexical.build(spark.createDataFrame([(1, "a\u0870b"), (2, "a b"), (3, None), (4, "...")], "key long, content string"), f"file://{tmp_path}/ix")
     asked = spark.createDataFrame([(1, "A\u0870B"), (2, "b")], "query_id long, question string")
     assert {(r.query_id, r.key) for r in lexical.search(index, asked).collect()} == {(1, 1), (2, 2)} and index.n_docs == 2 and index.mean == 1.5
+
+
+def test_scores_bring_only_wanted_postings(spark, segmented, monkeypatch):
+    """Without broadcast joins too: postings are picked where they lie, for some documents at a time."""
+    docs, questions, index, asked = segmented
+    monkeypatch.setattr(lexical, "PLACES", 3)
+    pairs = asked.filter("query_id < 8").select("query_id", "question", F.explode(F.array(*(F.lit(f"doc#{i}") for i in (0, 1, 2, 5, 150, 299, 999)))).alias("key"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.query_id, r.key): r.score for r in lexical.scores(index, pairs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = by_hand(docs, questions)
+    assert len(got) == 56 and all(s == want[q].get(k, 0) for (q, k), s in got.items())
