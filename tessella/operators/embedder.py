@@ -78,7 +78,7 @@ def _product(held: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> np.ndarray
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, matrix = sent.value
         total = np.zeros_like(matrix)
-        for lists in (b.column(0).slice(lo, hi - lo) for b in batches for lo, hi in _slices(b.column(0), WORDS)):
+        for lists in (b.column(0).slice(lo, hi - lo) for b in batches for lo, hi in _slices(pc.list_value_length(b.column(0)), WORDS)):
             row, feature, value = _weights(lists, idf)
             there = _multiplied(row, feature, value, matrix, len(lists))
             order = np.argsort(feature, kind="stable")
@@ -138,7 +138,7 @@ def embed_column(spark: SparkSession, embedder: Embedder) -> Callable[[Column],
     def project(lists: pa.Array) -> pa.Array:
         idf, projection = held.value
         out = np.empty((len(lists), projection.shape[1]), np.float32)
-        for lo, hi in _slices(lists, WORDS):
+        for lo, hi in _slices(pc.list_value_length(lists), WORDS):
             some = _multiplied(*_weights(lists.slice(lo, hi - lo), idf), projection, hi - lo)
             norm = np.sqrt((some * some).sum(1))
             out[lo:hi] = some / np.where(norm > 1e-12, norm, 1)[:, None]

@@ -84,3 +84,18 @@ def test_products_hold_little():
     tracemalloc.stop()
     assert np.allclose(got[7], value[700:800] @ matrix[feature[700:800]])
     assert embedder.PART * 80 * 8 < 100_000  # bytes of a task's share that meet in one group
+
+
+def test_texts_are_weighted_in_slices_of_words(spark, corpus, monkeypatch):
+    import pyarrow.compute as pc
+
+    lists, texts = pa.array([[1], [2, 3], None, [4] * 9, []]), pa.array(["ab", "c", None, "def"])
+    assert list(embedder._slices(pc.list_value_length(lists), 3)) == [(0, 3), (3, 4), (4, 5)]
+    assert list(embedder._slices(pc.binary_length(texts), 3)) == [(0, 3), (3, 4)]
+    _, df = corpus
+    whole = embedder.fit(df, dimensions=8, n=N)
+    monkeypatch.setattr(embedder, "WORDS", 100)  # two or three texts
+    cut = embedder.fit(df, dimensions=8, n=N)
+    assert np.array_equal(cut.idf, whole.idf) and np.allclose(cut.projection, whole.projection, atol=1e-6)
+    placed = {r.key: r.vector for r in df.select("key", embedder.embed_column(spark, cut)(F.col("content")).alias("vector")).collect()}
+    assert len(placed) == 303 and np.allclose(np.linalg.norm([placed[k] for k in placed if k < 2000], axis=1), 1, atol=1e-5) and not any(placed[2000])
