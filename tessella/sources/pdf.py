@@ -5,7 +5,7 @@ of one number the last in the file counts, as an update is put behind what it re
 the catalog down, a join a level, with inherited resources; a page's fonts and their ToUnicode maps are joined to it, and
 its content streams in order; only reading the operators of one page, and cutting bytes into objects, is Python.
 
-A page's text has a line for each move to another line; the pages that have text are joined by line breaks. Codes of a font
+A page's text has a line for each move to another line after shown characters; the pages that have text are joined by line breaks. Codes of a font
 without a map are Latin-1 (or nothing, where codes have two bytes); drawing order is reading order; forms (Do) aren't read.
 
 Defined results: a null or empty file, one without a PDF header, catalog or end, and an encrypted one are errors with a null
@@ -218,11 +218,11 @@ def page_text(content: bytes, fonts_of: dict[str, tuple]) -> str:
         elif t in (b"Tj", b"'", b'"'):
             if t != b"Tj":
                 line()
-            out += [_shown(_string(x), font) for x in strings[-1:]]
+            out += filter(None, (_shown(_string(x), font) for x in strings[-1:]))  # an empty string shows nothing
         elif t == b"TJ":
             for x in held:
                 if x[:1] in (b"(", b"<"):
-                    out.append(_shown(_string(x), font))
+                    out += filter(None, [_shown(_string(x), font)])
                 elif re.fullmatch(rb"-\d{3,}(\.\d*)?", x) and float(x) < -200:  # as wide as a space
                     out.append(" ")
         held = []
