@@ -20,12 +20,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from tessella.operators.lexical import _slices, words
+from tessella.operators.lexical import _lowered, _slices, _split
 from tessella.sources.workspace import written
 
 #: Hashed words, dimensions of a vector, spare columns of the random matrix, multiplications forth and back.
@@ -45,7 +46,23 @@ class Embedder:
 
 def features(text: Column, n: int = FEATURES) -> Column:
     """The hashed words of a text, each as often as it occurs."""
-    return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))
+
+    @arrow_udf(T.ArrayType(T.IntegerType()))
+    def hashed(texts: pa.Array) -> pa.Array:
+        return _hashed(texts, n)
+
+    return hashed(_lowered(text))
+
+
+def _hashed(texts: pa.Array, n: int) -> pa.Array:
+    """Lists of the hashed words: Spark's xxhash64 of each distinct one of some texts at a time, modulo n."""
+    parts = []
+    for lo, hi in _slices(pc.binary_length(texts), 8 * WORDS):  # bytes
+        lists = _split(texts.slice(lo, hi - lo))
+        told = lists.flatten().dictionary_encode()
+        code = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in told.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(told.dictionary))
+        parts.append(pa.ListArray.from_arrays(lists.offsets, pa.array((code.view(np.int64) % n)[told.indices.to_numpy()], pa.int32())))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
 def _weights(lists: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +152,9 @@ def embed_column(spark: SparkSession, embedder: Embedder) -> Callable[[Column],
     held = spark.sparkContext.broadcast((embedder.idf, embedder.projection))  # FEATURES x dimensions numbers
 
     @arrow_udf(T.ArrayType(T.FloatType()))
-    def project(lists: pa.Array) -> pa.Array:
+    def project(texts: pa.Array) -> pa.Array:
         idf, projection = held.value
+        lists = _hashed(texts, len(idf))
         out = np.empty((len(lists), projection.shape[1]), np.float32)
         for lo, hi in _slices(pc.list_value_length(lists), WORDS):
             some = _multiplied(*_weights(lists.slice(lo, hi - lo), idf), projection, hi - lo)
@@ -144,4 +162,4 @@ def embed_column(spark: SparkSession, embedder: Embedder) -> Callable[[Column],
             out[lo:hi] = some / np.where(norm > 1e-12, norm, 1)[:, None]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
 
-    return lambda c: project(features(c, len(embedder.idf)))
+    return lambda c: project(_lowered(c))

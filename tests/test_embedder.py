@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import embedder
+from tessella.operators.lexical import words
 from tessella.operators.retrieval import answer_prompts
 from tessella.operators.vectors import knn
 
@@ -99,3 +100,17 @@ def test_texts_are_weighted_in_slices_of_words(spark, corpus, monkeypatch):
     assert np.array_equal(cut.idf, whole.idf) and np.allclose(cut.projection, whole.projection, atol=1e-6)
     placed = {r.key: r.vector for r in df.select("key", embedder.embed_column(spark, cut)(F.col("content")).alias("vector")).collect()}
     assert len(placed) == 303 and np.allclose(np.linalg.norm([placed[k] for k in placed if k < 2000], axis=1), 1, atol=1e-5) and not any(placed[2000])
+
+
+def test_words_are_hashed_where_they_are_split(spark, corpus, monkeypatch):
+    texts = pa.array(["a b, a", "", "?!", "b"])
+    whole = embedder._hashed(texts, N)
+    a, b = whole.to_pylist()[0][:2]
+    assert whole.to_pylist() == [[a, b, a], [], [], [b]] and embedder._hashed(texts[:0], N).to_pylist() == []
+    monkeypatch.setattr(embedder, "WORDS", 0)  # one text at a time
+    assert embedder._hashed(texts, N).equals(whole)
+    df = corpus[1].withColumn("content", F.concat("content", F.lit(" É 你好 " + " ".join(c * n for c, n in zip("xyzuvw", (3, 4, 7, 8, 31, 32))) + "é" * 40)))
+    sparks = F.transform(words(F.col("content")), lambda w: F.pmod(F.xxhash64(w), F.lit(1000)).cast("int"))
+    assert all(r.f == r.s for r in df.select(embedder.features(F.col("content"), 1000).alias("f"), sparks.alias("s")).collect())
+    placed = df.select(embedder.embed_column(spark, embedder.Embedder(np.ones(N), np.eye(N, 4)))(F.col("content")).alias("v"))
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # no list of words goes to the JVM and back

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,11 @@ def test_scores_bring_only_wanted_postings(spark, segmented, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = by_hand(docs, questions)
     assert len(got) == 56 and all(s == want[q].get(k, 0) for (q, k), s in got.items())
+
+
+def test_words_are_split_some_texts_at_a_time(monkeypatch):
+    texts, split, seen = pa.array(["a b", "", "?!", "cc dd-ee", "f" * 30, "g"]), lexical._split, []
+    monkeypatch.setattr(lexical, "WORDS", 1)
+    monkeypatch.setattr(lexical, "_split", lambda t: seen.append(len(t)) or split(t))
+    assert lexical._words.func(texts).to_pylist() == [["a", "b"], [], [], ["cc", "dd", "ee"], ["f" * 30], ["g"]]
+    assert seen == [3, 1, 1, 1] and lexical._words.func(texts[:0]).to_pylist() == []
